@@ -163,6 +163,10 @@ def g3_truncated(g1: Column, g3: Column) -> Column:
     return _any_truncated(g1["fwd"], g1["bwd"], g3["fwd"], g3["bwd"])
 
 
+def family_b_truncated(g3: Column) -> Column:
+    return _any_truncated(g3["fwd"], g3["bwd"])
+
+
 # --- rules ----------------------------------------------------------------------------
 
 

@@ -36,12 +36,16 @@ def edge_updates(
     judge_model: Column | None = None,
     mode: Column | None = None,
     seq: int = 1,
+    scores: Column | None = None,
+    method_column: Column | None = None,
 ) -> DataFrame:
     """What one gate adds to its pairs' verdict rows.
 
     ``judged`` carries the pair columns plus ``subject_id`` and
     ``run_request_id``. In SHADOW mode the same content goes under ``shadow``
-    and the row itself asserts nothing about the pair.
+    and the row itself asserts nothing about the pair. ``scores`` and
+    ``method_column`` replace ``slot`` and ``method`` for jobs that cover several
+    gates at once.
     """
 
     def null(kind: str) -> Column:
@@ -51,7 +55,9 @@ def edge_updates(
     shadow = mode == V.MODE_SHADOW
     deciding = ~shadow
     reason = null("string") if escalation_reason is None else escalation_reason
-    scores = stage_scores({} if slot is None else {slot[0]: slot[1]})
+    if scores is None:
+        scores = stage_scores({} if slot is None else {slot[0]: slot[1]})
+    who = F.lit(method) if method_column is None else method_column
     verdict = relation if shadow_verdict is None else F.coalesce(shadow_verdict, relation)
 
     def own(value: Column | None, kind: str) -> Column:
@@ -66,7 +72,7 @@ def edge_updates(
         "intake_id",
         "stage3_run_id",
         "run_request_id",
-        F.lit(method).alias("method"),
+        who.alias("method"),
         (F.lit(1) if attempt is None else attempt).cast("int").alias("attempt"),
         scores.alias("stage_scores"),
         own(judge_model if judge_model is not None else F.lit(""), "string").alias("judge_model"),
@@ -80,7 +86,7 @@ def edge_updates(
             shadow,
             F.struct(
                 verdict.cast("string").alias("verdict"),
-                F.lit(method).alias("method"),
+                who.alias("method"),
                 F.col("run_request_id"),
                 reason.cast("string").alias("escalation_reason"),
                 scores.alias("stage_scores"),

@@ -137,20 +137,18 @@ def verdict_histogram(marked: DataFrame) -> DataFrame:
 def fingerprint(corpus: DataFrame, column: str = "pair_id") -> DataFrame:
     """Identity of a set of ids, whatever order or partitioning it comes in.
 
-    Count, exclusive-or and sum of 60-bit digests merge map-side, so nothing is
-    collected. The digest is a prefix of SHA-256.
+    Count, exclusive-or and sum of 60-bit digests (a prefix of SHA-256) merge
+    map-side, so nothing is collected.
     """
     digest = F.conv(F.substring(F.sha2(F.col(column), 256), 1, 15), 16, 10).cast("long")
     return corpus.select(digest.alias("d")).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.bit_xor("d"), F.lit(0)).alias("x"),
-        # Two halves keep the sums far from overflowing a long.
-        F.coalesce(F.sum(F.col("d").bitwiseAND(F.lit((1 << 30) - 1))), F.lit(0)).alias("low"),
-        F.coalesce(F.sum(F.shiftright("d", 30)), F.lit(0)).alias("high"),
+        F.coalesce(F.sum(F.col("d").cast("decimal(20,0)")), F.lit(0)).alias("total"),
     ).select(
         F.col("n").alias("records"),
         F.concat_ws(
             ":", F.col("n").cast("string"), F.col("x").cast("string"),
-            F.col("high").cast("string"), F.col("low").cast("string"),
+            F.col("total").cast("string"),
         ).alias("fingerprint"),
     )

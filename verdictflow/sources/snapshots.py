@@ -1,0 +1,47 @@
+"""A table kept as whole snapshots: write the next one, then point to it.
+
+Readers always see a finished snapshot. A failed or repeated job leaves at most
+an unreferenced folder behind.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+_POINTER = T.StructType([T.StructField("version", T.LongType())])
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """The newest finished version; pointers are one tiny row each."""
+    try:
+        return spark.read.schema(_POINTER).json(f"{path}/pointers").agg(
+            F.max("version")
+        ).head(1)[0][0]
+    except AnalysisException:
+        return None
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    version = current_version(spark, path)
+    if version is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/v={version}")
+
+
+def write_snapshot(
+    df: DataFrame, path: str, version: int | None = None, partition_by: tuple[str, ...] = ()
+) -> int:
+    """Write ``df`` as the next version (or as ``version``, for repeatable batches)."""
+    spark = df.sparkSession
+    if version is None:
+        latest = current_version(spark, path)
+        version = 0 if latest is None else latest + 1
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(f"{path}/v={version}")
+    spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode(
+        "overwrite"
+    ).json(f"{path}/pointers/p={version}")
+    return version
