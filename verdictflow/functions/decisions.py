@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from verdictflow import vocab as V
 from verdictflow.functions.cols import struct_of
@@ -178,88 +178,173 @@ def bare_outcome(neutral: Column, entail: Column, t: Mapping[str, Column]) -> Co
     )
 
 
-def decide_g1(f: Mapping[str, Column], thresholds=None) -> Column:
+def g1_signals(f: Mapping[str, Column], t: Mapping[str, Column]) -> dict[str, Column]:
+    """What the first rule looks at, before it is put in order."""
+    return {
+        "contradiction_flag": f["a_contra"] > t["contra_escape"],
+        "bare": bare_outcome(f["a_neutral"], f["a_entail"], t),
+        "contexted": bare_outcome(f["c_neutral"], f["c_entail"], t),
+    }
+
+
+def g1_decision(s: Mapping[str, Column], f: Mapping[str, Column]) -> dict[str, Column]:
     """First gate. Any contradiction signal outranks everything else."""
-    t = as_threshold_columns(thresholds)
-    flag = f["a_contra"] > t["contra_escape"]
-    bare = bare_outcome(f["a_neutral"], f["a_entail"], t)
-    with_context = bare_outcome(f["c_neutral"], f["c_entail"], t)
-    disagrees = f["c_neutral"].isNotNull() & ~bare.eqNullSafe(with_context)
-    disposition = (
-        F.when(flag, V.FORWARD)
+    flag, bare = s["contradiction_flag"], s["bare"]
+    disagrees = f["c_neutral"].isNotNull() & ~bare.eqNullSafe(s["contexted"])
+    decided = ~flag & ~disagrees & bare.isNotNull()
+    return {
+        "disposition": F.when(flag, V.FORWARD)
         .when(disagrees, V.ESCALATE_G4)
         .when(bare.isNotNull(), V.DECIDED)
-        .otherwise(V.FORWARD)
-    )
-    decided = ~flag & ~disagrees & bare.isNotNull()
-    return struct_of({
-        "disposition": disposition,
+        .otherwise(V.FORWARD),
         "verdict": F.when(decided, bare),
         "method": F.when(decided, F.lit(V.METHOD_G1)),
         "escalation_reason": F.when(~flag & disagrees, F.lit(V.CONTEXT_DISAGREEMENT)),
         "contradiction_flag": flag,
-    })
+    }
 
 
-def decide_g2(f: Mapping[str, Column], thresholds=None) -> Column:
+def g2_signals(f: Mapping[str, Column], t: Mapping[str, Column]) -> dict[str, Column]:
+    return {
+        "supported": f["support"] >= t["support_min"],
+        "weak": f["support"] < t["support_floor"],
+    }
+
+
+def g2_decision(s: Mapping[str, Column], f: Mapping[str, Column]) -> dict[str, Column]:
     """Second gate: enough support from any direction settles the pair."""
-    t = as_threshold_columns(thresholds)
-    supported = f["support"] >= t["support_min"]
-    return struct_of({
+    supported = s["supported"]
+    return {
         "disposition": F.when(supported, V.DECIDED).otherwise(V.FORWARD),
         "verdict": F.when(supported, F.lit(V.CORROBORATES)),
         "method": F.when(supported, F.lit(V.METHOD_G2)),
         "direction": F.when(supported, f["direction"]),
         "confidence": F.when(supported, f["support"]),
-        "below_floor": ~supported & (f["support"] < t["support_floor"]),
-    })
+        "below_floor": ~supported & s["weak"],
+    }
 
 
-def decide_g3(f: Mapping[str, Column], thresholds=None) -> Column:
+def g3_signals(f: Mapping[str, Column], t: Mapping[str, Column]) -> dict[str, Column]:
+    a, b = f["a_contra"], f["b_contra"]
+    return {
+        "human": (a >= t["contra_min"]) & (b >= t["contra_min"]),
+        "consensus": (a < t["neutral_consensus"]) & (b < t["neutral_consensus"]) & f["leans"],
+    }
+
+
+def g3_decision(s: Mapping[str, Column], f: Mapping[str, Column]) -> dict[str, Column]:
     """Third gate: two model families must agree; a contradiction goes to a human."""
-    t = as_threshold_columns(thresholds)
-    human = (f["a_contra"] >= t["contra_min"]) & (f["b_contra"] >= t["contra_min"])
-    consensus = (
-        (f["a_contra"] < t["neutral_consensus"])
-        & (f["b_contra"] < t["neutral_consensus"])
-        & f["leans"]
-    )
-    settled = ~human & consensus
-    return struct_of({
+    human, consensus = s["human"], s["consensus"]
+    return {
         "disposition": F.when(human, V.ROUTE_HUMAN)
         .when(consensus, V.DECIDED)
         .otherwise(V.ESCALATE_G4),
-        "verdict": F.when(settled, F.lit(V.NEUTRAL)),
+        "verdict": F.when(~human & consensus, F.lit(V.NEUTRAL)),
         "method": F.when(human | consensus, F.lit(V.METHOD_G3)),
         "escalation_reason": F.when(human, F.lit(V.CONTRADICTION_SIGNAL)).when(
             ~consensus, F.lit(V.STAGE_DISAGREEMENT)
         ),
         "contradiction_flag": human,
         "confidence": F.when(human, F.least(f["a_contra"], f["b_contra"])),
-    })
+    }
 
 
-def run_cascade(f: Mapping[str, Column], thresholds=None) -> Column:
-    """All three rules for one pair: G2 only sees unflagged pairs, G3 the rest."""
-    t = as_threshold_columns(thresholds)
-    one, two, three = decide_g1(f, t), decide_g2(f, t), decide_g3(f, t)
+def cascade_outcome(
+    one: Mapping[str, Column], two: Mapping[str, Column], three: Mapping[str, Column]
+) -> dict[str, Column]:
+    """What the cascade makes of a pair: G2 only sees unflagged pairs, G3 the rest."""
     flag = one["contradiction_flag"]
     at_g1 = one["disposition"] != V.FORWARD
-    at_g2 = ~at_g1 & ~flag & (two["disposition"] == V.DECIDED)
+    at_g2 = ~flag & (two["disposition"] == V.DECIDED)
 
     def pick(g1: Column, g2: Column, g3: Column) -> Column:
         return F.when(at_g1, g1).when(at_g2, g2).otherwise(g3)
 
-    none = F.lit(None)
-    return struct_of({
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    return {
         "gate": pick(F.lit(V.G1), F.lit(V.G2), F.lit(V.G3)),
         "disposition": pick(one["disposition"], two["disposition"], three["disposition"]),
         "verdict": pick(one["verdict"], two["verdict"], three["verdict"]),
         "method": pick(one["method"], two["method"], three["method"]),
         "escalation_reason": pick(
-            one["escalation_reason"], none.cast("string"), three["escalation_reason"]
+            one["escalation_reason"], no_text, three["escalation_reason"]
         ),
-        "confidence": pick(none.cast("double"), two["confidence"], three["confidence"]),
-        "direction": pick(none.cast("string"), two["direction"], none.cast("string")),
+        "confidence": pick(no_number, two["confidence"], three["confidence"]),
+        "direction": pick(no_text, two["direction"], no_text),
         "contradiction_flag": pick(flag, F.lit(False), three["contradiction_flag"] | flag),
-    })
+    }
+
+
+# --- as one column --------------------------------------------------------------------
+
+
+def decide_g1(f: Mapping[str, Column], thresholds=None) -> Column:
+    return struct_of(g1_decision(g1_signals(f, as_threshold_columns(thresholds)), f))
+
+
+def decide_g2(f: Mapping[str, Column], thresholds=None) -> Column:
+    return struct_of(g2_decision(g2_signals(f, as_threshold_columns(thresholds)), f))
+
+
+def decide_g3(f: Mapping[str, Column], thresholds=None) -> Column:
+    return struct_of(g3_decision(g3_signals(f, as_threshold_columns(thresholds)), f))
+
+
+# --- as columns of a table ------------------------------------------------------------
+#
+# Whole jobs apply the rules step by step, each step as flat columns of its own.
+# Written as one nested expression, or with structs in between, the optimizer
+# would copy every step into each place that uses it.
+
+STEPS = {
+    "g1": (g1_signals, g1_decision),
+    "g2": (g2_signals, g2_decision),
+    "g3": (g3_signals, g3_decision),
+}
+_DECISION_FIELDS = {
+    "g1": ("disposition", "verdict", "method", "escalation_reason", "contradiction_flag"),
+    "g2": ("disposition", "verdict", "method", "direction", "confidence", "below_floor"),
+    "g3": (
+        "disposition", "verdict", "method", "escalation_reason", "contradiction_flag",
+        "confidence",
+    ),
+}
+
+
+def decision_columns(gate: str) -> dict[str, Column]:
+    """The columns ``with_decision`` has added."""
+    return {name: F.col(f"_{gate}_{name}") for name in _DECISION_FIELDS[gate]}
+
+
+def with_columns(df: DataFrame, prefix: str, columns: Mapping[str, Column]) -> DataFrame:
+    return df.withColumns({f"{prefix}{name}": column for name, column in columns.items()})
+
+
+def prefixed(prefix: str, names) -> dict[str, Column]:
+    return {name: F.col(f"{prefix}{name}") for name in names}
+
+
+def with_decision(
+    df: DataFrame, gate: str, f: Mapping[str, Column], thresholds=None
+) -> DataFrame:
+    """``df`` with one gate's decision as ``_<gate>_...`` columns.
+
+    ``f`` must name plain columns of ``df``.
+    """
+    signals, decision = STEPS[gate]
+    found = signals(f, as_threshold_columns(thresholds))
+    staged = with_columns(df, f"_{gate}_s_", found)
+    return with_columns(
+        staged, f"_{gate}_", decision(prefixed(f"_{gate}_s_", found), f)
+    ).drop(*[f"_{gate}_s_{name}" for name in found])
+
+
+def with_cascade(df: DataFrame, f: Mapping[str, Column], thresholds=None) -> DataFrame:
+    """``df`` with the outcome of the whole cascade as plain columns."""
+    staged = df
+    for gate in STEPS:
+        staged = with_decision(staged, gate, f, thresholds)
+    outcome = cascade_outcome(*[decision_columns(gate) for gate in STEPS])
+    return staged.withColumns(outcome).drop(
+        *[f"_{gate}_{name}" for gate in STEPS for name in _DECISION_FIELDS[gate]]
+    )

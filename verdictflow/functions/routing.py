@@ -1,19 +1,26 @@
-"""Where a pair goes after a gate has looked at it."""
+"""Where a pair goes after a gate has looked at it.
+
+``decision`` is a struct column or a mapping of columns; routes are mappings of
+``gate``, ``tier``, ``decided_by`` and ``contradiction_flag``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 from verdictflow import vocab as V
-from verdictflow.functions.cols import struct_of
 
 _NONE = "string"
 
+Route = dict[str, Column]
+
+
+def _route(gate: Column, tier: Column, decided_by: Column, flag: Column) -> Route:
+    return {"gate": gate, "tier": tier, "decided_by": decided_by, "contradiction_flag": flag}
+
 
-def _route(gate: Column, tier: Column, decided_by: Column, flag: Column) -> Column:
-    return struct_of({
-        "gate": gate, "tier": tier, "decided_by": decided_by, "contradiction_flag": flag,
-    })
+def choose(condition: Column, first: Route, second: Route) -> Route:
+    return {name: F.when(condition, first[name]).otherwise(second[name]) for name in first}
 
 
 def _gate_after(disposition: Column, onward: str) -> Column:
@@ -23,7 +30,7 @@ def _gate_after(disposition: Column, onward: str) -> Column:
     )
 
 
-def route_g1(decision: Column) -> Column:
+def route_g1(decision) -> Route:
     """Settled pairs leave, escalations skip to the tail, the rest see G2."""
     d = decision["disposition"]
     return _route(
@@ -34,7 +41,7 @@ def route_g1(decision: Column) -> Column:
     )
 
 
-def route_g2(decision: Column, flag: Column) -> Column:
+def route_g2(decision, flag: Column) -> Route:
     """Settled pairs leave, the rest see G3; a flag set earlier stays."""
     d = decision["disposition"]
     return _route(
@@ -45,14 +52,14 @@ def route_g2(decision: Column, flag: Column) -> Column:
     )
 
 
-def pass_g2(flag: Column) -> Column:
+def pass_g2(flag: Column) -> Route:
     """Flagged pairs are handed on without being judged."""
     return _route(
         F.lit(V.G3), F.lit(V.TIER_CASCADE), F.lit(None).cast(_NONE), flag
     )
 
 
-def route_g3(decision: Column, flag: Column) -> Column:
+def route_g3(decision, flag: Column) -> Route:
     """A contradiction goes to a human and nobody claims to have decided it."""
     d = decision["disposition"]
     return _route(
@@ -65,14 +72,14 @@ def route_g3(decision: Column, flag: Column) -> Column:
     )
 
 
-def edge_relation_g3(decision: Column) -> Column:
+def edge_relation_g3(decision) -> Column:
     """The stored row names the candidate relation even where a human decides."""
     return F.when(
         decision["disposition"] == V.ROUTE_HUMAN, F.lit(V.CONTRADICTS)
     ).otherwise(decision["verdict"])
 
 
-def route_g4(outcome: Column, flag: Column) -> Column:
+def route_g4(outcome: Column, flag: Column) -> Route:
     """``outcome`` is DECIDED, SHADOW, CAP_EXCEEDED or LLM_ERROR."""
     to_human = outcome.isin(V.CAP_EXCEEDED, V.LLM_ERROR)
     return _route(

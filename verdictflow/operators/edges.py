@@ -189,12 +189,17 @@ def merge_edges(
             return F.when(F.col("_new.shadow").isNotNull(), fresh).otherwise(stale)
         return F.coalesce(fresh, stale)
 
-    touched = F.col("_new").isNotNull()
-    return old.join(new, "key", "full_outer").select(
+    # Merged numbers are plain columns before they are put into structs, so that
+    # nothing that reads a member of a struct later repeats the merging.
+    names = {path: f"_m{n}" for n, (path, _) in enumerate(_leaves(_MERGED))}
+    merged = old.join(new, "key", "full_outer").select(
         "key",
-        *_nested(value),
+        *[value(path).alias(name) for path, name in names.items()],
         F.coalesce("created_at", as_of).alias("created_at"),
-        F.when(touched, as_of).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(F.col("_new").isNotNull(), as_of).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+    return merged.select(
+        "key", *_nested(lambda path: F.col(names[path])), "created_at", "updated_at"
     )
 
 
@@ -224,7 +229,9 @@ def read_slot(edges: DataFrame, slot: str, wanted: DataFrame | None = None) -> D
 
 def read_family_a(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """First-family scores of each pair variant; incomplete ones are null."""
-    stored = read_slot(edges, "g1").select("key", g1_from_slot(F.col("g1")).alias("family_a"))
+    stored = edges.select(
+        "key", g1_from_slot(F.col("stage_scores.g1")).alias("family_a")
+    )
     return pairs.withColumn("key", keys.edge_key("a_id", "b_id", "with_context")).join(
         stored, "key", "left"
     )

@@ -119,22 +119,22 @@ def count_decided_by(state: DataFrame) -> DataFrame:
 ROUTE_FIELDS = ("gate", "tier", "decided_by", "contradiction_flag", "run_request_id")
 
 
-def guarded_routes(state: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def guarded_routes(state: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply routing updates to pairs that are still where they were claimed.
 
     ``updates(pair_id, claimed_gate, claimed_owner, route)`` with ``route`` a
-    struct of the routing fields, one row per pair. Returns the new state and
-    the updates that came too late.
+    struct of the routing fields, one row per pair. Returns the new state with
+    ``applied``: true, false for an update that came too late, null without one.
     """
     joined = state.join(
         updates.select("pair_id", "claimed_gate", "claimed_owner", "route"), "pair_id", "left"
     )
     owner = F.col("lease_owner") if "lease_owner" in state.columns else F.lit(None).cast("string")
-    current = (
-        F.col("route").isNotNull()
-        & F.col("gate").eqNullSafe(F.col("claimed_gate"))
-        & owner.eqNullSafe(F.col("claimed_owner"))
+    holds = F.col("gate").eqNullSafe(F.col("claimed_gate")) & owner.eqNullSafe(
+        F.col("claimed_owner")
     )
+    marked = joined.withColumn("applied", F.when(F.col("route").isNotNull(), holds))
+    current = F.coalesce("applied", F.lit(False))
     fields: dict[str, Column] = {
         name: F.when(current, F.col(f"route.{name}")).otherwise(F.col(name))
         for name in ROUTE_FIELDS
@@ -142,11 +142,9 @@ def guarded_routes(state: DataFrame, updates: DataFrame) -> tuple[DataFrame, Dat
     if "lease_owner" in state.columns:
         for name, kind in (("lease_owner", "string"), ("lease_expires_at", "timestamp")):
             fields[name] = F.when(current, F.lit(None).cast(kind)).otherwise(F.col(name))
-    routed = joined.select(*[fields.get(name, F.col(name)).alias(name) for name in state.columns])
-    stale = joined.where(F.col("route").isNotNull() & ~current).select(
-        "pair_id", "claimed_gate", F.col("gate").alias("current_gate")
+    return marked.select(
+        *[fields.get(name, F.col(name)).alias(name) for name in state.columns], "applied"
     )
-    return routed, stale
 
 
 def distinct_claim_ids(pairs: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def _at(state: DataFrame, gate: str, runs: DataFrame) -> DataFrame:
     return state.where(F.col("gate") == gate).join(runs, "stage3_run_id")
 
 
-def _with_route(judged: DataFrame, state: DataFrame, route: Column) -> DataFrame:
+def _with_route(judged: DataFrame, state: DataFrame, route: R.Route) -> DataFrame:
     """Judged rows with their new routing, in the columns of the pair table."""
     new = {
         name: route[name].alias(name)
@@ -123,7 +123,7 @@ def _counters(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
 # --- conditions shared by the single gates and the fused job --------------------------
 
 
-def g1_counts(decision: Column, truncated: Column) -> dict[str, Column]:
+def g1_counts(decision, truncated: Column) -> dict[str, Column]:
     d, v = decision["disposition"], decision["verdict"]
     return {
         "seen": F.lit(True),
@@ -136,7 +136,7 @@ def g1_counts(decision: Column, truncated: Column) -> dict[str, Column]:
     }
 
 
-def g2_counts(decision: Column, flagged: Column, grounded: Column, truncated: Column) -> dict[str, Column]:
+def g2_counts(decision, flagged: Column, grounded: Column, truncated: Column) -> dict[str, Column]:
     d = decision["disposition"]
     return {
         "seen": ~flagged,
@@ -148,7 +148,7 @@ def g2_counts(decision: Column, flagged: Column, grounded: Column, truncated: Co
     }
 
 
-def g3_counts(decision: Column, truncated: Column) -> dict[str, Column]:
+def g3_counts(decision, truncated: Column) -> dict[str, Column]:
     d = decision["disposition"]
     return {
         "seen": F.lit(True),
@@ -177,10 +177,7 @@ def run_g1(
     usable = _has(F.col("g1"), "fwd", "bwd")
     rows, rejects = _checked(rows, usable, "no first-gate scores for pair", on_missing)
     g1 = F.col("g1")
-    judged = _as_run_rows(rows).withColumn("f", struct_of(D.g1_features(g1))).withColumn(
-        "decision", D.decide_g1(_members("f", D.g1_features(g1)), _thresholds())
-    )
-    decision = F.col("decision")
+    judged, decision = _decide(_as_run_rows(rows), "g1", D.g1_features(g1))
     edges = E.edge_updates(
         judged, method=V.METHOD_G1, slot=("g1", S.g1_slot(g1)), relation=decision["verdict"],
         escalation_reason=decision["escalation_reason"], truncated=D.g1_truncated(g1),
@@ -194,8 +191,13 @@ def run_g1(
     )
 
 
-def _members(struct: str, names) -> dict[str, Column]:
-    return {name: F.col(f"{struct}.{name}") for name in names}
+def _decide(
+    rows: DataFrame, gate: str, features: dict[str, Column]
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with features and decision as flat columns, and the decision's columns."""
+    staged = D.with_columns(rows, "_f_", features)
+    judged = D.with_decision(staged, gate, D.prefixed("_f_", features), _thresholds())
+    return judged, D.decision_columns(gate)
 
 
 def _ungrounded_if_off(scores: DataFrame) -> tuple[Column, Column, Column]:
@@ -224,13 +226,8 @@ def run_g2(
     usable = flagged | _has(F.col("g2"), "fwd", "bwd")
     rows, rejects = _checked(rows, usable, "no second-gate scores for pair", on_missing)
     seen, fwd, bwd = _ungrounded_if_off(scores)
-    judged = (
-        _as_run_rows(rows)
-        .withColumns({"seen": seen, "gf": fwd, "gb": bwd})
-        .withColumn("f", struct_of(D.g2_features(F.col("seen"))))
-        .withColumn("decision", D.decide_g2(_members("f", ("support", "direction")), _thresholds()))
-    )
-    decision = F.col("decision")
+    staged = _as_run_rows(rows).withColumns({"seen": seen, "gf": fwd, "gb": bwd})
+    judged, decision = _decide(staged, "g2", D.g2_features(F.col("seen")))
     truncated = D.g2_truncated(F.col("seen"))
     edges = E.edge_updates(
         judged.where(~flagged), method=V.METHOD_G2,
@@ -239,7 +236,7 @@ def run_g2(
         attempt=F.col("run.attempt"), judge_model=F.col("run.g2_model"),
         mode=F.col("run.judge_mode"), seq=2,
     )
-    route = F.when(flagged, R.pass_g2(flagged)).otherwise(R.route_g2(decision, flagged))
+    route = R.choose(flagged, R.pass_g2(flagged), R.route_g2(decision, flagged))
     moved = _with_route(judged, state, route)
     counts = g2_counts(decision, flagged, F.col("seen.grounded").isNotNull(), truncated)
     return GateResult(
@@ -265,10 +262,7 @@ def run_g3(
         "a_contra": one["a_contra"], "b_contra": three["b_contra"],
         "leans": one["a_leans"] & three["b_leans"],
     }
-    judged = _as_run_rows(rows).withColumn("f", struct_of(features)).withColumn(
-        "decision", D.decide_g3(_members("f", features), _thresholds())
-    )
-    decision = F.col("decision")
+    judged, decision = _decide(_as_run_rows(rows), "g3", features)
     # The stored first family does not carry its truncation, so only the second counts.
     truncated = D.family_b_truncated(F.col("g3"))
     updates = E.edge_updates(
@@ -364,18 +358,20 @@ def judge_pairs(
     rows, rejects = _checked(rows, usable, "no complete scores for pair", on_missing)
     seen, fwd, bwd = _ungrounded_if_off(scores)
     features = D.cascade_features(g1, F.col("seen"), g3)
-    t, f = _thresholds(), _members("f", D.FEATURES)
-    judged = (
-        _as_run_rows(rows)
-        .withColumns({"seen": seen, "gf": fwd, "gb": bwd})
-        .withColumn("f", struct_of({name: features[name] for name in D.FEATURES}))
-        .withColumns({"d1": D.decide_g1(f, t), "d2": D.decide_g2(f, t), "d3": D.decide_g3(f, t)})
+    staged = D.with_columns(
+        _as_run_rows(rows).withColumns({"seen": seen, "gf": fwd, "gb": bwd}), "_f_", features
     )
-    d1, d2, d3 = F.col("d1"), F.col("d2"), F.col("d3")
+    for gate in ("g1", "g2", "g3"):
+        staged = D.with_decision(staged, gate, D.prefixed("_f_", features), _thresholds())
+    d1, d2, d3 = (D.decision_columns(gate) for gate in ("g1", "g2", "g3"))
     flag = d1["contradiction_flag"]
-    past_g1 = d1["disposition"] == V.FORWARD
-    judged_g2 = past_g1 & ~flag
-    past_g2 = past_g1 & (flag | (d2["disposition"] == V.FORWARD))
+    at_g1_done = d1["disposition"] == V.FORWARD
+    judged = staged.withColumns({
+        "_past_g1": at_g1_done,
+        "_judged_g2": at_g1_done & ~flag,
+        "_past_g2": at_g1_done & (flag | (d2["disposition"] == V.FORWARD)),
+    })
+    past_g1, judged_g2, past_g2 = (F.col(n) for n in ("_past_g1", "_judged_g2", "_past_g2"))
 
     def last(one: Column, two: Column, three: Column) -> Column:
         """Value of the last gate that judged the pair."""
@@ -405,7 +401,7 @@ def judge_pairs(
         method_column=last(F.lit(V.METHOD_G1), F.lit(V.METHOD_G2), F.lit(V.METHOD_G3)),
     )
     first, second = R.route_g1(d1), R.route_g2(d2, flag)
-    route = F.when(past_g2, R.route_g3(d3, flag)).when(judged_g2, second).otherwise(first)
+    route = R.choose(past_g2, R.route_g3(d3, flag), R.choose(judged_g2, second, first))
     result = GateResult(
         _next_state(state, runs, [V.G1], _with_route(judged, state, route), rejects), base,
         _counters(judged, g1_counts(d1, D.g1_truncated(g1))), rejects,

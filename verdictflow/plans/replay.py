@@ -22,6 +22,17 @@ from verdictflow.functions import decisions as D
 from verdictflow.operators import metrics as M
 
 LABELS = ("ensemble_verdict", "golden")
+OUTCOME = (
+    "gate", "disposition", "verdict", "method", "escalation_reason", "confidence",
+    "contradiction_flag",
+)
+
+
+def _judge(features: DataFrame, thresholds) -> DataFrame:
+    """Features and everything else on the row, with the outcome's columns."""
+    staged = features.withColumnRenamed("direction", "_direction")
+    f = {**D.feature_columns(), "direction": F.col("_direction")}
+    return D.with_cascade(staged, f, thresholds)
 
 
 def pair_features(scored: DataFrame, keys: Sequence[str] = ("roster",)) -> DataFrame:
@@ -45,10 +56,7 @@ def replay(
     keys: Sequence[str] = ("roster",),
 ) -> DataFrame:
     """Outcome of every pair at one setting of the thresholds: a projection."""
-    outcome = D.run_cascade(D.feature_columns(), thresholds)
-    return features.select(
-        *keys, "pair_id", *LABELS, outcome.alias("outcome")
-    ).select(*keys, "pair_id", *LABELS, "outcome.*")
+    return _judge(features, thresholds).select(*keys, "pair_id", *LABELS, *OUTCOME)
 
 
 # --- signatures -----------------------------------------------------------------------
@@ -161,10 +169,8 @@ def grid_search(
     in_cell = cell_columns(axes)
     for axis, column in in_cell.items():
         thresholds[V.SWEEPABLE[axis]] = column
-    outcome = D.run_cascade(D.feature_columns(), thresholds)
-    judged = expanded.select(
-        *keys, "cell", "pairs", *LABELS, outcome.alias("outcome")
-    ).select(*keys, "cell", "pairs", *LABELS, "outcome.disposition", "outcome.verdict")
+    staged = D.with_columns(expanded, "_t_", thresholds)
+    judged = _judge(staged, D.prefixed("_t_", thresholds))
     counts = M.outcome_counts(judged, [*keys, "cell"], F.col("pairs"))
     criteria = M.go_bar_columns(bar)
     return counts.select(
@@ -206,10 +212,11 @@ def sweep(
         thresholds[field] = F.when(
             F.col("point.axis") == axis, F.col("point.value")
         ).otherwise(thresholds[field])
-    outcome = D.run_cascade(D.feature_columns(), thresholds)
-    judged = expanded.select(
-        *keys, "point.axis", "point.value", "pairs", *LABELS, outcome.alias("outcome")
-    ).select(*keys, "axis", "value", "pairs", *LABELS, "outcome.disposition", "outcome.verdict")
+    staged = D.with_columns(
+        expanded.withColumns({"axis": F.col("point.axis"), "value": F.col("point.value")}),
+        "_t_", thresholds,
+    )
+    judged = _judge(staged, D.prefixed("_t_", thresholds))
     counts = M.outcome_counts(judged, [*keys, "axis", "value"], F.col("pairs"))
     return M.coverage_curve(counts, [*keys, "axis", "value"])
 
@@ -293,10 +300,9 @@ def build_report(
     calibrated = features.join(
         F.broadcast(tables["thresholds"].drop("from_grid")), "roster"
     )
-    outcomes = calibrated.select(
-        "roster", "pair_id", *LABELS,
-        D.run_cascade(D.feature_columns(), D.threshold_columns()).alias("outcome"),
-    ).select("roster", "pair_id", *LABELS, "outcome.*")
+    outcomes = _judge(calibrated, D.threshold_columns()).select(
+        "roster", "pair_id", *LABELS, *OUTCOME
+    )
     counts = M.outcome_counts(outcomes, keys)
     tables["outcomes"] = outcomes
     tables["per_verdict"] = M.per_verdict_scores(counts, keys)

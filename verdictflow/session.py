@@ -14,6 +14,9 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Filters are written out here, so inferring more of them gains nothing, and on
+    # wide projections of dependent columns that inference grows exponentially.
+    "spark.sql.constraintPropagation.enabled": "false",
     # A lookup join followed by an aggregate on the same key would otherwise
     # keep a hot key in one task.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
