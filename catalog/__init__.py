@@ -3,7 +3,7 @@
 from catalog.registry import ORACLES, QUERIES
 
 from catalog import (  # noqa: E402,F401  (importing registers the queries)
-    pair_queries, gate_queries,
+    gate_queries, pair_queries, replay_queries, tail_queries,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,11 +8,10 @@ branch, computed alike by Spark and by SQL. They are no model output.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdictflow.functions import keys, settings
 from verdictflow.session import RECOMMENDED
-from verdictflow.functions.stage_scores import stronger_grounding
 
 NEIGHBOURS = 16
 
@@ -107,75 +106,83 @@ SCORES_SQL = PAIRS_SQL + """, q AS (
 )"""
 
 
-def _milli(value: Column, unit: int = 1000) -> Column:
-    return value.cast("double") / F.lit(float(unit))
+ROSTERS = ("base", "half")
+
+# A second roster: the same numbers with halved contradiction scores.
+ROSTERS_SQL = SCORES_SQL + """, sr AS (
+  SELECT 'base' AS roster, * FROM s UNION ALL
+  SELECT 'half' AS roster, * REPLACE (con_fwd / 2 AS con_fwd, con_bwd / 2 AS con_bwd, con_b / 2 AS con_b)
+  FROM s
+)"""
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_pairs(
+    spark: SparkSession, sf_dir: str, rosters: tuple[str, ...] = ROSTERS[:1]
+) -> DataFrame:
     """Pairs with synthetic scores, labels, and the golden flag from ``labels``."""
-    labels = load(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("a_doc"), (F.col("quality") == 1).alias("golden")
+    names = ", ".join(f"'{name}'" for name in rosters)
+    labels = load(spark, sf_dir, "labels").selectExpr("doc_id AS a_doc", "quality = 1 AS golden")
+    drawn = pairs(spark, sf_dir).join(labels, "a_doc", "left").selectExpr(
+        "* EXCEPT (golden)",
+        f"explode(array({names})) AS roster",
+        "coalesce(golden, false) AS golden",
+        "CASE WHEN h1 % 20 < 15 THEN h2 % 22 ELSE h3 % 1000 END AS conf_m",
+        "CASE WHEN h1 % 20 < 15 THEN (h2 + 5) % 22 ELSE (h3 + 300) % 1000 END AS conb_m",
+        "CASE WHEN h4 % 10 < 6 THEN 960 + h2 % 40 WHEN h4 % 10 < 8 THEN h3 % 60 "
+        "ELSE h3 % 1000 END AS share_m",
+        "CASE WHEN h1 % 20 < 15 THEN h3 % 130 ELSE (h3 + h4) % 1000 END AS b_con_m",
+    ).selectExpr(
+        "*", "((1000 - conf_m) * share_m) div 1000 AS neuf_m",
+        "((1000 - conb_m) * share_m) div 1000 AS neub_m",
     )
-    h1, h2, h3, h4 = (F.col(name) for name in ("h1", "h2", "h3", "h4"))
-    mostly = h1 % 20 < 15
-    base = pairs(spark, sf_dir).join(labels, "a_doc", "left").withColumns({
-        "golden": F.coalesce("golden", F.lit(False)),
-        "conf_m": F.when(mostly, h2 % 22).otherwise(h3 % 1000),
-        "conb_m": F.when(mostly, (h2 + 5) % 22).otherwise((h3 + 300) % 1000),
-        "share_m": F.when(h4 % 10 < 6, 960 + h2 % 40).when(h4 % 10 < 8, h3 % 60).otherwise(h3 % 1000),
-        "b_con_m": F.when(mostly, h3 % 130).otherwise((h3 + h4) % 1000),
-    })
-    base = base.withColumns({
-        "neuf_m": F.floor((1000 - F.col("conf_m")) * F.col("share_m") / 1000),
-        "neub_m": F.floor((1000 - F.col("conb_m")) * F.col("share_m") / 1000),
-    })
-    conf, conb, neuf, neub, b_con = (
-        F.col(n) for n in ("conf_m", "conb_m", "neuf_m", "neub_m", "b_con_m")
+    flat = drawn.selectExpr(
+        "*", "CASE WHEN roster = 'half' THEN 0.5D ELSE 1D END AS factor"
+    ).selectExpr(
+        "*",
+        "(1000 - conf_m - neuf_m) / 1000D AS ent_fwd", "neuf_m / 1000D AS neu_fwd",
+        "conf_m / 1000D * factor AS con_fwd",
+        "(1000 - conb_m - neub_m) / 1000D AS ent_bwd", "neub_m / 1000D AS neu_bwd",
+        "conb_m / 1000D * factor AS con_bwd",
+        "neuf_m / CASE WHEN h4 % 5 = 0 THEN 2000D ELSE 1000D END AS ctx_neu_fwd",
+        "neub_m / CASE WHEN h4 % 5 = 0 THEN 2000D ELSE 1000D END AS ctx_neu_bwd",
+        "((h2 * 7 + h3) % 1000) / 1000D AS sup_fwd", "((h2 * 3 + h4) % 1000) / 1000D AS sup_bwd",
+        "CASE WHEN rank % 3 = 0 THEN ((h3 * 5 + h4) % 1000) / 1000D END AS sup_gf",
+        "CASE WHEN rank % 5 = 0 THEN ((h1 * 3 + h2) % 1000) / 1000D END AS sup_gb",
+        "b_con_m / 1000D * factor AS con_b", "(1000 - b_con_m) / 1000D AS neu_b",
+        "h1 % 50 = 0 AS trunc_a", "h2 % 40 = 0 AS trunc_s", "h3 % 60 = 0 AS trunc_b",
+        """CASE WHEN conf_m >= 850 THEN 'CONTRADICTS' WHEN neuf_m >= 900 THEN 'NEUTRAL'
+           WHEN (h2 * 7 + h3) % 1000 >= 850 THEN 'CORROBORATES'
+           WHEN 1000 - conf_m - neuf_m >= 850 THEN 'REPEATS' ELSE 'NEUTRAL' END
+           AS ensemble_verdict""",
     )
-    ctx, moved, sup = F.col("with_context"), h4 % 5 == 0, (h2 * 7 + h3) % 1000
-    flat = base.withColumns({
-        "ent_fwd": _milli(1000 - conf - neuf), "neu_fwd": _milli(neuf), "con_fwd": _milli(conf),
-        "ent_bwd": _milli(1000 - conb - neub), "neu_bwd": _milli(neub), "con_bwd": _milli(conb),
-        "ctx_neu_fwd": F.when(moved, _milli(neuf, 2000)).otherwise(_milli(neuf)),
-        "ctx_neu_bwd": F.when(moved, _milli(neub, 2000)).otherwise(_milli(neub)),
-        "sup_fwd": _milli(sup), "sup_bwd": _milli((h2 * 3 + h4) % 1000),
-        "sup_gf": F.when(F.col("rank") % 3 == 0, _milli((h3 * 5 + h4) % 1000)),
-        "sup_gb": F.when(F.col("rank") % 5 == 0, _milli((h1 * 3 + h2) % 1000)),
-        "con_b": _milli(b_con), "neu_b": _milli(1000 - b_con), "zero": F.lit(0.0),
-        "trunc_a": h1 % 50 == 0, "trunc_s": h2 % 40 == 0, "trunc_b": h3 % 60 == 0,
-        "no": F.lit(False),
-        "ensemble_verdict": F.when(conf >= 850, "CONTRADICTS")
-        .when(neuf >= 900, "NEUTRAL")
-        .when(sup >= 850, "CORROBORATES")
-        .when(1000 - conf - neuf >= 850, "REPEATS")
-        .otherwise("NEUTRAL"),
-    })
 
-    def nli(ent: str, neu: str, con: str, cut: str) -> Column:
-        return F.struct(
-            F.col(ent).alias("entailment"), F.col(neu).alias("neutral"),
-            F.col(con).alias("contradiction"), F.col(cut).alias("truncated"),
+    def nli(ent: str, neu: str, con: str, cut: str) -> str:
+        return (
+            f"named_struct('entailment', {ent}, 'neutral', {neu}, 'contradiction', {con}, "
+            f"'truncated', {cut})"
         )
 
-    def support(name: str) -> Column:
-        score = F.struct(F.col(name).alias("support"), F.col("trunc_s").alias("truncated"))
-        return F.when(F.col(name).isNotNull(), score)
-
-    family_b = nli("zero", "neu_b", "con_b", "trunc_b")
-    scored = flat.withColumns({"grounded_fwd": support("sup_gf"), "grounded_bwd": support("sup_gb")})
-    return scored.withColumns({
-        "g1": F.struct(
-            nli("ent_fwd", "neu_fwd", "con_fwd", "trunc_a").alias("fwd"),
-            nli("ent_bwd", "neu_bwd", "con_bwd", "no").alias("bwd"),
-            F.when(ctx, nli("ent_fwd", "ctx_neu_fwd", "con_fwd", "no")).alias("ctx_fwd"),
-            F.when(ctx, nli("ent_bwd", "ctx_neu_bwd", "con_bwd", "no")).alias("ctx_bwd"),
-        ),
-        "g2": F.struct(
-            support("sup_fwd").alias("fwd"), support("sup_bwd").alias("bwd"),
-            stronger_grounding(F.col("grounded_fwd"), F.col("grounded_bwd")).alias("grounded"),
-        ),
-        "g3": F.struct(family_b.alias("fwd"), family_b.alias("bwd")),
-    })
+    def support(name: str) -> str:
+        return (
+            f"CASE WHEN {name} IS NOT NULL THEN "
+            f"named_struct('support', {name}, 'truncated', trunc_s) END"
+        )
+
+    family_b = nli("0D", "neu_b", "con_b", "trunc_b")
+    ctx_fwd = nli("ent_fwd", "ctx_neu_fwd", "con_fwd", "false")
+    ctx_bwd = nli("ent_bwd", "ctx_neu_bwd", "con_bwd", "false")
+    grounded = "CASE WHEN sup_gb IS NULL OR sup_gf >= sup_gb THEN sup_gf ELSE sup_gb END"
+    return flat.selectExpr("*", f"{grounded} AS sup_g").selectExpr(
+        "*",
+        f"{support('sup_gf')} AS grounded_fwd", f"{support('sup_gb')} AS grounded_bwd",
+        f"named_struct('fwd', {nli('ent_fwd', 'neu_fwd', 'con_fwd', 'trunc_a')}, "
+        f"'bwd', {nli('ent_bwd', 'neu_bwd', 'con_bwd', 'false')}, "
+        f"'ctx_fwd', CASE WHEN with_context THEN {ctx_fwd} END, "
+        f"'ctx_bwd', CASE WHEN with_context THEN {ctx_bwd} END) AS g1",
+        f"named_struct('fwd', {support('sup_fwd')}, 'bwd', {support('sup_bwd')}, "
+        f"'grounded', {support('sup_g')}) AS g2",
+        f"named_struct('fwd', {family_b}, 'bwd', {family_b}) AS g3",
+    )
 
 
 # --- the cascade in SQL ---------------------------------------------------------------

@@ -6,7 +6,7 @@ good and bad messages can be split into two sinks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from verdictflow import vocab as V
 from verdictflow.functions import variants
@@ -60,83 +60,109 @@ def _raw(document: Column, name: str) -> Column:
     return F.try_variant_get(document, f"$['{name}']", "variant")
 
 
-def _string_field(document: Column, name: str) -> Column:
-    """A non-empty JSON string, or null for anything else."""
-    value = _raw(document, name)
-    text = F.when(variants.kind(value) == "STRING", variants.as_text(value))
-    return F.nullif(text, F.lit(""))
+_STEP = "_req_"
 
 
-def request_reject_reason(document: Column) -> Column:
-    """Null for a valid request, else the first rule it breaks.
+def _step(name: str) -> Column:
+    return F.col(_STEP + name)
 
-    ``document`` is the parsed body (VARIANT, null where it is not JSON). The
+
+def _add(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return df.withColumns({_STEP + name: column for name, column in columns.items()})
+
+
+def _non_empty_string(value: Column) -> Column:
+    return F.when(variants.kind(value) == "STRING", F.nullif(variants.as_text(value), F.lit("")))
+
+
+def parse_requests(df: DataFrame, body: str) -> DataFrame:
+    """Bodies (JSON text) as request columns in snake_case plus ``reject_reason``.
+
+    The reason is null for a valid request, else the first rule it breaks. The
     version is judged before unknown members: a newer message also carries
     members this build does not know, and the version is the honest diagnosis.
+    Every step is a column of its own, so a body is parsed once.
     """
-    names = member_names(document)
-    version = _raw(document, "schemaVersion")
-    text = {name: _string_field(document, name) for name in REQUEST_FIELDS}
-    number = F.try_variant_get(version, "$", "bigint")
-    return (
-        F.when(document.isNull(), F.lit("body_not_json"))
-        .when(names.isNull(), "body_not_object")
-        .when(~F.array_contains(names, "schemaVersion"), "version_missing")
-        .when(~F.coalesce(F.schema_of_variant(version) == "BIGINT", F.lit(False)), "version_type")
-        .when(~number.isin(*V.REQUEST_SCHEMA_VERSIONS), "version_unsupported")
-        .when(F.size(unknown_fields(document)) > 0, "unknown_fields")
-        .when(F.size(missing_fields(document)) > 0, "missing_fields")
-        .when(parse_rfc3339(text["requestTimestamp"]).isNull(), "request_timestamp")
-        .when(~is_uuid4(text["runRequestId"]), "run_request_id")
-        .when(text["intakeId"].isNull(), "intake_id")
-        .when(text["stage3RunId"].isNull(), "stage3_run_id")
-        .when(~is_token(text["gate"], V.GATES), "gate")
-        .when(~is_token(text["mode"], V.RUN_MODES), "mode")
-        .when(~is_token(text["triggeredBy"], V.TRIGGERS), "triggered_by")
-    )
+    staged = _add(df, {"doc": variants.parse(body)})
+    staged = _add(staged, {
+        "names": member_names(_step("doc")),
+        **{f"v_{name}": _raw(_step("doc"), name) for name in REQUEST_FIELDS},
+    })
+    wanted = _literal_names()
+    staged = _add(staged, {
+        "version_kind": F.schema_of_variant(_step("v_schemaVersion")),
+        "version": F.try_variant_get(_step("v_schemaVersion"), "$", "bigint"),
+        "unknown": F.size(F.array_except(_step("names"), wanted)),
+        "missing": F.size(F.array_except(wanted, _step("names"))),
+        **{
+            f"t_{name}": _non_empty_string(_step(f"v_{name}"))
+            for name in REQUEST_FIELDS if name != "schemaVersion"
+        },
+    })
 
+    def text(name: str) -> Column:
+        return _step(f"t_{name}")
 
-def request_fields(document: Column) -> Column:
-    """The request as a struct with snake_case members."""
-    fields = {
-        target: _string_field(document, name)
-        for name, target in REQUEST_FIELDS.items()
-        if name != "schemaVersion"
-    }
-    version = F.try_variant_get(document, "$['schemaVersion']", "int")
-    return struct_of({"schema_version": version, **fields})
-
-
-def decode_envelope(envelope: Column | str) -> Column:
-    """A delivery envelope (JSON text) as body, delivery metadata and reject reason."""
-    document = variants.parse(envelope)
-    message = F.try_variant_get(document, "$['message']", "variant")
-    data = _string_field(message, "data")
-    is_base64 = F.coalesce(data.rlike(BASE64), F.lit(False))
-    raw = F.when(is_base64, F.unbase64(data))
-    body = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    attempt = F.try_variant_get(document, "$['deliveryAttempt']", "variant")
     reason = (
-        F.when(
-            F.coalesce(variants.kind(document) != "OBJECT", F.lit(True)),
-            F.lit("envelope_not_object"),
-        )
-        .when(
-            F.coalesce(variants.kind(message) != "OBJECT", F.lit(True)), "envelope_message_missing"
-        )
-        .when(data.isNull(), "envelope_data_missing")
-        .when(~is_base64, "envelope_data_not_base64")
+        F.when(_step("doc").isNull(), F.lit("body_not_json"))
+        .when(_step("names").isNull(), "body_not_object")
+        .when(~F.array_contains(_step("names"), "schemaVersion"), "version_missing")
+        .when(~F.coalesce(_step("version_kind") == "BIGINT", F.lit(False)), "version_type")
+        .when(~_step("version").isin(*V.REQUEST_SCHEMA_VERSIONS), "version_unsupported")
+        .when(_step("unknown") > 0, "unknown_fields")
+        .when(_step("missing") > 0, "missing_fields")
+        .when(parse_rfc3339(text("requestTimestamp")).isNull(), "request_timestamp")
+        .when(~is_uuid4(text("runRequestId")), "run_request_id")
+        .when(text("intakeId").isNull(), "intake_id")
+        .when(text("stage3RunId").isNull(), "stage3_run_id")
+        .when(~is_token(text("gate"), V.GATES), "gate")
+        .when(~is_token(text("mode"), V.RUN_MODES), "mode")
+        .when(~is_token(text("triggeredBy"), V.TRIGGERS), "triggered_by")
     )
-    return struct_of({
-        "body": body,
-        "message_id": F.coalesce(variants.as_text(_raw(message, "messageId")), F.lit("")),
-        "publish_time": F.coalesce(variants.as_text(_raw(message, "publishTime")), F.lit("")),
-        "delivery_attempt": F.when(
-            F.schema_of_variant(attempt) == "BIGINT", F.try_variant_get(attempt, "$", "int")
-        ),
-        "subscription": F.coalesce(variants.as_text(_raw(document, "subscription")), F.lit("")),
-        "reject_reason": reason,
+    fields = [
+        (_step("version").cast("int") if name == "schemaVersion" else text(name)).alias(target)
+        for name, target in REQUEST_FIELDS.items()
+    ]
+    return staged.select(*df.columns, *fields, reason.alias("reject_reason"))
+
+
+def decode_envelopes(df: DataFrame, envelope: str) -> DataFrame:
+    """Delivery envelopes (JSON text) as ``body``, delivery metadata and ``envelope_problem``."""
+    staged = _add(df, {"env": variants.parse(envelope)})
+    staged = _add(staged, {
+        "env_kind": variants.kind(_step("env")),
+        "msg": F.try_variant_get(_step("env"), "$['message']", "variant"),
+        "attempt": F.try_variant_get(_step("env"), "$['deliveryAttempt']", "variant"),
+    })
+    staged = _add(staged, {
+        "msg_kind": variants.kind(_step("msg")),
+        "data": _non_empty_string(_raw(_step("msg"), "data")),
     })
+    staged = _add(staged, {"is64": F.coalesce(_step("data").rlike(BASE64), F.lit(False))})
+    staged = _add(staged, {"raw": F.when(_step("is64"), F.unbase64(_step("data"))).cast("string")})
+    problem = (
+        F.when(F.coalesce(_step("env_kind") != "OBJECT", F.lit(True)), F.lit("envelope_not_object"))
+        .when(F.coalesce(_step("msg_kind") != "OBJECT", F.lit(True)), "envelope_message_missing")
+        .when(_step("data").isNull(), "envelope_data_missing")
+        .when(~_step("is64"), "envelope_data_not_base64")
+    )
+
+    def member(owner: str, name: str) -> Column:
+        return F.coalesce(variants.as_text(_raw(_step(owner), name)), F.lit("")).alias(
+            {"messageId": "message_id", "publishTime": "publish_time"}.get(name, name)
+        )
+
+    return staged.select(
+        *df.columns,
+        F.when(F.is_valid_utf8(_step("raw")), _step("raw")).alias("body"),
+        member("msg", "messageId"), member("msg", "publishTime"),
+        F.when(
+            F.schema_of_variant(_step("attempt")) == "BIGINT",
+            F.try_variant_get(_step("attempt"), "$", "int"),
+        ).alias("delivery_attempt"),
+        member("env", "subscription"),
+        problem.alias("envelope_problem"),
+    )
 
 
 def parse_artifact_ref(value: Column | str) -> Column:

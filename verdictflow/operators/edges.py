@@ -103,70 +103,63 @@ def edge_updates(
 # included. Score slots merge number by number.
 
 
-def _leaves(kind: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
+def _leaves(kind: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
     found = []
     for field in kind.fields:
         here = (*path, field.name)
         if isinstance(field.dataType, T.StructType):
             found += _leaves(field.dataType, here)
         else:
-            found.append((here, field.dataType))
+            found.append(here)
     return found
 
 
-def _rebuild(kind: T.StructType, value, path: tuple[str, ...] = ()) -> Column:
+_MERGED = T.StructType([
+    field for field in schemas.EDGES
+    if field.name not in ("key", "created_at", "updated_at")
+])
+_LEAVES = {path: f"_m{number}" for number, path in enumerate(_leaves(_MERGED))}
+
+
+def _rebuild(kind: T.StructType, path: tuple[str, ...]) -> str:
+    """SQL for a struct out of the flat columns; null when all of them are."""
     members = []
     for field in kind.fields:
         here = (*path, field.name)
-        if isinstance(field.dataType, T.StructType):
-            members.append(_rebuild(field.dataType, value, here).alias(field.name))
-        else:
-            members.append(value(here).alias(field.name))
-    filled = F.lit(False)
-    for here, _ in _leaves(kind, path):
-        filled = filled | value(here).isNotNull()
-    return F.when(filled, F.struct(*members))
+        inner = field.dataType
+        value = _rebuild(inner, here) if isinstance(inner, T.StructType) else _LEAVES[here]
+        members.append(f"'{field.name}', {value}")
+    filled = " OR ".join(f"{_LEAVES[leaf]} IS NOT NULL" for leaf in _leaves(kind, path))
+    return f"CASE WHEN {filled} THEN named_struct({', '.join(members)}) END"
 
 
-_MERGED = T.StructType([
-    field for field in schemas.EDGES
-    if field.name not in ("key", "created_at", "updated_at")
-])
+def _nested() -> list[str]:
+    """Select list that turns the flat columns back into the table's columns."""
+    return [
+        f"{_rebuild(field.dataType, (field.name,))} AS {field.name}"
+        if isinstance(field.dataType, T.StructType)
+        else f"{_LEAVES[(field.name,)]} AS {field.name}"
+        for field in _MERGED.fields
+    ]
 
 
 def _overwrites(path: tuple[str, ...]) -> bool:
     return path[0] == "shadow" and path[1] != "stage_scores"
 
 
-def _member(root: str, path: tuple[str, ...]) -> Column:
-    return F.col(".".join((root, *path)) if root else ".".join(path))
-
-
 def combine_updates(updates: DataFrame) -> DataFrame:
     """Several updates of one row into one, applied in ``seq`` order.
 
     A key has as many updates as gates touched it, so groups are tiny.
     """
-    aggregates = []
-    names: dict[tuple[str, ...], str] = {}
-    for position, (path, _) in enumerate(_leaves(_MERGED)):
-        value = _member("", path)
-        counts = F.col("shadow").isNotNull() if _overwrites(path) else value.isNotNull()
-        names[path] = f"_{position}"
-        aggregates.append(F.max_by(value, F.when(counts, F.col("seq"))).alias(names[path]))
-    flat = updates.groupBy("key").agg(*aggregates)
-    return flat.select("key", *_nested(lambda path: F.col(names[path])))
-
-
-def _nested(value) -> list[Column]:
-    result = []
-    for field in _MERGED.fields:
-        here = (field.name,)
-        if isinstance(field.dataType, T.StructType):
-            result.append(_rebuild(field.dataType, value, here).alias(field.name))
-        else:
-            result.append(value(here).alias(field.name))
-    return result
+    latest = []
+    for path, name in _LEAVES.items():
+        value = ".".join(path)
+        counts = "shadow" if _overwrites(path) else value
+        latest.append(F.expr(
+            f"max_by({value}, CASE WHEN {counts} IS NOT NULL THEN seq END) AS {name}"
+        ))
+    return updates.groupBy("key").agg(*latest).selectExpr("key", *_nested())
 
 
 def merge_edges(
@@ -177,30 +170,26 @@ def merge_edges(
     Keys are unique on both sides, so no key is hot. The first ``created_at``
     stays. Pass ``combined=True`` when every key occurs once in ``updates``.
     """
-    new = updates if combined else combine_updates(updates)
-    new = new.select("key", F.struct(*_MERGED.fieldNames()).alias("_new"))
-    old = current.select(
-        "key", F.struct(*_MERGED.fieldNames()).alias("_old"), "created_at", "updated_at"
-    )
-
-    def value(path: tuple[str, ...]) -> Column:
-        fresh, stale = _member("_new", path), _member("_old", path)
-        if _overwrites(path):
-            return F.when(F.col("_new.shadow").isNotNull(), fresh).otherwise(stale)
-        return F.coalesce(fresh, stale)
-
+    fields = F.struct(*_MERGED.fieldNames())
+    new = (updates if combined else combine_updates(updates)).select("key", fields.alias("_new"))
+    old = current.select("key", fields.alias("_old"), "created_at", "updated_at")
+    merged = []
+    for path, name in _LEAVES.items():
+        fresh, stale = ".".join(("_new", *path)), ".".join(("_old", *path))
+        value = (
+            f"CASE WHEN _new.shadow IS NOT NULL THEN {fresh} ELSE {stale} END"
+            if _overwrites(path) else f"coalesce({fresh}, {stale})"
+        )
+        merged.append(F.expr(f"{value} AS {name}"))
     # Merged numbers are plain columns before they are put into structs, so that
     # nothing that reads a member of a struct later repeats the merging.
-    names = {path: f"_m{n}" for n, (path, _) in enumerate(_leaves(_MERGED))}
-    merged = old.join(new, "key", "full_outer").select(
+    flat = old.join(new, "key", "full_outer").select(
         "key",
-        *[value(path).alias(name) for path, name in names.items()],
+        *merged,
         F.coalesce("created_at", as_of).alias("created_at"),
         F.when(F.col("_new").isNotNull(), as_of).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    return merged.select(
-        "key", *_nested(lambda path: F.col(names[path])), "created_at", "updated_at"
-    )
+    return flat.selectExpr("key", *_nested(), "created_at", "updated_at")
 
 
 def is_own_row(run_id: str | Column) -> Column:

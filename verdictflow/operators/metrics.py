@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from verdictflow import vocab as V
-from verdictflow.functions.cols import ratio, weighted_count
+from verdictflow.functions.cols import count_if, ratio, weighted_count
 
 
 def outcome_counts(
@@ -168,24 +168,27 @@ def calibration_error(
     A confidence outside [0, 1] falls into no bin but counts as a sample.
     """
     confidence = F.col("confidence")
-    scored = outcomes.where(confidence.isNotNull() & F.col("verdict").isNotNull())
+    scored = confidence.isNotNull() & F.col("verdict").isNotNull()
     # Compared with the bin edges themselves, so no rounding moves a row.
     edges_passed = F.lit(0)
     for index in range(1, bins):
         edges_passed = edges_passed + (confidence >= F.lit(index / bins)).cast("int")
     inside = (confidence >= 0.0) & (confidence <= 1.0)
     right = F.col("ensemble_verdict") == F.col("verdict")
+    # Rows without a sample share the bin -1 and count nothing. Filtering them out
+    # would make the optimizer repeat the whole cascade inside the filter.
     per_bin = (
-        scored.withColumn("bin", F.when(inside, edges_passed))
+        outcomes.withColumn("bin", F.when(scored & inside, edges_passed).otherwise(F.lit(-1)))
         .groupBy(*keys, "bin")
         .agg(
-            F.count(F.lit(1)).alias("members"),
-            F.count_if(right).alias("hits"),
-            F.sum("confidence").alias("confidence_sum"),
+            count_if(scored).alias("members"),
+            count_if(scored & right).alias("hits"),
+            F.sum(F.when(scored, confidence)).alias("confidence_sum"),
         )
     )
     gap = F.when(
-        F.col("bin").isNotNull(), F.abs(F.col("hits") - F.col("confidence_sum"))
+        (F.col("bin") >= 0) & (F.col("members") > 0),
+        F.abs(F.col("hits") - F.col("confidence_sum")),
     ).otherwise(F.lit(0.0))
     # weight * |accuracy - confidence| per bin is |hits - sum(confidence)| / samples.
     totals = per_bin.groupBy(*keys).agg(

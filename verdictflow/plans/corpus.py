@@ -13,13 +13,12 @@ UNUSABLE = "UNUSABLE"
 EXPORTED = "EXPORTED"
 
 
-def is_label_method(document: Column, field_map: FieldMap) -> Column:
+def _is_label(method: Column) -> Column:
     """The judge's own earlier output is never a label; no method means ENSEMBLE."""
-    method = variants.text_or_empty(field_map.value(document, "method"))
     return F.upper(F.when(method == "", "ENSEMBLE").otherwise(method)).isin(*V.LABEL_METHODS)
 
 
-def usable(record: DataFrame | None = None) -> Column:
+def usable() -> Column:
     """Both texts and a verdict."""
     return (
         (F.col("claim_a_text") != "") & (F.col("claim_b_text") != "")
@@ -28,30 +27,31 @@ def usable(record: DataFrame | None = None) -> Column:
 
 
 def _records(documents: DataFrame, field_map: FieldMap) -> DataFrame:
-    doc = F.col("doc")
-
-    def text(name: str) -> Column:
-        return variants.text_or_empty(field_map.value(doc, name))
-
-    return documents.select(
+    """Typed record columns. The paths are followed first, each field once; the
+    coercions then read the values found."""
+    found = documents.select("doc_id", *[
+        field_map.value(F.col("doc"), name).alias(f"_v_{name}") for name in field_map.paths
+    ])
+
+    def value(name: str) -> Column:
+        return F.col(f"_v_{name}")
+
+    texts = (
+        "claim_a_id", "claim_b_id", "claim_a_text", "claim_b_text", "context_a", "context_b",
+        "source_snippet", "intake_id", "stage3_run_id", "method",
+    )
+    typed = found.select(
         F.col("doc_id").cast("string").alias("pair_id"),
-        text("claim_a_id").alias("claim_a_id"),
-        text("claim_b_id").alias("claim_b_id"),
-        text("claim_a_text").alias("claim_a_text"),
-        text("claim_b_text").alias("claim_b_text"),
-        variants.coerce_verdict(
-            variants.scalar_text(field_map.value(doc, "verdict"))
-        ).alias("ensemble_verdict"),
-        variants.coerce_votes(field_map.value(doc, "votes")).alias("votes"),
-        variants.truthy(field_map.value(doc, "golden")).alias("golden"),
-        variants.truthy(field_map.value(doc, "with_context")).alias("with_context"),
-        text("context_a").alias("context_a"),
-        text("context_b").alias("context_b"),
-        text("source_snippet").alias("source_snippet"),
-        text("intake_id").alias("intake_id"),
-        text("stage3_run_id").alias("stage3_run_id"),
-        is_label_method(doc, field_map).alias("is_label"),
+        *[variants.text_or_empty(value(name)).alias(name) for name in texts],
+        variants.scalar_text(value("verdict")).alias("_verdict"),
+        variants.coerce_votes(value("votes")).alias("votes"),
+        variants.truthy(value("golden")).alias("golden"),
+        variants.truthy(value("with_context")).alias("with_context"),
     )
+    return typed.withColumns({
+        "ensemble_verdict": variants.coerce_verdict("_verdict"),
+        "is_label": _is_label(F.col("method")),
+    }).drop("_verdict", "method")
 
 
 def mark_documents(

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from verdictflow import vocab as V
 from verdictflow.functions import decisions as D
 from verdictflow.operators import metrics as M
+from verdictflow.session import materialize
 
 LABELS = ("ensemble_verdict", "golden")
 OUTCOME = (
@@ -276,6 +277,7 @@ def build_report(
     sweeps: Mapping[str, Sequence[float]] | None = None,
     base: D.Thresholds | None = None,
     bar: dict | None = None,
+    keep=materialize,
 ) -> dict[str, DataFrame]:
     """All report tables, each keyed by ``roster``.
 
@@ -283,13 +285,16 @@ def build_report(
     is joined back to the pairs is a handful of rows. With a grid, its best cell
     sets the reported thresholds; without a passing cell the base ones are
     reported, so a failure still shows what was measured.
+
+    Grid, thresholds and counts are small and feed several tables, so ``keep``
+    writes each of them once; otherwise every table would scan all pairs again.
     """
     tables: dict[str, DataFrame] = {}
     keys = ["roster"]
     if grid:
-        tables["grid"] = grid_search(features, grid, base, keys, bar)
+        tables["grid"] = keep(grid_search(features, grid, base, keys, bar))
         best = best_cell(tables["grid"], keys)
-        tables["thresholds"] = adopted_thresholds(best, rosters, grid, base, keys)
+        tables["thresholds"] = keep(adopted_thresholds(best, rosters, grid, base, keys))
     else:
         fixed = asdict(base or D.Thresholds())
         tables["thresholds"] = rosters.select(
@@ -303,7 +308,7 @@ def build_report(
     outcomes = _judge(calibrated, D.threshold_columns()).select(
         "roster", "pair_id", *LABELS, *OUTCOME
     )
-    counts = M.outcome_counts(outcomes, keys)
+    counts = keep(M.outcome_counts(outcomes, keys))
     tables["outcomes"] = outcomes
     tables["per_verdict"] = M.per_verdict_scores(counts, keys)
     tables["neutral"] = M.neutral_summary(counts, keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from verdictflow.functions import contracts, variants
+from verdictflow.functions import contracts
 from verdictflow.functions.timestamps import parse_rfc3339
 from verdictflow.operators.runs import classify_requests
 
@@ -15,19 +15,10 @@ def decode_requests(envelopes: DataFrame, column: str = "value") -> DataFrame:
 
     Works on a stream and on a table alike.
     """
-    staged = envelopes.withColumn("_e", contracts.decode_envelope(column)).withColumn(
-        "_body", variants.parse(F.col("_e.body"))
-    )
-    request = contracts.request_fields(F.col("_body"))
-    reason = F.coalesce(
-        F.col("_e.reject_reason"), contracts.request_reject_reason(F.col("_body"))
-    )
-    return staged.withColumns({"_r": request, "reject_reason": reason}).select(
-        *envelopes.columns,
-        "_r.*",
-        "_e.message_id", "_e.publish_time", "_e.delivery_attempt", "_e.subscription",
-        "reject_reason",
-    )
+    parsed = contracts.parse_requests(contracts.decode_envelopes(envelopes, column), "body")
+    return parsed.withColumn(
+        "reject_reason", F.coalesce("envelope_problem", "reject_reason")
+    ).drop("body", "envelope_problem")
 
 
 def valid_requests(decoded: DataFrame) -> DataFrame:
