@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def as_col(value: Column | str) -> Column:
@@ -39,3 +39,15 @@ def weighted_count(condition: Column, weight: Column | None) -> Column:
 def ratio(part: Column, whole: Column) -> Column:
     """``part / whole`` as a double, 0 when there is nothing to divide by."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part.cast("double") / whole.cast("double"))
+
+
+def staged_where(df: DataFrame, condition: Column) -> DataFrame:
+    """``where`` on computed columns, evaluated after they have been computed.
+
+    The optimizer moves a filter below the projections it reads from and copies
+    their expressions into it; with long chains of dependent columns that copy
+    grows far beyond the work it saves. A filter that also reads the partition
+    number stays where it is written.
+    """
+    held = df.withColumn("_partition", F.spark_partition_id())
+    return held.where(condition & (F.col("_partition") >= 0)).drop("_partition")

@@ -34,6 +34,10 @@ def label_class(label: Column) -> Column:
     return chosen
 
 
+def _is(cls: str):
+    return lambda found: found == F.lit(cls)
+
+
 def resolve_label_maps(heads: DataFrame) -> DataFrame:
     """``heads(artifact, labels ARRAY<STRING>)`` to column numbers per class.
 
@@ -45,7 +49,7 @@ def resolve_label_maps(heads: DataFrame) -> DataFrame:
     staged = heads.withColumn("_classes", classes)
     columns, duplicated = {}, F.lit(False)
     for cls in CLASSES:
-        hits = F.size(F.filter("_classes", lambda c, cls=cls: c == cls))
+        hits = F.size(F.filter("_classes", _is(cls)))
         duplicated = duplicated | (hits > 1)
         position = F.array_position("_classes", cls).cast("int")
         columns[f"{cls}_column"] = F.when(position > 0, position - 1)

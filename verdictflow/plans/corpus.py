@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from verdictflow import schemas, vocab as V
 from verdictflow.functions import variants
+from verdictflow.functions.cols import staged_where
 from verdictflow.operators.documents import FieldMap
 
 NOT_ENSEMBLE = "NOT_ENSEMBLE"
@@ -68,9 +69,8 @@ def mark_documents(
         records = records.withColumn("hydrated", F.lit(False))
     else:
         lacking = F.col("is_label") & ((F.col("claim_a_text") == "") | (F.col("claim_b_text") == ""))
-        records = records.where(~lacking).withColumn("hydrated", F.lit(False)).unionByName(
-            _fill(records.where(lacking), claims)
-        )
+        complete = staged_where(records, ~lacking).withColumn("hydrated", F.lit(False))
+        records = complete.unionByName(_fill(staged_where(records, lacking), claims))
     status = (
         F.when(~F.col("is_label"), NOT_ENSEMBLE)
         .when(usable(), EXPORTED)
@@ -100,7 +100,7 @@ def _fill(records: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def export_corpus(marked: DataFrame) -> DataFrame:
-    return marked.where(F.col("status") == EXPORTED).select(*schemas.CORPUS.fieldNames())
+    return staged_where(marked, F.col("status") == EXPORTED).select(*schemas.CORPUS.fieldNames())
 
 
 def corpus_stats(marked: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def corpus_stats(marked: DataFrame) -> DataFrame:
 
 def verdict_histogram(marked: DataFrame) -> DataFrame:
     return (
-        marked.where(F.col("status") == EXPORTED)
+        staged_where(marked, F.col("status") == EXPORTED)
         .groupBy("ensemble_verdict")
         .agg(F.count(F.lit(1)).alias("pairs"))
     )

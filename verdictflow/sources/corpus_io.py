@@ -28,7 +28,7 @@ WIRE_NAMES = {
     "stage3_run_id": "stage3RunId",
 }
 
-_WIRE_SCHEMA = T.StructType(
+WIRE_SCHEMA = T.StructType(
     [T.StructField(WIRE_NAMES[f.name], f.dataType) for f in schemas.CORPUS]
     + [T.StructField("kind", T.StringType()), T.StructField("schemaVersion", T.IntegerType())]
 )
@@ -86,5 +86,5 @@ def read_corpus(spark: SparkSession, path: str, kind: str = DEFAULT_KIND) -> Dat
             f"{path} has corpus version {found.get('schemaVersion')}; "
             f"version {V.CORPUS_SCHEMA_VERSION} is read"
         )
-    lines = spark.read.schema(_WIRE_SCHEMA).json(records)
+    lines = spark.read.schema(WIRE_SCHEMA).json(records)
     return with_defaults(lines.where(F.col("kind").isNull() & F.col("pairId").isNotNull()))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verdictflow.functions import contracts
+from verdictflow.functions.cols import staged_where
 from verdictflow.functions.timestamps import parse_rfc3339
 from verdictflow.operators.runs import classify_requests
 
@@ -22,13 +23,13 @@ def decode_requests(envelopes: DataFrame, column: str = "value") -> DataFrame:
 
 
 def valid_requests(decoded: DataFrame) -> DataFrame:
-    return decoded.where(F.col("reject_reason").isNull()).withColumn(
+    return staged_where(decoded, F.col("reject_reason").isNull()).withColumn(
         "requested_at", parse_rfc3339("request_timestamp")
     )
 
 
 def dead_letters(decoded: DataFrame) -> DataFrame:
-    return decoded.where(F.col("reject_reason").isNotNull())
+    return staged_where(decoded, F.col("reject_reason").isNotNull())
 
 
 DEDUPE_KEYS = ["run_request_id", "gate", "mode"]
