@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from verdictflow import vocab as V
 from verdictflow.functions import decisions as D
+from verdictflow.functions.cols import staged_where
 from verdictflow.operators import metrics as M
 from verdictflow.session import materialize
 
@@ -39,7 +40,7 @@ def _judge(features: DataFrame, thresholds) -> DataFrame:
 def pair_features(scored: DataFrame, keys: Sequence[str] = ("roster",)) -> DataFrame:
     """Features and labels per pair; incomplete or NaN scores are left out."""
     g1, g2, g3 = F.col("g1"), F.col("g2"), F.col("g3")
-    complete = scored.where(D.scores_complete(g1, g2, g3))
+    complete = staged_where(scored, D.scores_complete(g1, g2, g3))
     features = D.cascade_features(g1, g2, g3)
     return complete.select(
         *keys, "pair_id", *LABELS,

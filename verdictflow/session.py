@@ -14,6 +14,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No call-site record per column expression: plans here have thousands of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Filters are written out here, so inferring more of them gains nothing, and on
     # wide projections of dependent columns that inference grows exponentially.
     "spark.sql.constraintPropagation.enabled": "false",
