@@ -47,7 +47,8 @@ p AS (
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring documents of one language: an equi-join, linear in documents."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    left = docs.select(
+    # Every row becomes sixteen with some work each: spread the few bytes over all cores first.
+    left = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id").select(
         F.col("doc_id").alias("a_doc"), "lang", F.col("source").alias("run_id"),
         F.explode(F.sequence(F.lit(1), F.lit(NEIGHBOURS))).alias("rank"),
     ).withColumn("b_doc", F.col("a_doc") + F.col("rank"))
