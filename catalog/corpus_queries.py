@@ -177,18 +177,21 @@ def corpus_inspect(spark, sf):
     return DO.most_common(DO.key_frequencies(documents(spark, sf)))
 
 
-@query("corpus_resolved", f"""WITH {_RAW_SQL}, n AS (SELECT count(*) AS sampled, """ + ", ".join(
+_RESOLVED_SQL = (f"""WITH {_RAW_SQL}, n AS (SELECT count(*) AS sampled, """ + ", ".join(
     "count(*) FILTER (" + " OR ".join(
         f"coalesce(json_type(doc, '$.{p}'), 'NULL') <> 'NULL'" for p in paths
     ) + f") AS {name}" for name, paths in DO.DEFAULT_PATHS.items()
 ) + """ FROM raw)
 SELECT sampled, field, resolved FROM n UNPIVOT (resolved FOR field IN (""" + ", ".join(
     DO.DEFAULT_PATHS) + "))")
+
+
+@query("corpus_resolved", _RESOLVED_SQL)
 def corpus_resolved(spark, sf):
     return DO.resolvability(documents(spark, sf))
 
 
-@query("corpus_unresolved", "SELECT unnest(['context_a', 'context_b']) AS field")
+@query("corpus_unresolved", f"SELECT field FROM ({_RESOLVED_SQL}) WHERE resolved = 0")
 def corpus_unresolved(spark, sf):
     return DO.unresolved(DO.resolvability(documents(spark, sf)))
 

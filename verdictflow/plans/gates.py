@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from verdictflow import vocab as V
 from verdictflow.functions import decisions as D, routing as R, settings, stage_scores as S
 from verdictflow.functions.prompts import judge_prompt
-from verdictflow.functions.cols import count_if, struct_of
+from verdictflow.functions.cols import count_if, staged_where, struct_of
 from verdictflow.operators import edges as E, hydrate as H, tail as T
 from verdictflow.operators.ordered import first_per_group
 
@@ -69,10 +69,12 @@ def _thresholds() -> dict[str, Column]:
 def _checked(rows: DataFrame, usable: Column, problem: str, on_missing: str):
     """Stop at the first unusable pair, or set such pairs aside."""
     if on_missing == "reject":
-        rejects = rows.where(~usable).select("pair_id", "gate", F.lit(problem).alias("problem"))
-        return rows.where(usable), rejects
+        rejects = staged_where(rows, ~usable).select(
+            "pair_id", "gate", F.lit(problem).alias("problem")
+        )
+        return staged_where(rows, usable), rejects
     error = F.raise_error(F.concat(F.lit(f"{problem}: "), F.col("pair_id"))).cast("boolean")
-    return rows.where(F.when(usable, F.lit(True)).otherwise(error)), None
+    return staged_where(rows, F.when(usable, F.lit(True)).otherwise(error)), None
 
 
 def _at(state: DataFrame, gate: str, runs: DataFrame) -> DataFrame:
