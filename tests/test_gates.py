@@ -255,3 +255,20 @@ def test_registry():
     assert G.runner_for(V.G1, table) == "job" and G.runner_for(V.G1) is G.run_g1
     with pytest.raises(ValueError):
         G.register("G9", "job", table)
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    from verdictflow.sources.snapshots import read_snapshot
+    from verdictflow.streaming.continuous import process_batch
+
+    rows = [("s", "a0", "b0", 1, False, None, "run", "in"), ("s", "a1", "b1", 2, False, None, "run", "in")]
+    candidates = spark.createDataFrame(
+        rows, "subject_id string, a_id string, b_id string, rank int, with_context boolean, "
+        "human_asserted boolean, stage3_run_id string, intake_id string",
+    )
+    paths = {"state_path": str(tmp_path / "state"), "edges_path": str(tmp_path / "edges")}
+    for batch in (0, 0, 1):
+        process_batch(candidates, batch, score=lambda fresh: score(spark, ROWS), runs=run_rows(spark), **paths)
+    state = read_snapshot(spark, paths["state_path"], schemas.PAIR_STATE)
+    edges = read_snapshot(spark, paths["edges_path"], schemas.EDGES)
+    assert state.count() == 2 and {r["relation"] for r in edges.collect()} == {"NEUTRAL", "REPEATS"}
