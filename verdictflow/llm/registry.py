@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, neardup, quality
 
-QUERIES = {"op2_mix_sources": mixing.query}
-ORACLES = {"op2_mix_sources": mixing.ORACLE}
+QUERIES = {
+    "op2_mix_sources": mixing.query,
+    "op3_quality_classifier": quality.query,
+    "op6_near_duplicates": neardup.query,
+}
+ORACLES = {"op2_mix_sources": mixing.ORACLE, "op6_near_duplicates": neardup.ORACLE}
