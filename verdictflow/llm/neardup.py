@@ -270,15 +270,15 @@ WITH RECURSIVE d AS (
   FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE
-    WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
   FROM d
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (
+overlap AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
   GROUP BY 1, 2
 ), links AS (
-  SELECT x, y FROM both JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)
+  SELECT x, y FROM overlap JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)
 ), ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (
   SELECT doc_id AS x, doc_id AS r FROM documents
