@@ -42,3 +42,14 @@ def id_crc(doc_id: Column) -> Column:
 
 def held_out(doc_id: Column) -> Column:
     return id_crc(doc_id) % 5 == 0
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of a few numbers a row, with a broadcast hint if it has at most ``rows`` rows.
+
+    Beyond that the join shuffles both sides; the result is the same.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

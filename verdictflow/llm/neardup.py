@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import hashing
-from .common import table, written
+from .common import small_side, table, written
 from .components import components
 from .streams import per_batch, per_group
 
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         nodes = group.column("node").to_pylist()
         return confirm([nodes[i] for i in held], [sets[i] for i in held], percent) if len(held) > 1 else None
 
-    texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(clusters, "node")
+    texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(small_side(clusters), "node")
     sets = per_batch(texts, to_sets, "root long, node long, shingles binary")
     if too_large.isEmpty():
         links = written(per_group(sets, "root", ["node", "shingles"], test, "a long, b long"))
@@ -255,7 +255,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose component has a smaller id; all columns as they are."""
-    gone = near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = written(near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = small_side(gone)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
