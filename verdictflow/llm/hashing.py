@@ -58,13 +58,17 @@ class Words:
     place at which each text begins.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, letters: bool = False):
+        """``letters``: words are runs of ASCII letters, digits and all non-ASCII characters instead."""
         self.raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", dtype=np.uint8)
         data = self.raw
         if lower:
             data = data | (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
         self.data = data
-        word = (data != 32) & ((data < 9) | (data > 13))
+        if letters:
+            word = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90))
+        else:
+            word = (data != 32) & ((data < 9) | (data > 13))
         edge = np.flatnonzero(word[1:] != word[:-1]) + 1
         self.start, self.end = edge[0::2], edge[1::2]
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, neardup, quality, urls
+from . import decontaminate, fingerprints, mixing, neardup, quality, urls
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
     "op3_quality_classifier": quality.query,
     "op6_near_duplicates": neardup.query,
     "op8_url_filter": urls.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_fingerprints": fingerprints.query,
 }
 ORACLES = {"op2_mix_sources": mixing.ORACLE, "op6_near_duplicates": neardup.ORACLE}
