@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, mixing, neardup, quality, urls
+from . import decontaminate, fingerprints, mixing, neardup, packing, quality, tokens, urls
 
 QUERIES = {
+    "op1_token_counts": tokens.query,
     "op2_mix_sources": mixing.query,
     "op3_quality_classifier": quality.query,
+    "op5_pack_tokens": packing.query,
     "op6_near_duplicates": neardup.query,
     "op8_url_filter": urls.query,
     "op9_decontaminate": decontaminate.query,
