@@ -24,6 +24,7 @@ table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import sqrt
 
 import numpy as np
@@ -50,10 +51,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def prefix_keys(sig: np.ndarray, tree: int, depth: int) -> np.ndarray:
+def prefix_keys(sig: np.ndarray, tree: int, depth: int, orders: np.ndarray = _ORDERS) -> np.ndarray:
     """One 64-bit key for the first ``depth`` minima of each signature in the order of ``tree``."""
     key = np.full(len(sig), tree + 1, dtype=np.uint64)
-    for j in _ORDERS[tree][:depth]:
+    for j in orders[tree][:depth]:
         key = hashing.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j].astype(np.uint64))
     return key
 
@@ -162,7 +163,7 @@ def confirm(nodes: list[int], sets: list[np.ndarray], percent: int) -> dict[str,
     return forest.stars()
 
 
-def regions(reps: DataFrame) -> DataFrame:
+def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> DataFrame:
     """(key, node) of every region with at least two and at most about ``REGION`` classes."""
     rows = reps.select("node", F.posexplode("keys").alias("tree", "key"))
     found, depth = None, DEPTH
@@ -180,74 +181,98 @@ def regions(reps: DataFrame) -> DataFrame:
             return found.unionByName(crowded.select(dealt.alias("key"), "node"))
         depth = min(DEEPEST, depth + 2)
         # At least three rows a class meet here, and only for classes of crowded regions.
-        rows = written(_deeper(crowded.select("node", "tree").join(reps.select("node", "sig"), "node"), depth))
+        rows = written(_deeper(crowded.select("node", "tree").join(reps.select("node", "sig"), "node"), depth, orders))
 
 
-def _deeper(rows: DataFrame, depth: int) -> DataFrame:
+def _deeper(rows: DataFrame, depth: int, orders: np.ndarray) -> DataFrame:
     def key(batch: pa.RecordBatch) -> dict:
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
         trees = batch.column("tree").to_numpy()
         keys = np.zeros(len(trees), dtype=np.uint64)
         for t in np.unique(trees).tolist():
-            keys[trees == t] = prefix_keys(sig[trees == t], t, depth)
+            keys[trees == t] = prefix_keys(sig[trees == t], t, depth, orders)
         return {"node": batch.column("node"), "tree": batch.column("tree"), "key": _signed(keys)}
 
-    return per_batch(rows, key, "node long, tree int, key long")
+    return per_batch(rows, key, f"node {dict(rows.dtypes)['node']}, tree int, key long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+SAME = ["n_shingles", "set_a", "set_b"]
+
+
+def shingle_bytes(texts, k: int) -> list[bytes]:
+    """The sorted distinct shingles of each text, 8 bytes each."""
+    out = []
+    for _, values, offset in shingle_sets(texts, k):
+        out += [values[a:b].tobytes() for a, b in zip(offset[:-1], offset[1:])]
+    return out
+
+
+def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, orders: np.ndarray = _ORDERS) -> DataFrame:
+    """Components of units with exactly confirmed links.
+
+    ``signed`` has node, ``SAME``, sig and keys per unit and is a written table; ``fetch`` takes
+    (node, root) rows and adds each node's ``shingles``. Returned are ``SAME``, node (the smallest of
+    the class), component and ``_rows`` (units of the class) of every class with more than one
+    unit or a link.
+    """
     threshold = percent / 100
-    signed = written(signatures(docs, k))
-    same = ["n_shingles", "set_a", "set_b"]
+    kind = dict(signed.dtypes)["node"]
     reps = written(
-        signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same)
-        .agg(F.min(F.struct("doc_id", "sig", "keys")).alias("_r"), F.count("*").alias("_rows"))
-        .select(*same, "_rows", F.col("_r.doc_id").alias("node"), F.col("_r.sig").alias("sig"), F.col("_r.keys").alias("keys"))
+        signed.where("n_shingles > 0 AND node IS NOT NULL").groupBy(*SAME)
+        .agg(F.min(F.struct("node", "sig", "keys")).alias("_r"), F.count("*").alias("_rows"))
+        .select(*SAME, "_rows", F.col("_r.node").alias("node"), F.col("_r.sig").alias("sig"), F.col("_r.keys").alias("keys"))
     )
-    near = written(regions(reps))
+    near = written(regions(reps, orders))
 
     def candidates(group: pa.Table) -> dict | None:
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
         return region_stars(group.column("node").to_pylist(), group.column("n_shingles").to_numpy(), sig, threshold)
 
-    members = near.join(reps.select("node", "n_shingles", "sig"), "node")
-    clusters = written(components(per_group(members, "key", ["node", "n_shingles"], candidates, "a long, b long")))
-    too_large = written(
-        clusters.join(reps.select("node", "n_shingles"), "node").groupBy("root")
-        .agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
-        .where((F.col("_n") > CLUSTER) | (F.col("_s") > CLUSTER_SHINGLES)).select("root")
-    )
-
-    def to_sets(batch: pa.RecordBatch) -> dict:
-        out = []
-        for _, values, offset in shingle_sets(batch.column("text").to_pylist(), k):
-            out += [values[a:b].tobytes() for a, b in zip(offset[:-1], offset[1:])]
-        return {"root": batch.column("root"), "node": batch.column("node"), "shingles": out}
-
     def test(group: pa.Table) -> dict | None:
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("shingles").to_pylist()]
         held = [i for i, s in enumerate(sets) if len(s)]
         nodes = group.column("node").to_pylist()
         return confirm([nodes[i] for i in held], [sets[i] for i in held], percent) if len(held) > 1 else None
 
-    texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(small_side(clusters), "node")
-    sets = per_batch(texts, to_sets, "root long, node long, shingles binary")
+    stars = f"a {kind}, b {kind}"
+    members = near.join(reps.select("node", "n_shingles", "sig"), "node")
+    clusters = written(components(per_group(members, "key", ["node", "n_shingles"], candidates, stars)))
+    too_large = written(
+        clusters.join(reps.select("node", "n_shingles"), "node").groupBy("root")
+        .agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
+        .where((F.col("_n") > CLUSTER) | (F.col("_s") > CLUSTER_SHINGLES)).select("root")
+    )
+    sets = fetch(clusters)
     if too_large.isEmpty():
-        links = written(per_group(sets, "root", ["node", "shingles"], test, "a long, b long"))
+        links = written(per_group(sets, "root", ["node", "shingles"], test, stars))
     else:
         sets = written(sets)
-        whole = sets.join(too_large, "root", "left_anti").select(F.col("root").alias("key"), "node", "shingles")
+        whole = sets.join(too_large, "root", "left_anti").select(F.xxhash64("root").alias("key"), "node", "shingles")
         split = sets.join(too_large, "root").select("node", "shingles").join(near, "node").select("key", "node", "shingles")
-        tested = per_group(whole.unionByName(split), "key", ["node", "shingles"], test, "a long, b long")
+        tested = per_group(whole.unionByName(split), "key", ["node", "shingles"], test, stars)
         links = written(components(tested).select(F.col("node").alias("a"), F.col("root").alias("b")))
     joined = links.groupBy("a").agg(F.min("b").alias("b"))
-    by_class = (
-        reps.select(*same, "node", "_rows").join(joined, F.col("node") == F.col("a"), "left")
-        .where("_rows > 1 OR b IS NOT NULL").select(*same, F.coalesce("b", "node").alias("_component"))
+    joined = joined.unionByName(joined.select(F.col("b").alias("a"), "b").distinct().join(joined.select("a"), "a", "left_anti"))
+    return (
+        reps.select(*SAME, "node", "_rows").join(joined, F.col("node") == F.col("a"), "left")
+        .where("_rows > 1 OR b IS NOT NULL").select(*SAME, "node", F.coalesce("b", "node").alias("component"), "_rows")
     )
-    out = signed.select("doc_id", *same).join(by_class, same, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    signed = written(signatures(docs, k).withColumnRenamed("doc_id", "node"))
+
+    def to_sets(batch: pa.RecordBatch) -> dict:
+        return {"root": batch.column("root"), "node": batch.column("node"), "shingles": shingle_bytes(batch.column("text").to_pylist(), k)}
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(small_side(nodes), "node")
+        return per_batch(texts, to_sets, "root long, node long, shingles binary")
+
+    classes = link(signed, fetch, percent).select(*SAME, "component")
+    out = signed.select(F.col("node").alias("doc_id"), *SAME).join(classes, SAME, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

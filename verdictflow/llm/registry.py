@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, mixing, neardup, packing, quality, tokens, urls
+from . import decontaminate, fingerprints, mixing, neardup, packing, paragraphs, quality, tokens, urls
 
 QUERIES = {
     "op1_token_counts": tokens.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": quality.query,
     "op5_pack_tokens": packing.query,
     "op6_near_duplicates": neardup.query,
+    "op7_repeated_paragraphs": paragraphs.query,
     "op8_url_filter": urls.query,
     "op9_decontaminate": decontaminate.query,
     "op10_fingerprints": fingerprints.query,
