@@ -114,10 +114,11 @@ def remove(docs: DataFrame, removals: DataFrame | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; all other columns as they are."""
     found = repeated_paragraphs(docs) if removals is None else removals
     gone = found.where("removed").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("paragraph").alias("_gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left")
+    text, lost = docs["text"], gone["_gone"]
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
     return joined.select(*[
-        F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns
+        F.when(lost.isNotNull(), kept).otherwise(text).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns
     ])
 
 

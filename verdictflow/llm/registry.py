@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, mixing, neardup, packing, paragraphs, quality, tokens, urls
+import corpus_pipeline
+
+from . import boilerplate, decontaminate, fingerprints, mixing, neardup, packing, paragraphs, quality, tokens, urls
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_token_counts": tokens.query,
     "op2_mix_sources": mixing.query,
     "op3_quality_classifier": quality.query,
+    "op4_line_dedup": boilerplate.query,
     "op5_pack_tokens": packing.query,
     "op6_near_duplicates": neardup.query,
     "op7_repeated_paragraphs": paragraphs.query,
@@ -15,4 +19,4 @@ QUERIES = {
     "op9_decontaminate": decontaminate.query,
     "op10_fingerprints": fingerprints.query,
 }
-ORACLES = {"op2_mix_sources": mixing.ORACLE, "op6_near_duplicates": neardup.ORACLE}
+ORACLES = {"op2_mix_sources": mixing.ORACLE, "op4_line_dedup": boilerplate.ORACLE, "op6_near_duplicates": neardup.ORACLE}
