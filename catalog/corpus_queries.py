@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import inputs as I
 from catalog.registry import query
+from verdictflow.session import checkpoint_root
 from verdictflow.functions import variants
 from verdictflow.operators import documents as DO
 from verdictflow.plans import corpus as C, reports
@@ -215,13 +218,44 @@ SELECT pair_id, md5(claim_a_text) AS a_md5, ensemble_verdict, golden, votes FROM
 def corpus_wire(spark, sf):
     """Corpus rows to JSON lines and back through the reader's schema."""
     lines = C.export_corpus(marked(spark, sf)).select(corpus_io.to_wire().alias("line"))
-    wire = lines.select(F.from_json("line", corpus_io.WIRE_SCHEMA).alias("w")).select("w.*")
-    return corpus_io.with_defaults(wire).select(
+    return corpus_io.refuse_problems(corpus_io.decode(lines, "line")).select(
         "pair_id", F.md5("claim_a_text").alias("a_md5"), "ensemble_verdict", "golden",
         F.array_join("votes", ",").alias("votes"),
     )
 
 
+_LINES_SQL = """SELECT doc_id, doc_id % 7 AS m,
+  '{"pairId":"p' || doc_id || '","ensembleVerdict":"NEUTRAL","votes":["NEUTRAL","' || lang || '"],"golden":' ||
+  list_extract(['1', '0', 'true', 'false', '""', '"x"', '[]'], CAST(doc_id % 7 + 1 AS INTEGER)) || ',"claimAText":"' || md5(text) || '"}' AS good
+FROM documents"""
+
+
+@query("corpus_round_trip", f"""WITH l AS ({_LINES_SQL}), v AS (
+  SELECT CASE WHEN doc_id % 11 = 0 THEN '{{"pairId":' WHEN doc_id % 13 = 0 THEN '{{"golden":1}}' ELSE good END AS line FROM l
+), j AS (SELECT line, CASE WHEN json_valid(line) THEN line::JSON END AS doc FROM v)
+SELECT coalesce(doc->>'$.pairId', '') AS pair_id, coalesce(doc->>'$.claimAText', '') AS claim_a_text,
+  coalesce(array_to_string(CAST(doc->'$.votes' AS VARCHAR[]), ','), '') AS votes,
+  coalesce(CASE json_type(doc, '$.golden') WHEN 'VARCHAR' THEN doc->>'$.golden' <> '' WHEN 'BOOLEAN' THEN doc->>'$.golden' = 'true'
+    WHEN 'ARRAY' THEN json_array_length(doc, '$.golden') > 0 ELSE CAST(doc->>'$.golden' AS INTEGER) <> 0 END, false) AS golden,
+  CASE WHEN doc IS NULL THEN 'not JSON' WHEN doc->>'$.pairId' IS NULL THEN 'no pair id' END AS problem
+FROM j""")
+def corpus_round_trip(spark, sf):
+    """Corpus files written and read back: good lines, broken lines and lines without an id."""
+    flags = F.array(*map(F.lit, ("1", "0", "true", "false", '""', '"x"', "[]")))
+    good = F.concat(
+        F.lit('{"pairId":"p'), "doc_id", F.lit('","ensembleVerdict":"NEUTRAL","votes":["NEUTRAL","'), "lang", F.lit('"],"golden":'),
+        F.element_at(flags, (F.col("doc_id") % 7 + 1).cast("int")), F.lit(',"claimAText":"'), F.md5("text"), F.lit('"}'),
+    )
+    lines = I.load(spark, sf, "documents").select(
+        F.when(F.col("doc_id") % 11 == 0, '{"pairId":').when(F.col("doc_id") % 13 == 0, '{"golden":1}').otherwise(good).alias("value")
+    )
+    path = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}"
+    corpus_io.write_lines(lines, path)
+    return corpus_io.read_lines(spark, path).select(
+        "pair_id", "claim_a_text", F.array_join("votes", ",").alias("votes"), "golden", "problem"
+    )
+
+
 @query("scan_edges", f"""WITH {I.PAIRS_SQL}
 SELECT pair_id, edge_key FROM pairs WHERE run_id = (SELECT max(source) FROM documents)""")
 def scan_edges(spark, sf):

@@ -7,7 +7,7 @@ from verdictflow import schemas, vocab as V
 from verdictflow.functions import prompts as PR, settings, variants
 from verdictflow.operators import documents as DO, scoring as S
 from verdictflow.plans import corpus as C
-from verdictflow.sources import corpus_io, score_store, snapshots
+from verdictflow.sources import corpus_io, sanity, score_store, snapshots
 from verdictflow.streaming import continuous, requests as RQ
 
 RECORD = {"claimAId": "a", "claimBId": "b", "claimAText": "x", "claimBText": "y", "verdict": "neutral"}
@@ -73,6 +73,18 @@ def test_corpus_round_trip(spark, tmp_path):
     single = tmp_path / "one.jsonl"
     single.write_text('{"kind":"replayCorpus","schemaVersion":1}\n{"pairId":"p"}\n\n')
     assert corpus_io.read_corpus(spark, str(single)).head()["votes"] == []
+    single.write_text('{"kind":"replayCorpus","schemaVersion":1}\n{"pairId":"p","golden":1,"withContext":"false"}\n{"pairId":\n{"x":1}\n7\n')
+    assert {r["problem"] for r in corpus_io.read_lines(spark, str(single)).collect()} == {None, "not JSON", "no pair id", "not an object"}
+    with pytest.raises(Exception, match="corpus line refused"):
+        corpus_io.read_corpus(spark, str(single)).collect()
+    row = corpus_io.read_lines(spark, str(single)).where("problem is null").head()
+    assert row["golden"] and row["with_context"]
+    pairs = tmp_path / "sanity.jsonl"
+    pairs.write_text('{"id":"1","premise":"a","hypothesis":"b","lean":"ENTAIL"}\n')
+    assert sanity.load_sanity_pairs(spark, str(pairs), 1).head()["premise"] == "a"
+    pairs.write_text(pairs.read_text() + '{"id":\n')
+    with pytest.raises(Exception, match="no labelled pair"):
+        sanity.load_sanity_pairs(spark, str(pairs)).collect()
     (tmp_path / "empty.jsonl").write_text("")
     assert corpus_io.read_corpus(spark, str(tmp_path / "empty.jsonl")).count() == 0
 

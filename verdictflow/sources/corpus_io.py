@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from verdictflow import schemas, vocab as V
+from verdictflow.functions import variants
 from verdictflow.functions.cols import struct_of
 
 DEFAULT_KIND = "replayCorpus"
@@ -28,63 +31,85 @@ WIRE_NAMES = {
     "stage3_run_id": "stage3RunId",
 }
 
-WIRE_SCHEMA = T.StructType(
-    [T.StructField(WIRE_NAMES[f.name], f.dataType) for f in schemas.CORPUS]
-    + [T.StructField("kind", T.StringType()), T.StructField("schemaVersion", T.IntegerType())]
-)
-
-
 def to_wire(record: Column | None = None) -> Column:
     """A corpus row as one JSON line."""
     return F.to_json(struct_of({wire: F.col(name) for name, wire in WIRE_NAMES.items()}))
 
 
-def with_defaults(wire: DataFrame) -> DataFrame:
-    """Typed columns from wire members; an absent member takes its default."""
+def problem_of(document: Column) -> Column:
+    """What keeps a parsed line from being a record; null for a good one."""
+    return (
+        F.when(document.isNull(), F.lit("not JSON"))
+        .when(variants.kind(document) != "OBJECT", F.lit("not an object"))
+        .when(variants.dig(document, WIRE_NAMES["pair_id"]).isNull(), F.lit("no pair id"))
+    )
+
+
+def from_wire(document: Column) -> list[Column]:
+    """Corpus columns of a parsed line. An absent member is empty; flags go by truth, so 1 is true."""
     columns = []
     for field in schemas.CORPUS:
-        column = F.col(WIRE_NAMES[field.name])
+        value = variants.dig(document, WIRE_NAMES[field.name])
         if isinstance(field.dataType, T.ArrayType):
-            default = F.array().cast(field.dataType)
+            items = F.transform(variants.as_items(value), variants.scalar_text)
+            column = F.coalesce(items, F.array().cast(field.dataType))
         elif isinstance(field.dataType, T.BooleanType):
-            default = F.lit(False)
+            column = variants.truthy(value)
         else:
-            default = F.lit("")
-        columns.append(F.coalesce(column, default).alias(field.name))
-    return wire.select(*columns)
+            column = variants.scalar_text(value)
+        columns.append(column.alias(field.name))
+    return columns
+
+
+def decode(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Text lines to corpus columns, with ``line`` and ``problem``; blank lines are no lines."""
+    parsed = lines.where(F.trim(column) != "").select(F.col(column).alias("line"), variants.parse(column).alias("_doc"))
+    return parsed.select("line", problem_of(F.col("_doc")).alias("problem"), *from_wire(F.col("_doc")))
+
+
+def refuse_problems(decoded: DataFrame) -> DataFrame:
+    """The corpus columns; a line with a problem fails the job that meets it."""
+    stop = F.raise_error(F.concat(F.lit("corpus line refused, "), "problem", F.lit(": "), F.substring("line", 1, 200)))
+    return decoded.where(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(stop.cast("boolean"))).drop("line", "problem")
 
 
 def write_corpus(corpus: DataFrame, path: str, kind: str = DEFAULT_KIND) -> None:
     """``path/header`` holds the version line, ``path/records`` the pairs."""
-    spark = corpus.sparkSession
-    corpus.select(to_wire().alias("value")).write.mode("overwrite").text(f"{path}/records")
+    write_lines(corpus.select(to_wire().alias("value")), path, kind)
+
+
+def write_lines(lines: DataFrame, path: str, kind: str = DEFAULT_KIND) -> None:
+    """Lines that are records already, under a header."""
+    spark = lines.sparkSession
+    lines.write.mode("overwrite").text(f"{path}/records")
     header = F.to_json(F.struct(
         F.lit(kind).alias("kind"), F.lit(V.CORPUS_SCHEMA_VERSION).alias("schemaVersion")
     ))
     spark.range(1).select(header.alias("value")).write.mode("overwrite").text(f"{path}/header")
 
 
-def read_corpus(spark: SparkSession, path: str, kind: str = DEFAULT_KIND) -> DataFrame:
-    """A corpus folder, or one file whose first line is the header.
+def read_lines(spark: SparkSession, path: str, kind: str = DEFAULT_KIND) -> DataFrame:
+    """``decode``d lines of a corpus folder, or of one file that begins with its header.
 
-    Only the header line is looked at here. Another kind or version is refused;
-    an empty file is an empty corpus; blank lines are skipped.
+    The header must name ``kind`` and the version that is read here; a file without any text is an
+    empty corpus. Lines with a problem are kept, so they can be put aside.
     """
     try:
-        header, records = spark.read.text(f"{path}/header").head(1), f"{path}/records"
+        lines = spark.read.text(f"{path}/records")
+        opening = spark.read.text(f"{path}/header")
     except AnalysisException:
-        header, records = spark.read.text(path).head(1), path
-    if not header or not (header[0]["value"] or "").strip():
-        return spark.createDataFrame([], schemas.CORPUS)
-    import json
-
-    found = json.loads(header[0]["value"])
-    if found.get("kind") != kind:
-        raise ValueError(f"{path} is not a replay corpus of kind {kind!r}: {found!r}")
-    if int(found.get("schemaVersion", 0)) != V.CORPUS_SCHEMA_VERSION:
-        raise ValueError(
-            f"{path} has corpus version {found.get('schemaVersion')}; "
-            f"version {V.CORPUS_SCHEMA_VERSION} is read"
-        )
-    lines = spark.read.schema(WIRE_SCHEMA).json(records)
-    return with_defaults(lines.where(F.col("kind").isNull() & F.col("pairId").isNotNull()))
+        lines = opening = spark.read.text(path)
+    first = opening.head(1)
+    text = (first[0]["value"] if first else "").strip()
+    if text:
+        wanted = {"kind": kind, "schemaVersion": V.CORPUS_SCHEMA_VERSION}
+        found = json.loads(text)
+        differing = {name: found.get(name) for name, value in wanted.items() if str(found.get(name)) != str(value)}
+        if differing:
+            raise ValueError(f"{path}: expected {wanted}, the header has {differing}")
+    return decode(lines.where(F.trim("value") != text))
+
+
+def read_corpus(spark: SparkSession, path: str, kind: str = DEFAULT_KIND) -> DataFrame:
+    """The records at ``path``; a line that is no record fails the reading job."""
+    return refuse_problems(read_lines(spark, path, kind))
