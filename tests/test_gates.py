@@ -272,3 +272,23 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     state = read_snapshot(spark, paths["state_path"], schemas.PAIR_STATE)
     edges = read_snapshot(spark, paths["edges_path"], schemas.EDGES)
     assert state.count() == 2 and {r["relation"] for r in edges.collect()} == {"NEUTRAL", "REPEATS"}
+
+
+def test_chained_gates_read_the_pairs_once_each(spark, tmp_path):
+    """The first pair table is scanned once per gate of the chain, not once per branch and gate."""
+    from catalog import inputs as I
+
+    scored = I.scored_pairs(spark, "/root/testdata/sf0.001")
+    I.start_state(scored).write.parquet(str(tmp_path / "pairs"))
+    scores = I.scores_of(scored)
+    runs = G.run_table(I.runs(spark, "/root/testdata/sf0.001"))
+
+    def scans(df):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        return sum("contradiction_flag" in line and "parquet" in line for line in text.splitlines())
+
+    state, seen = spark.read.parquet(str(tmp_path / "pairs")), []
+    for job in (G.run_g1, G.run_g2):
+        state = job(state, scores, runs).state
+        seen.append(scans(state))
+    assert seen == [1, 1]

@@ -10,7 +10,6 @@ its own calibration, are judged together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -66,22 +65,46 @@ def _thresholds() -> dict[str, Column]:
     return D.threshold_columns("run.thresholds.")
 
 
-def _checked(rows: DataFrame, usable: Column, problem: str, on_missing: str):
-    """Stop at the first unusable pair, or set such pairs aside."""
-    if on_missing == "reject":
-        rejects = staged_where(rows, ~usable).select(
-            "pair_id", "gate", F.lit(problem).alias("problem")
-        )
-        return staged_where(rows, usable), rejects
-    error = F.raise_error(F.concat(F.lit(f"{problem}: "), F.col("pair_id"))).cast("boolean")
-    return staged_where(rows, F.when(usable, F.lit(True)).otherwise(error)), None
-
-
 def _at(state: DataFrame, gate: str, runs: DataFrame) -> DataFrame:
     """Pairs at a gate with their run's settings; a run without settings has no pairs here."""
     return state.where(F.col("gate") == gate).join(runs, "stage3_run_id")
 
 
+def _frame(state: DataFrame, gate: str, runs: DataFrame) -> DataFrame:
+    """Every pair, read once, with its run's settings; ``_here`` marks those this gate has."""
+    here = (F.col("gate") == gate) & F.col("run").isNotNull()
+    return state.join(runs, "stage3_run_id", "left").withColumn("_here", F.coalesce(here, F.lit(False)))
+
+
+def _settle(
+    decided: DataFrame, state: DataFrame, usable: Column, route: R.Route, problem: str, on_missing: str
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(judged pairs, next pair table, rejects) out of one frame.
+
+    The next table is a projection of the frame, so gates that are chained read the first
+    table once each. An unusable pair stops the job or stays where it is.
+    """
+    moves = usable
+    if on_missing != "reject":
+        error = F.raise_error(F.concat(F.lit(f"{problem}: "), F.col("pair_id"))).cast("boolean")
+        moves = F.when(usable, F.lit(True)).otherwise(error)
+    marked = decided.withColumn("_moves", F.when(F.col("_here"), moves).otherwise(F.lit(False)))
+    judged = _as_run_rows(staged_where(marked, F.col("_moves")))
+    new = {name: route[name] for name in ("gate", "tier", "decided_by", "contradiction_flag")}
+    new["run_request_id"] = F.col("run.run_request_id")
+    for name in ("lease_owner", "lease_expires_at"):
+        if name in state.columns:
+            new[name] = F.lit(None).cast(state.schema[name].dataType)
+    following = marked.select(*[
+        F.when(F.col("_moves"), new[name]).otherwise(F.col(name)).alias(name) if name in new else F.col(name)
+        for name in state.columns
+    ])
+    rejects = None
+    if on_missing == "reject":
+        rejects = staged_where(marked, F.col("_here") & ~F.col("_moves")).select("pair_id", "gate", F.lit(problem).alias("problem"))
+    return judged, following, rejects
+
+
 def _with_route(judged: DataFrame, state: DataFrame, route: R.Route) -> DataFrame:
     """Judged rows with their new routing, in the columns of the pair table."""
     new = {
@@ -94,18 +117,11 @@ def _with_route(judged: DataFrame, state: DataFrame, route: R.Route) -> DataFram
     return judged.select(*[new.get(name, F.col(name)) for name in state.columns])
 
 
-def _next_state(
-    state: DataFrame, runs: DataFrame, gates: Sequence[str], moved: DataFrame,
-    rejects: DataFrame | None,
-) -> DataFrame:
+def _next_state(state: DataFrame, runs: DataFrame, gate: str, moved: DataFrame) -> DataFrame:
     """Pairs elsewhere, pairs of runs that were not part of this job, and the moved ones."""
-    elsewhere = F.coalesce(~F.col("gate").isin(*gates), F.lit(True))
+    elsewhere = F.coalesce(F.col("gate") != gate, F.lit(True))
     others = state.where(~elsewhere).join(runs.select("stage3_run_id"), "stage3_run_id", "left_anti")
-    result = state.where(elsewhere).unionByName(others.select(*state.columns)).unionByName(moved)
-    if rejects is not None:
-        kept = state.join(rejects.select("pair_id"), "pair_id", "left_semi")
-        result = result.unionByName(kept.select(*state.columns))
-    return result
+    return state.where(elsewhere).unionByName(others.select(*state.columns)).unionByName(moved)
 
 
 def _as_run_rows(judged: DataFrame) -> DataFrame:
@@ -175,21 +191,20 @@ def run_g1(
     state: DataFrame, scores: DataFrame, runs: DataFrame, *, on_missing: str = "fail"
 ) -> GateResult:
     """Neutral and repeated pairs leave; ``scores(pair_id, g1)``."""
-    rows = _at(state, V.G1, runs).join(scores.select("pair_id", "g1"), "pair_id", "left")
-    usable = _has(F.col("g1"), "fwd", "bwd")
-    rows, rejects = _checked(rows, usable, "no first-gate scores for pair", on_missing)
+    rows = _frame(state, V.G1, runs).join(scores.select("pair_id", "g1"), "pair_id", "left")
     g1 = F.col("g1")
-    judged, decision = _decide(_as_run_rows(rows), "g1", D.g1_features(g1))
+    decided, decision = _decide(rows, "g1", D.g1_features(g1))
+    judged, following, rejects = _settle(
+        decided, state, _has(g1, "fwd", "bwd"), R.route_g1(decision), "no first-gate scores for pair", on_missing
+    )
     edges = E.edge_updates(
         judged, method=V.METHOD_G1, slot=("g1", S.g1_slot(g1)), relation=decision["verdict"],
         escalation_reason=decision["escalation_reason"], truncated=D.g1_truncated(g1),
         attempt=F.col("run.attempt"), judge_model=F.col("run.g1_model"),
         mode=F.col("run.judge_mode"), seq=1,
     )
-    moved = _with_route(judged, state, R.route_g1(decision))
     return GateResult(
-        _next_state(state, runs, [V.G1], moved, rejects), edges,
-        _counters(judged, g1_counts(decision, D.g1_truncated(g1))), rejects,
+        following, edges, _counters(judged, g1_counts(decision, D.g1_truncated(g1))), rejects
     )
 
 
@@ -221,15 +236,17 @@ def run_g2(
     ``scores(pair_id, g2, grounded_fwd, grounded_bwd)`` is needed for unflagged
     pairs only. No score is stored for a pair this gate did not judge.
     """
-    rows = _at(state, V.G2, runs).join(
+    rows = _frame(state, V.G2, runs).join(
         scores.select("pair_id", "g2", "grounded_fwd", "grounded_bwd"), "pair_id", "left"
     )
     flagged = F.coalesce("contradiction_flag", F.lit(False))
-    usable = flagged | _has(F.col("g2"), "fwd", "bwd")
-    rows, rejects = _checked(rows, usable, "no second-gate scores for pair", on_missing)
     seen, fwd, bwd = _ungrounded_if_off(scores)
-    staged = _as_run_rows(rows).withColumns({"seen": seen, "gf": fwd, "gb": bwd})
-    judged, decision = _decide(staged, "g2", D.g2_features(F.col("seen")))
+    staged = rows.withColumns({"seen": seen, "gf": fwd, "gb": bwd})
+    decided, decision = _decide(staged, "g2", D.g2_features(F.col("seen")))
+    route = R.choose(flagged, R.pass_g2(flagged), R.route_g2(decision, flagged))
+    judged, following, rejects = _settle(
+        decided, state, flagged | _has(F.col("g2"), "fwd", "bwd"), route, "no second-gate scores for pair", on_missing
+    )
     truncated = D.g2_truncated(F.col("seen"))
     edges = E.edge_updates(
         judged.where(~flagged), method=V.METHOD_G2,
@@ -238,12 +255,8 @@ def run_g2(
         attempt=F.col("run.attempt"), judge_model=F.col("run.g2_model"),
         mode=F.col("run.judge_mode"), seq=2,
     )
-    route = R.choose(flagged, R.pass_g2(flagged), R.route_g2(decision, flagged))
-    moved = _with_route(judged, state, route)
     counts = g2_counts(decision, flagged, F.col("seen.grounded").isNotNull(), truncated)
-    return GateResult(
-        _next_state(state, runs, [V.G2], moved, rejects), edges, _counters(judged, counts), rejects
-    )
+    return GateResult(following, edges, _counters(judged, counts), rejects)
 
 
 def run_g3(
@@ -254,17 +267,20 @@ def run_g3(
 
     A pair without a stored first family is never scored again here.
     """
-    rows = E.read_family_a(_at(state, V.G3, runs), edges).join(
+    rows = E.read_family_a(_frame(state, V.G3, runs), edges).join(
         scores.select("pair_id", "g3"), "pair_id", "left"
     )
     usable = F.col("family_a").isNotNull() & _has(F.col("g3"), "fwd", "bwd")
-    rows, rejects = _checked(rows, usable, "no scores to cross-check for pair", on_missing)
     one, three = D.g1_features(F.col("family_a")), D.g3_features(F.col("g3"))
     features = {
         "a_contra": one["a_contra"], "b_contra": three["b_contra"],
         "leans": one["a_leans"] & three["b_leans"],
     }
-    judged, decision = _decide(_as_run_rows(rows), "g3", features)
+    decided, decision = _decide(rows, "g3", features)
+    judged, following, rejects = _settle(
+        decided, state, usable, R.route_g3(decision, F.col("contradiction_flag")),
+        "no scores to cross-check for pair", on_missing,
+    )
     # The stored first family does not carry its truncation, so only the second counts.
     truncated = D.family_b_truncated(F.col("g3"))
     updates = E.edge_updates(
@@ -274,10 +290,8 @@ def run_g3(
         attempt=F.col("run.attempt"), judge_model=F.col("run.g3_model"),
         mode=F.col("run.judge_mode"), seq=3,
     )
-    moved = _with_route(judged, state, R.route_g3(decision, F.col("contradiction_flag")))
     return GateResult(
-        _next_state(state, runs, [V.G3], moved, rejects), updates,
-        _counters(judged, g3_counts(decision, truncated)), rejects,
+        following, updates, _counters(judged, g3_counts(decision, truncated)), rejects
     )
 
 
@@ -336,7 +350,7 @@ def run_g4(
     )
     moved = _with_route(judged, state, R.route_g4(outcome, F.col("contradiction_flag")))
     counters = T.tail_counters(judged, ["stage3_run_id"])
-    return GateResult(_next_state(state, runs, [V.G4], moved, None), edges, counters)
+    return GateResult(_next_state(state, runs, V.G4, moved), edges, counters)
 
 
 # --- the fused job --------------------------------------------------------------------
@@ -351,29 +365,33 @@ def judge_pairs(
     joined and routed once, and each verdict row is emitted finished instead of
     being merged three times. Returns the result and the counters per gate.
     """
-    rows = _at(state, V.G1, runs).join(
+    rows = _frame(state, V.G1, runs).join(
         scores.select("pair_id", "g1", "g2", "g3", "grounded_fwd", "grounded_bwd"),
         "pair_id", "left",
     )
     g1, g2, g3 = F.col("g1"), F.col("g2"), F.col("g3")
-    usable = D.scores_complete(g1, g2, g3)
-    rows, rejects = _checked(rows, usable, "no complete scores for pair", on_missing)
+    usable = F.coalesce(D.scores_complete(g1, g2, g3), F.lit(False))
     seen, fwd, bwd = _ungrounded_if_off(scores)
     features = D.cascade_features(g1, F.col("seen"), g3)
     staged = D.with_columns(
-        _as_run_rows(rows).withColumns({"seen": seen, "gf": fwd, "gb": bwd}), "_f_", features
+        rows.withColumns({"seen": seen, "gf": fwd, "gb": bwd}), "_f_", features
     )
     for gate in ("g1", "g2", "g3"):
         staged = D.with_decision(staged, gate, D.prefixed("_f_", features), _thresholds())
     d1, d2, d3 = (D.decision_columns(gate) for gate in ("g1", "g2", "g3"))
     flag = d1["contradiction_flag"]
     at_g1_done = d1["disposition"] == V.FORWARD
-    judged = staged.withColumns({
+    decided = staged.withColumns({
         "_past_g1": at_g1_done,
         "_judged_g2": at_g1_done & ~flag,
         "_past_g2": at_g1_done & (flag | (d2["disposition"] == V.FORWARD)),
     })
     past_g1, judged_g2, past_g2 = (F.col(n) for n in ("_past_g1", "_judged_g2", "_past_g2"))
+    first, second = R.route_g1(d1), R.route_g2(d2, flag)
+    route = R.choose(past_g2, R.route_g3(d3, flag), R.choose(judged_g2, second, first))
+    judged, following, rejects = _settle(
+        decided, state, usable, route, "no complete scores for pair", on_missing
+    )
 
     def last(one: Column, two: Column, three: Column) -> Column:
         """Value of the last gate that judged the pair."""
@@ -402,20 +420,25 @@ def judge_pairs(
         scores=E.stage_scores(slots),
         method_column=last(F.lit(V.METHOD_G1), F.lit(V.METHOD_G2), F.lit(V.METHOD_G3)),
     )
-    first, second = R.route_g1(d1), R.route_g2(d2, flag)
-    route = R.choose(past_g2, R.route_g3(d3, flag), R.choose(judged_g2, second, first))
-    result = GateResult(
-        _next_state(state, runs, [V.G1], _with_route(judged, state, route), rejects), base,
-        _counters(judged, g1_counts(d1, D.g1_truncated(g1))), rejects,
-    )
+    grounded = F.col("seen.grounded").isNotNull()
+    counts = {
+        V.G1: (F.lit(True), g1_counts(d1, D.g1_truncated(g1))),
+        V.G2: (past_g1, g2_counts(d2, flag, grounded, D.g2_truncated(F.col("seen")))),
+        V.G3: (past_g2, g3_counts(d3, D.family_b_truncated(g3))),
+    }
+    # One aggregate holds the counters of all gates; a gate no pair of a run reached has no row.
+    once = judged.groupBy("stage3_run_id").agg(*[
+        count_if(reached & condition).alias(f"{gate}_{name}")
+        for gate, (reached, conditions) in counts.items()
+        for name, condition in {"_reached": F.lit(True), **conditions}.items()
+    ])
     counters = {
-        V.G1: result.counters,
-        V.G2: _counters(judged.where(past_g1), g2_counts(
-            d2, flag, F.col("seen.grounded").isNotNull(), D.g2_truncated(F.col("seen"))
-        )),
-        V.G3: _counters(judged.where(past_g2), g3_counts(d3, D.family_b_truncated(g3))),
+        gate: once.where(F.col(f"{gate}__reached") > 0).select(
+            "stage3_run_id", *[F.col(f"{gate}_{name}").alias(name) for name in conditions]
+        )
+        for gate, (_, conditions) in counts.items()
     }
-    return result, counters
+    return GateResult(following, base, counters[V.G1], rejects), counters
 
 
 RUNNERS = {V.G1: run_g1, V.G2: run_g2, V.G3: run_g3, V.G4: run_g4}
