@@ -268,12 +268,54 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     )
     paths = {"state_path": str(tmp_path / "state"), "edges_path": str(tmp_path / "edges")}
     for batch in (0, 0, 1):
-        process_batch(candidates, batch, score=lambda fresh: score(spark, ROWS), runs=run_rows(spark), **paths)
+        process_batch(candidates, batch, score=lambda fresh: score(spark, ROWS), runs=run_rows(spark), as_of=as_of(), **paths)
     state = read_snapshot(spark, paths["state_path"], schemas.PAIR_STATE)
     edges = read_snapshot(spark, paths["edges_path"], schemas.EDGES)
     assert state.count() == 2 and {r["relation"] for r in edges.collect()} == {"NEUTRAL", "REPEATS"}
 
 
+def test_two_runs_over_the_same_pairs_in_a_stream(spark, tmp_path, monkeypatch):
+    """Unique verdict keys and pairs through two runs in a batch, a crash between the writes and a restart."""
+    from catalog import inputs as I
+    from verdictflow.sources.snapshots import read_snapshot
+    from verdictflow.streaming import continuous
+
+    sf = "/root/testdata/sf0.001"
+    some = I.scored_pairs(spark, sf).limit(40).cache()
+    both = ["r1", "r2"]
+    candidates = some.select(
+        "subject_id", "a_id", "b_id", "rank", "with_context", F.lit(False).alias("human_asserted"),
+        F.explode(F.array(*map(F.lit, both))).alias("stage3_run_id"), F.lit("in").alias("intake_id"),
+    )
+    candidates.write.parquet(str(tmp_path / "in"))
+    one = I.runs(spark, sf).limit(1).drop("stage3_run_id", "run_request_id")
+    runs = G.run_table(one.select("*", F.explode(F.array(*map(F.lit, both))).alias("stage3_run_id")).withColumn("run_request_id", F.lit("q")))
+
+    def scores(fresh):
+        given = some.select("a_id", "b_id", "g1", "g2", "g3", "grounded_fwd", "grounded_bwd")
+        return fresh.select("pair_id", "a_id", "b_id").join(given, ["a_id", "b_id"]).drop("a_id", "b_id")
+
+    paths = {"state_path": str(tmp_path / "state"), "edges_path": str(tmp_path / "edges")}
+
+    def start():
+        stream = spark.readStream.schema(candidates.schema).parquet(str(tmp_path / "in"))
+        continuous.start_cascade(
+            stream, str(tmp_path / "check"), clock=lambda batch: as_of(), score=scores, runs=runs, **paths
+        ).awaitTermination()
+
+    written = continuous.write_snapshot
+    monkeypatch.setattr(continuous, "write_snapshot", lambda df, path: (_ for _ in ()).throw(RuntimeError("crash")) if "state" in path else written(df, path))
+    with pytest.raises(Exception, match="crash"):
+        start()
+    monkeypatch.setattr(continuous, "write_snapshot", written)
+    start()
+    start()
+    edges = read_snapshot(spark, paths["edges_path"], schemas.EDGES)
+    state = read_snapshot(spark, paths["state_path"], schemas.PAIR_STATE)
+    assert edges.count() == edges.select("key").distinct().count() == 40
+    assert state.count() == state.select("pair_id").distinct().count() == 80
+
+
 def test_chained_gates_read_the_pairs_once_each(spark, tmp_path):
     """The first pair table is scanned once per gate of the chain, not once per branch and gate."""
     from catalog import inputs as I

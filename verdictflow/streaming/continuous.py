@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verdictflow import schemas
@@ -23,11 +23,17 @@ def process_batch(
     runs: DataFrame,
     state_path: str,
     edges_path: str,
+    as_of: Column,
+    order: Sequence[str] = ("stage3_run_id",),
 ) -> None:
     """Seed, score, judge and merge one batch of candidate pairs.
 
-    Verdict rows are written before the pair table: a batch that fails between
-    the two is repeated, finds its pairs still unseeded, and merges the same
+    A verdict row's key has no run in it, so several runs may judge one key in a batch. Their
+    updates are combined in the order of ``order`` (columns of the verdict rows), later ones last.
+
+    ``as_of`` is the time written to the rows; pass a literal, so that a repeated batch writes
+    what the first attempt wrote. Verdict rows are written before the pair table: a batch that
+    fails between the two is repeated, finds its pairs still unseeded, and merges the same
     verdicts again.
     """
     spark = candidates.sparkSession
@@ -35,20 +41,24 @@ def process_batch(
     fresh = materialize(seed_pairs(state, candidates))
     if fresh.isEmpty():
         return
-    result, _ = judge_pairs(fresh, score(fresh), runs)
+    scores = materialize(score(fresh))
+    result, _ = judge_pairs(fresh, scores, runs)
     edges = read_snapshot(spark, edges_path, schemas.EDGES)
-    merged = merge_edges(edges, result.edges, F.current_timestamp(), combined=True)
-    write_snapshot(merged, edges_path)
+    updates = result.edges.withColumn("seq", F.struct(*order))
+    write_snapshot(merge_edges(edges, updates, as_of), edges_path)
     write_snapshot(state.unionByName(result.state), state_path)
 
 
 def start_cascade(
-    candidates: DataFrame, checkpoint: str, *, trigger: dict | None = None, **settings
+    candidates: DataFrame, checkpoint: str, *, clock: Callable[[int], Column], trigger: dict | None = None, **settings
 ) -> StreamingQuery:
-    """``foreachBatch`` around ``process_batch``; keys make repeated batches harmless."""
+    """``foreachBatch`` around ``process_batch``; keys make repeated batches harmless.
+
+    ``clock(batch_id)`` gives the time of a batch; it is asked once per attempt.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, batch_id, **settings)
+        process_batch(batch, batch_id, as_of=clock(batch_id), **settings)
 
     return (
         candidates.writeStream.foreachBatch(run)
