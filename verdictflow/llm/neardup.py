@@ -68,7 +68,7 @@ def shingle_sets(texts, k: int):
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     def sign(batch: pa.RecordBatch) -> dict:
-        sizes, low, high, sigs, keys = [], [], [], [], []
+        sizes, low, high, sigs = [], [], [], []
         for _, values, offset in shingle_sets(batch.column("text").to_pylist(), k):
             n = np.diff(offset)
             sig = hashing.minhashes(values, offset, HASHES)
@@ -78,16 +78,13 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             low.append(_signed(total[offset[1:]] - total[offset[:-1]]))
             high.append(_signed(other[offset[1:]] - other[offset[:-1]]))
             sigs += [row.tobytes() for row in sig]
-            keys.append(np.stack([_signed(prefix_keys(sig, t, DEPTH)) for t in range(TREES)], axis=1))
-        flat = np.concatenate(keys)
         return {
             "doc_id": batch.column("doc_id"), "n_shingles": np.concatenate(sizes), "set_a": np.concatenate(low),
             "set_b": np.concatenate(high), "sig": sigs,
-            "keys": pa.ListArray.from_arrays(np.arange(0, flat.size + 1, TREES, dtype=np.int32), flat.ravel()),
         }
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return per_batch(rows, sign, "doc_id long, n_shingles long, set_a long, set_b long, sig binary, keys array<long>")
+    return per_batch(rows, sign, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
 
 
 def agreement(threshold: float) -> int:
@@ -165,7 +162,7 @@ def confirm(nodes: list[int], sets: list[np.ndarray], percent: int) -> dict[str,
 
 def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> DataFrame:
     """(key, node) of every region with at least two and at most about ``REGION`` classes."""
-    rows = reps.select("node", F.posexplode("keys").alias("tree", "key"))
+    rows = _first_keys(reps, orders).select("node", F.posexplode("keys").alias("tree", "key"))
     found, depth = None, DEPTH
     while True:
         crowd = written(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"))
@@ -184,9 +181,25 @@ def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> DataFrame:
         rows = written(_deeper(crowded.select("node", "tree").join(reps.select("node", "sig"), "node"), depth, orders))
 
 
+def _minima(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+
+
+def _first_keys(reps: DataFrame, orders: np.ndarray) -> DataFrame:
+    """(node, keys): derived whenever they are read, as they are larger than they cost."""
+
+    def keys(batch: pa.RecordBatch) -> dict:
+        sig = _minima(batch)
+        flat = np.stack([_signed(prefix_keys(sig, t, DEPTH, orders)) for t in range(len(orders))], axis=1)
+        ends = np.arange(0, flat.size + 1, len(orders), dtype=np.int32)
+        return {"node": batch.column("node"), "keys": pa.ListArray.from_arrays(ends, flat.ravel())}
+
+    return per_batch(reps.select("node", "sig"), keys, f"node {dict(reps.dtypes)['node']}, keys array<long>")
+
+
 def _deeper(rows: DataFrame, depth: int, orders: np.ndarray) -> DataFrame:
     def key(batch: pa.RecordBatch) -> dict:
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+        sig = _minima(batch)
         trees = batch.column("tree").to_numpy()
         keys = np.zeros(len(trees), dtype=np.uint64)
         for t in np.unique(trees).tolist():
@@ -210,7 +223,7 @@ def shingle_bytes(texts, k: int) -> list[bytes]:
 def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, orders: np.ndarray = _ORDERS) -> DataFrame:
     """Components of units with exactly confirmed links.
 
-    ``signed`` has node, ``SAME``, sig and keys per unit and is a written table; ``fetch`` takes
+    ``signed`` has node, ``SAME`` and sig per unit and is a written table; ``fetch`` takes
     (node, root) rows and adds each node's ``shingles``. Returned are ``SAME``, node (the smallest of
     the class), component and ``_rows`` (units of the class) of every class with more than one
     unit or a link.
@@ -219,8 +232,8 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: in
     kind = dict(signed.dtypes)["node"]
     reps = written(
         signed.where("n_shingles > 0 AND node IS NOT NULL").groupBy(*SAME)
-        .agg(F.min(F.struct("node", "sig", "keys")).alias("_r"), F.count("*").alias("_rows"))
-        .select(*SAME, "_rows", F.col("_r.node").alias("node"), F.col("_r.sig").alias("sig"), F.col("_r.keys").alias("keys"))
+        .agg(F.min(F.struct("node", "sig")).alias("_r"), F.count("*").alias("_rows"))
+        .select(*SAME, "_rows", F.col("_r.node").alias("node"), F.col("_r.sig").alias("sig"))
     )
     near = written(regions(reps, orders))
 

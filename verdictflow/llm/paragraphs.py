@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import hashing
 from .common import small_side, table, written
-from .neardup import HASHES, SAME, _signed, link, prefix_keys, shingle_bytes
+from .neardup import DEPTH, HASHES, SAME, _signed, link, shingle_bytes
 from .streams import per_batch
 
 K = 5
 PERCENT = 80
 MIN_WORDS = 30
-BAND = 3
+BAND = DEPTH
 #: Band t reads on from its own three minima through all others.
 _BANDS = np.stack([(np.arange(HASHES) + BAND * t) % HASHES for t in range(HASHES // BAND)])
 
@@ -46,7 +46,7 @@ def sign_paragraphs(docs: DataFrame) -> DataFrame:
     """
 
     def sign(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {name: [] for name in ("doc_id", "paragraph", "node", "n_shingles", "set_a", "set_b", "sig", "keys")}
+        out: dict[str, list] = {name: [] for name in ("doc_id", "paragraph", "node", "n_shingles", "set_a", "set_b", "sig")}
         held = [(d, i, x) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for i, x in lines(text)]
         for first, block in hashing.blocks(x for _, _, x in held):
             words = hashing.Words(block)
@@ -55,17 +55,16 @@ def sign_paragraphs(docs: DataFrame) -> DataFrame:
             sig = hashing.minhashes(values, offset, HASHES)
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
             other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashing.mix(values ^ np.uint64(0x5DEECE66D)))))
-            keys = np.stack([_signed(prefix_keys(sig, t, BAND, _BANDS)) for t in range(len(_BANDS))], axis=1)
             low, high = _signed(total[offset[1:]] - total[offset[:-1]]), _signed(other[offset[1:]] - other[offset[:-1]])
             for j in np.flatnonzero(np.diff(words.first) >= MIN_WORDS).tolist():
                 doc_id, i, _ = held[first + j]
-                for name, value in zip(out, (doc_id, i, node_of(doc_id, i), int(offset[j + 1] - offset[j]), int(low[j]), int(high[j]), sig[j].tobytes(), keys[j])):
+                for name, value in zip(out, (doc_id, i, node_of(doc_id, i), int(offset[j + 1] - offset[j]), int(low[j]), int(high[j]), sig[j].tobytes())):
                     out[name].append(value)
         return out
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     return per_batch(
-        rows, sign, "doc_id long, paragraph int, node string, n_shingles long, set_a long, set_b long, sig binary, keys array<long>"
+        rows, sign, "doc_id long, paragraph int, node string, n_shingles long, set_a long, set_b long, sig binary"
     )
 
 
