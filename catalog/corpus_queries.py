@@ -160,11 +160,30 @@ def verdict_histogram(spark, sf):
     return C.verdict_histogram(marked(spark, sf))
 
 
-@query("stats_text")
+_STATS = (
+    "scanned", "exported", "skipped_not_ensemble", "skipped_unusable", "hydrated", "golden", "with_context",
+    "missing_claim_a_text", "missing_claim_b_text", "missing_verdict",
+)
+
+
+@query("stats_text", f"""WITH {_RECORDS_SQL}, st AS (
+  SELECT count(*) AS scanned, count(*) FILTER (status = 'EXPORTED') AS exported,
+  count(*) FILTER (status = 'NOT_ENSEMBLE') AS skipped_not_ensemble,
+  count(*) FILTER (status = 'UNUSABLE') AS skipped_unusable, count(*) FILTER (hydrated) AS hydrated,
+  count(*) FILTER (status = 'EXPORTED' AND golden) AS golden,
+  count(*) FILTER (status = 'EXPORTED' AND with_context) AS with_context,
+  count(*) FILTER (status = 'UNUSABLE' AND claim_a_text = '') AS missing_claim_a_text,
+  count(*) FILTER (status = 'UNUSABLE' AND claim_b_text = '') AS missing_claim_b_text,
+  count(*) FILTER (status = 'UNUSABLE' AND ensemble_verdict = '') AS missing_verdict
+  FROM done
+)
+SELECT printf('export%s%s%s%d', chr(9), item, chr(9), v) AS line FROM (
+  SELECT unnest({list(_STATS)}) AS item, unnest([{', '.join(_STATS)}]) AS v FROM st)
+UNION ALL SELECT printf('label%spairs[%s]%s%d', chr(9), ensemble_verdict, chr(9), count(*)) FROM done WHERE status = 'EXPORTED' GROUP BY ensemble_verdict""")
 def stats_text(spark, sf):
-    """The statistics as text; formatted, so without a twin."""
+    """The statistics as lines of text."""
     rows = marked(spark, sf)
-    return reports.describe_stats(C.corpus_stats(rows), C.verdict_histogram(rows))
+    return reports.lines(reports.corpus_facts(C.corpus_stats(rows), C.verdict_histogram(rows)))
 
 
 @query("corpus_inspect", f"""WITH {_RAW_SQL}, k AS (

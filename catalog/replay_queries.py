@@ -267,13 +267,56 @@ def label_scores(spark, sf):
     )
 
 
-@query("report_text")
+def _facts_sql(part: str, items: dict[str, str], source: str, detail: str = "''") -> str:
+    names = ", ".join(f"'{name}'" for name in items)
+    values = ", ".join(f"CAST({value} AS DOUBLE)" for value in items.values())
+    return f"SELECT roster, '{part}' AS part, {detail} AS detail, unnest([{names}]) AS item, unnest([{values}]) AS value FROM {source}"
+
+
+_BAR_VALUES = {"neutralPrecision": "\"precision\"", "neutralCoverage": "coverage", "contradictsRecall": "contradicts_recall", "g4Share": "g4_share"}
+_REPORT_FACTS = " UNION ALL ".join([
+    _facts_sql("adopted", {
+        "from_grid": "from_grid", "neutral_min": "nm", "repeat_min": "0.9", "contra_escape": "ce", "support_min": "0.9",
+        "support_floor": "0.5", "contra_min": "0.85", "neutral_consensus": "nc",
+    }, "adopted"),
+    _facts_sql("grid", {"cells": "count(*)", "passing": "count(*) FILTER (passed)"}, "grid GROUP BY roster"),
+    _facts_sql("volume", {n: n for n in ("total", "decided_share", "g4_share", "human_share")}, "m"),
+    _facts_sql("neutral", {"coverage": "coverage", "precision": "\"precision\"", "decided_neutral": "decided_neutral"}, "m"),
+    _facts_sql("golden", {n: n for n in ("golden_contradictions", "preserved", "discarded", "contradicts_recall")}, "m"),
+    _facts_sql("verdict", {n: n for n in ("pr", "re", "f1", "predicted", "actual")}, "pv", "label").replace("'pr'", "'precision'").replace("'re'", "'recall'"),
+    *[
+        _facts_sql("bar", {"observed": value, "required": str(BAR[name][1]), "met": (
+            f"CASE WHEN {'golden_contradictions > 0' if name == 'contradictsRecall' else 'true'} THEN {value} {BAR[name][0]} {BAR[name][1]} END"
+        )}, "m", f"'{name}'")
+        for name, value in _BAR_VALUES.items()
+    ],
+])
+
+
+@query("report_text", f"""WITH {_BEST_SQL}, adopted AS (
+  SELECT r.roster, place IS NOT NULL AS from_grid, coalesce("neutralMin", 0.95) AS nm, coalesce("contraEscape", 0.02) AS ce,
+    coalesce("neutralConsensus", 0.1) AS nc
+  FROM (SELECT DISTINCT roster FROM sr) r LEFT JOIN ranked ON ranked.roster = r.roster AND place = 1
+), sw AS (SELECT sr.*, adopted.nm, adopted.ce, adopted.nc FROM sr JOIN adopted USING (roster)),
+{I.cascade_sql("sw", neutral_min="nm", contra_escape="ce", neutral_consensus="nc")
+   .replace("f AS (", "f2 AS (").replace("FROM f\n", "FROM f2\n").replace("c1 AS (", "e1 AS (")
+   .replace("FROM c1\n", "FROM e1\n").replace("c2 AS (", "e2 AS (").replace("FROM c2\n", "FROM e2\n")
+   .replace("), c AS (", "), e AS (")}, n2 AS (SELECT roster, {_COUNTS} FROM e GROUP BY roster),
+m AS (SELECT roster, total, {_REPORT} FROM n2), nv AS (
+  SELECT roster, v.label, count(*) FILTER (verdict = v.label AND ensemble_verdict = v.label) AS hits,
+    count(*) FILTER (verdict = v.label) AS predicted, count(*) FILTER (ensemble_verdict = v.label) AS actual
+  FROM e, (VALUES ('NEUTRAL'), ('REPEATS'), ('CORROBORATES')) v(label) GROUP BY ALL
+), pw AS (
+  SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE CAST(hits AS DOUBLE) / predicted END AS pr,
+    CASE WHEN actual = 0 THEN 0.0 ELSE CAST(hits AS DOUBLE) / actual END AS re FROM nv
+), pv AS (SELECT *, CASE WHEN pr + re = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END AS f1 FROM pw),
+facts AS ({_REPORT_FACTS})
+SELECT roster, part, item, detail, round(value, 6) AS value FROM facts WHERE value IS NOT NULL""")
 def report_text(spark, sf):
-    """The report as text; formatted numbers have no SQL twin."""
-    tables = RP.build_report(
-        features(spark, sf), _rosters(spark, sf), grid=GRID, sweeps=SWEEPS, bar=BAR
-    )
-    return reports.render(tables)
+    """The numbers of the report; calibration and sweeps have rows of their own (ece, report_sweeps)."""
+    tables = RP.build_report(features(spark, sf), _rosters(spark, sf), grid=GRID, bar=BAR)
+    facts = reports.report_facts(tables).where("part <> 'calibration'")
+    return _rounded(facts, "value")
 
 
 @query("report_sweeps", f"""WITH {_BEST_SQL}, adopted AS (

@@ -166,7 +166,11 @@ def test_report_without_a_passing_cell_uses_the_base(spark):
 
 
 def test_axis_options():
-    assert RP.parse_axis("contraEscape=0.02,0.1") == ("contraEscape", (0.02, 0.1))
-    for bad in (["nope=1"], ["neutralMin"]):
+    assert RP.parse_axes(["contraEscape=0.02,0.1", " neutralMin = 0.9"]) == {"contraEscape": (0.02, 0.1), "neutralMin": (0.9,)}
+    for bad in (["nope=1"], ["neutralMin"], ["neutralMin="], ["neutralMin=x"], ["neutralMin=1", "neutralMin=2"], ["a=b=1"]):
         with pytest.raises(ValueError):
             RP.parse_axes(bad)
+    assert RP.with_overrides(["neutralMin=0.7"]).neutral_min == 0.7
+    for bad in (["neutralMin=0.7,0.8"], ["nope=1"]):
+        with pytest.raises(ValueError):
+            RP.with_overrides(bad)

@@ -1,4 +1,8 @@
-"""Reports as text and as files."""
+"""Reports as tables of facts, as text, and as files.
+
+A report is a table with one number a row: which part of the report, which item, of what
+(``detail``), and its value. Text is only a way to print such rows.
+"""
 
 from __future__ import annotations
 
@@ -6,117 +10,73 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from verdictflow import vocab as V
-
-# Fixed value: why recall may be impossible to measure.
-NO_GOLDEN = "the corpus holds no golden pair labelled CONTRADICTS"
-
-
-def describe_go_bar(criteria: DataFrame, keys: Sequence[str] = ("roster",)) -> DataFrame:
-    """One text per group; a criterion that was never tested is not shown as met."""
-    order = F.array_position(F.array(*[F.lit(name) for name in V.GO_BAR]), F.col("criterion"))
-    line = F.when(
-        ~F.col("measurable"),
-        F.concat(F.lit("  n/a  "), "criterion", F.lit(f": not measurable, {NO_GOLDEN}")),
-    ).otherwise(
-        F.concat(
-            F.when(F.col("met"), "  ok   ").otherwise("  MISS "),
-            F.col("criterion"), F.lit(": "), F.format_string("%.4f", F.col("observed")),
-            F.lit(" (bar "), F.col("comparison"), F.lit(" "), F.col("required").cast("string"),
-            F.lit(")"),
-        )
-    )
-    # Four criteria per group.
-    grouped = criteria.groupBy(*keys).agg(
-        F.first("passed").alias("passed"),
-        F.bool_and("measurable").alias("complete"),
-        F.sort_array(F.collect_list(F.struct(order.alias("o"), line.alias("line")))).alias("lines"),
-    )
-    head = (
-        F.when(~F.col("passed"), "FAIL")
-        .when(F.col("complete"), "PASS")
-        .otherwise("PASS (PARTIAL, see n/a below)")
-    )
-    lines = F.transform("lines", lambda row: row["line"])
-    return grouped.select(
-        *keys, F.concat_ws("\n", head, F.array_join(lines, "\n")).alias("description")
-    )
-
+PARTS = ("adopted", "grid", "volume", "neutral", "golden", "verdict", "calibration", "bar", "sweep")
 
-def describe_stats(stats: DataFrame, histogram: DataFrame) -> DataFrame:
-    """One line of export statistics and one of verdict counts.
 
-    The histogram has a row per distinct label, the statistics are one row.
-    """
-    labels = histogram.agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("ensemble_verdict", "pairs"))),
-                lambda row: F.concat_ws(" ", row["ensemble_verdict"], row["pairs"].cast("string")),
-            ),
-            ", ",
-        ).alias("labels")
+def facts_of(table: DataFrame, keys: Sequence[str], part: str, items: Sequence[str], detail: Column | None = None) -> DataFrame:
+    """``items`` (columns of numbers or flags) of each row as facts; missing numbers are left out."""
+    values = F.array(*[F.struct(F.lit(i).alias("item"), F.col(i).cast("double").alias("value")) for i in items])
+    shown = F.lit("") if detail is None else detail
+    return table.select(*keys, F.lit(part).alias("part"), shown.alias("detail"), F.inline(values)).where("value IS NOT NULL").select(
+        *keys, "part", "item", "detail", "value"
     )
-    return stats.withColumn("_one", F.lit(1)).join(
-        labels.withColumn("_one", F.lit(1)), "_one"
-    ).select(
-        F.format_string(
-            "scanned %d, exported %d, skipped %d non-ensemble / %d unusable, golden %d, "
-            "withContext %d\n  verdicts: %s",
-            "scanned", "exported", "skipped_not_ensemble", "skipped_unusable", "golden",
-            "with_context",
-            F.when(F.col("labels") == "", "(none)").otherwise(F.col("labels")),
-        ).alias("description")
+
+
+def report_facts(tables: dict[str, DataFrame], keys: Sequence[str] = ("roster",)) -> DataFrame:
+    """All numbers of ``plans.replay.build_report`` as facts of each roster."""
+    thresholds = [c for c in tables["thresholds"].columns if c not in keys]
+    found = [
+        facts_of(tables["thresholds"], keys, "adopted", thresholds),
+        facts_of(tables["funnel"], keys, "volume", ("total", "decided_share", "g4_share", "human_share")),
+        facts_of(tables["neutral"], keys, "neutral", ("coverage", "precision", "decided_neutral")),
+        facts_of(tables["contradictions"], keys, "golden", ("golden_contradictions", "preserved", "discarded", "contradicts_recall")),
+        facts_of(tables["per_verdict"], keys, "verdict", ("precision", "recall", "f1", "predicted", "actual"), F.col("label")),
+        facts_of(tables["calibration"], keys, "calibration", ("ece", "samples")),
+        # A criterion without anything to measure has no outcome, which is neither met nor missed.
+        facts_of(
+            tables["go_bar"].withColumn("met", F.when(F.col("measurable"), F.col("met"))), keys, "bar",
+            ("observed", "required", "met"), F.col("criterion"),
+        ),
+    ]
+    if "grid" in tables:
+        cells = tables["grid"].groupBy(*keys).agg(F.count("*").alias("cells"), F.count_if("passed").alias("passing"))
+        found.append(facts_of(cells, keys, "grid", ("cells", "passing")))
+    if "sweeps" in tables:
+        point = F.concat_ws("=", "axis", F.format_string("%.4g", "value"))
+        renamed = tables["sweeps"].withColumn("_point", point)
+        found.append(facts_of(renamed, keys, "sweep", ("coverage", "precision", "g4_share", "human_share"), F.col("_point")))
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def corpus_facts(stats: DataFrame, histogram: DataFrame) -> DataFrame:
+    """Export statistics and label counts as facts; a label is a row, so any number of them will do."""
+    labels = histogram.select(
+        F.lit("label").alias("part"), F.lit("pairs").alias("item"), F.col("ensemble_verdict").alias("detail"), F.col("pairs").cast("double").alias("value")
     )
+    return facts_of(stats, (), "export", stats.columns).unionByName(labels)
 
 
-def _percent(value: Column) -> Column:
-    return F.format_string("%.2f%%", value * 100)
+def lines(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Facts as tab-separated text: part, item with its detail, number (whole, or six decimals)."""
+    name = F.when(F.col("detail") == "", F.col("item")).otherwise(F.concat("item", F.lit("["), "detail", F.lit("]")))
+    whole = F.col("value") == F.floor("value")
+    number = F.when(whole, F.format_string("%d", F.col("value").cast("long"))).otherwise(F.round("value", 6).cast("decimal(20,6)").cast("string"))
+    return facts.select(*keys, F.concat_ws("\t", "part", name, number).alias("line"))
 
 
 def render(tables: dict[str, DataFrame]) -> DataFrame:
-    """(roster, report): the report tables of ``plans.replay.build_report`` as text."""
-    verdicts = tables["per_verdict"].groupBy("roster").agg(
-        F.sort_array(F.collect_list(F.format_string(
-            "    %-14s P=%.4f R=%.4f F1=%.4f (predicted %d, actual %d)",
-            "label", "precision", "recall", "f1", "predicted", "actual",
-        ))).alias("verdict_lines")
-    )
-    bar = describe_go_bar(tables["go_bar"])
-    joined = (
-        tables["funnel"].join(tables["neutral"], "roster")
-        .join(tables["contradictions"], "roster")
-        .join(tables["calibration"], "roster", "left")
-        .join(verdicts, "roster")
-        .join(bar, "roster")
-    )
-    return joined.select(
-        "roster",
-        F.concat_ws(
-            "\n",
-            F.format_string("=== %s ===", "roster"),
-            F.format_string("  pairs: %d", "total"),
-            F.lit("  per verdict:"),
-            F.array_join("verdict_lines", "\n"),
-            F.concat(
-                F.lit("  NEUTRAL: precision "), F.format_string("%.4f", "precision"),
-                F.lit(" at "), _percent(F.col("coverage")), F.lit(" coverage"),
-            ),
-            F.concat(
-                F.lit("  funnel: encoders "), _percent(F.col("decided_share")),
-                F.lit(", G4 "), _percent(F.col("g4_share")),
-                F.lit(", human "), _percent(F.col("human_share")),
-            ),
-            F.format_string(
-                "  golden contradictions: recall %.4f (%d/%d preserved, %d discarded)",
-                "contradicts_recall", "preserved", "golden_contradictions", "discarded",
-            ),
-            F.format_string(
-                "  calibration: ECE %.4f over %d scored decisions",
-                F.coalesce("ece", F.lit(0.0)), F.coalesce("samples", F.lit(0)),
-            ),
-            F.concat(F.lit("  GO bar: "), F.replace("description", F.lit("\n"), F.lit("\n  "))),
-        ).alias("report"),
+    """(roster, report): a roster's lines, part after part.
+
+    Their number is that of thresholds, criteria, verdicts and sweep points, all given by the caller.
+    """
+    order = F.array_position(F.array(*map(F.lit, PARTS)), F.split("line", "\t")[0])
+    return (
+        lines(report_facts(tables), ("roster",)).groupBy("roster")
+        .agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "line"))).alias("l"))
+        .select("roster", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("report"))
     )
 
 
