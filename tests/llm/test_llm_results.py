@@ -110,19 +110,34 @@ def test_repeated_paragraphs(spark):
     near[2] = "changed"
     texts = {
         1: "\n".join([fresh(40), passage, fresh(60)]), 2: "\n".join([passage.upper(), fresh(45)]), 3: " ".join(near),
-        4: "\n".join([fresh(50), fresh(50)]), 5: "\n".join([own := fresh(40), own]), 6: "\n".join(["short and shared by all"] * 3),
+        4: "\n".join([fresh(50), fresh(50)]), 8: "\n".join([fresh(35), block := "\n".join([fresh(20), fresh(20), fresh(15)]), fresh(40)]),
+        9: "\n".join([fresh(70), block]), 5: "\n".join([own := fresh(40), own]), 6: "\n".join(["short and shared by all"] * 3),
         7: "short and shared by all",
     }
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = {(r.doc_id, r.paragraph, r.component_doc, r.component_paragraph, r.removed) for r in paragraphs.repeated_paragraphs(docs).collect()}
-    assert rows == {(1, 1, 1, 1, False), (2, 0, 1, 1, True), (3, 0, 1, 1, True)}
+    assert rows == {
+        (1, 1, 1, 1, False), (2, 0, 1, 1, True), (3, 0, 1, 1, True), (8, 1, 8, 1, False), (9, 1, 8, 1, True),
+        (8, 2, 8, 2, False), (9, 2, 8, 2, True),
+    }
     cleaned = {r.doc_id: r.text for r in paragraphs.remove(docs).collect()}
+    assert cleaned[9] == texts[9].split("\n")[0] and cleaned[8] == texts[8]
     assert cleaned[2] == texts[2].split("\n")[1] and cleaned[3] == "" and all(cleaned[i] == texts[i] for i in (1, 4, 5, 6, 7))
 
 
 def test_paragraphs_against_brute_force(spark):
     texts = texts_of(spark, "/root/testdata/sf0.001")
-    sets = {(d, i): shingles(x, 5) for d, t in texts.items() for i, x in enumerate((t or "").split("\n")) if len(words(x)) >= paragraphs.MIN_WORDS}
+    sets = {}
+    for d, t in texts.items():
+        held = (t or "").split("\n")
+        for i in range(len(held)):
+            run = list(itertools.takewhile(lambda x: len(words(x)) < paragraphs.MIN_WORDS, held[i:])) if words(held[i]) else []
+            sizes = list(itertools.accumulate(len(words(x)) for x in run))
+            enough = next((n for n, size in enumerate(sizes, 1) if size >= paragraphs.MIN_WORDS), None)
+            if len(words(held[i])) >= paragraphs.MIN_WORDS:
+                sets[d, i] = shingles(held[i], 5)
+            elif enough:
+                sets[d, i] = shingles("\n".join(held[i : i + enough]), 5)
     root = brute_components(sets, 80)
     docs_of = collections.defaultdict(set)
     for node, r in root.items():

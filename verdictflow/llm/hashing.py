@@ -118,8 +118,8 @@ def distinct(values: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def minhashes(values: np.ndarray, offset: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
-    """``count`` 32-bit minima of each run of values, one row a run; rows of empty runs are zero."""
-    out = np.zeros((len(offset) - 1, count), dtype=np.uint32)
+    """``count`` minima of each run of values, 16 bits of each, one row a run; rows of empty runs are zero."""
+    out = np.zeros((len(offset) - 1, count), dtype=np.uint16)
     full = np.flatnonzero(np.diff(offset))
     if not len(full):
         return out
@@ -128,5 +128,5 @@ def minhashes(values: np.ndarray, offset: np.ndarray, count: int, seed: int = 1)
     for j in range(count):
         turned = values * (draw[0, j] << U64(1) | U64(1))
         turned += draw[1, j]
-        out[full, j] = (np.minimum.reduceat(turned, begin) >> U64(32)).astype(np.uint32)
+        out[full, j] = (mix(np.minimum.reduceat(turned, begin)) >> U64(48)).astype(np.uint16)
     return out

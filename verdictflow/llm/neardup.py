@@ -182,7 +182,7 @@ def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> DataFrame:
 
 
 def _minima(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
 
 
 def _first_keys(reps: DataFrame, orders: np.ndarray) -> DataFrame:
@@ -238,7 +238,7 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: in
     near = written(regions(reps, orders))
 
     def candidates(group: pa.Table) -> dict | None:
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
         return region_stars(group.column("node").to_pylist(), group.column("n_shingles").to_numpy(), sig, threshold)
 
     def test(group: pa.Table) -> dict | None:

@@ -1,6 +1,10 @@
 """Repeated passages: MinHash banding of paragraphs, exact Jaccard, removals by components.
 
-A paragraph is a line with at least ``MIN_WORDS`` words; its set are the shingles of ``K`` words.
+A paragraph is a line with at least ``MIN_WORDS`` words, or the fewest lines in a row, all shorter, that
+together have as many; one begins at every short line that is not blank, so a repeated passage of
+several lines is found wherever it stands. Its set are the shingles of ``K`` words. A passage inside
+a longer line is found as far as the two lines are alike.
+
 Bands of three minima each are tuned for recall: paragraphs at the threshold 0.8 collide in none of
 the 21 bands with a chance of 3e-7. Paragraphs that collide in a band and agree in enough minima
 are candidates, full sets are compared exactly, and of every component all paragraphs but the one
@@ -10,7 +14,7 @@ that, so a passage in a third of all documents costs one comparison.
 
 Components inside one document only are left alone: they repeat nothing across documents.
 
-Defined cases: null and empty texts and short lines have no paragraphs; repeated rows of one id have
+Defined cases: null and empty texts, and texts of fewer words, have no paragraphs; repeated rows of one id have
 the same paragraphs, which count once; rows with a null id are not looked at; an empty table gives an
 empty result; texts of any length are read whole; other columns are passed through by ``remove``.
 """
@@ -34,21 +38,31 @@ BAND = DEPTH
 _BANDS = np.stack([(np.arange(HASHES) + BAND * t) % HASHES for t in range(HASHES // BAND)])
 
 
-def lines(text: bytes) -> list[tuple[int, bytes]]:
-    """(line number, line) of the lines that may have enough words."""
-    return [(i, x) for i, x in enumerate(text.split(b"\n")) if len(x) >= 2 * MIN_WORDS - 1]
+def units(text: bytes) -> list[tuple[int, int, bytes]]:
+    """(first line, number of lines, text) of the paragraphs of a text."""
+    held = text.split(b"\n")
+    counts = [len(line.split()) for line in held]
+    out = []
+    for i, total in enumerate(counts):
+        j = i
+        while 0 < total < MIN_WORDS and j + 1 < len(held) and counts[j + 1] < MIN_WORDS:
+            j += 1
+            total += counts[j]
+        if total >= MIN_WORDS:
+            out.append((i, j - i + 1, b"\n".join(held[i : j + 1])))
+    return out
 
 
 def sign_paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line number), node and signature columns of every paragraph.
+    """doc_id, paragraph (first line), n_lines, node and signature columns of every paragraph.
 
     ``node`` names the paragraph; its order as text is the order of (doc_id, paragraph).
     """
 
     def sign(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {name: [] for name in ("doc_id", "paragraph", "node", "n_shingles", "set_a", "set_b", "sig")}
-        held = [(d, i, x) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for i, x in lines(text)]
-        for first, block in hashing.blocks(x for _, _, x in held):
+        out: dict[str, list] = {name: [] for name in ("doc_id", "paragraph", "n_lines", "node", "n_shingles", "set_a", "set_b", "sig")}
+        held = [(d, *u) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for u in units(text)]
+        for first, block in hashing.blocks(x for *_, x in held):
             words = hashing.Words(block)
             values, offset = words.shingles(K)
             values, offset = hashing.distinct(values, offset)
@@ -56,15 +70,15 @@ def sign_paragraphs(docs: DataFrame) -> DataFrame:
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
             other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashing.mix(values ^ np.uint64(0x5DEECE66D)))))
             low, high = _signed(total[offset[1:]] - total[offset[:-1]]), _signed(other[offset[1:]] - other[offset[:-1]])
-            for j in np.flatnonzero(np.diff(words.first) >= MIN_WORDS).tolist():
-                doc_id, i, _ = held[first + j]
-                for name, value in zip(out, (doc_id, i, node_of(doc_id, i), int(offset[j + 1] - offset[j]), int(low[j]), int(high[j]), sig[j].tobytes())):
+            for j in range(len(block)):
+                doc_id, i, n, _ = held[first + j]
+                for name, value in zip(out, (doc_id, i, n, node_of(doc_id, i), int(offset[j + 1] - offset[j]), int(low[j]), int(high[j]), sig[j].tobytes())):
                     out[name].append(value)
         return out
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     return per_batch(
-        rows, sign, "doc_id long, paragraph int, node string, n_shingles long, set_a long, set_b long, sig binary"
+        rows, sign, "doc_id long, paragraph int, n_lines int, node string, n_shingles long, set_a long, set_b long, sig binary"
     )
 
 
@@ -75,15 +89,16 @@ def node_of(doc_id: int, paragraph: int) -> str:
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """Every paragraph of a component that spans documents.
 
-    doc_id, paragraph, component_doc and component_paragraph (the first of the component), removed.
+    doc_id, paragraph (its first line), n_lines, component_doc and component_paragraph (the first of the
+    component), removed.
     """
     signed = written(sign_paragraphs(docs))
 
     def fetch(nodes: DataFrame) -> DataFrame:
         """A document's paragraphs in question are picked while its text is read, once."""
         wanted = written(
-            nodes.join(signed.select("node", "doc_id", "paragraph").distinct(), "node")
-            .groupBy("doc_id").agg(F.collect_set(F.struct("paragraph", "node", "root")).alias("wanted"))
+            nodes.join(signed.select("node", "doc_id", "paragraph", "n_lines").distinct(), "node")
+            .groupBy("doc_id").agg(F.collect_set(F.struct("paragraph", "n_lines", "node", "root")).alias("wanted"))
         )
 
         def pick(batch: pa.RecordBatch) -> dict:
@@ -91,19 +106,20 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
             for text, rows in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
                 own = text.split(b"\n")
                 for row in rows:
-                    if row["paragraph"] < len(own):
+                    i, n = row["paragraph"], row["n_lines"]
+                    if i + n <= len(own):
                         found.append(row)
-                        texts.append(own[row["paragraph"]])
+                        texts.append(b"\n".join(own[i : i + n]))
             return {"root": [r["root"] for r in found], "node": [r["node"] for r in found], "shingles": shingle_bytes(texts, K)}
 
         texts = docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text")).join(small_side(wanted), "doc_id")
         return per_batch(texts, pick, "root string, node string, shingles binary")
 
     classes = link(signed, fetch, PERCENT, _BANDS).select(*SAME, "component")
-    members = written(signed.select("doc_id", "paragraph", "node", *SAME).join(classes, SAME).select("doc_id", "paragraph", "node", "component").distinct())
+    members = written(signed.select("doc_id", "paragraph", "n_lines", "node", *SAME).join(classes, SAME).select("doc_id", "paragraph", "n_lines", "node", "component").distinct())
     spans = members.groupBy("component").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("component", F.col("_a").alias("component_doc"))
     return members.join(spans, "component").select(
-        "doc_id", "paragraph", "component_doc",
+        "doc_id", "paragraph", "n_lines", "component_doc",
         F.conv(F.substring("component", 17, 8), 16, 10).cast("int").alias("component_paragraph"),
         (F.col("node") != F.col("component")).alias("removed"),
     )
@@ -112,7 +128,9 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, removals: DataFrame | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; all other columns as they are."""
     found = repeated_paragraphs(docs) if removals is None else removals
-    gone = found.where("removed").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("paragraph").alias("_gone"))
+    line = F.explode(F.sequence("paragraph", F.col("paragraph") + F.col("n_lines") - 1))
+    # At most a document's lines are collected.
+    gone = found.where("removed").select(F.col("doc_id").alias("_doc"), line.alias("_line")).groupBy("_doc").agg(F.collect_set("_line").alias("_gone"))
     joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left")
     text, lost = docs["text"], gone["_gone"]
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
