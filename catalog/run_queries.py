@@ -36,11 +36,11 @@ _REASON = f"""CASE event_id % 17 WHEN 0 THEN 'envelope_not_object' WHEN 1 THEN '
 
 def _events(spark, sf):
     return I.load(spark, sf, "events").selectExpr(
-        "*", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") || '.000' AS ts_text"
+        "*", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS\") AS ts_text"
     )
 
 
-_EVENTS_SQL = "ev AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000' AS ts_text FROM events)"
+_EVENTS_SQL = "ev AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS ts_text FROM events)"
 
 
 def envelopes(spark, sf):
@@ -84,7 +84,7 @@ def dead_letter_depth(spark, sf):
 @query("dedupe_requests", f"""WITH {_EVENTS_SQL}, r AS (SELECT *, {_REASON} AS reason FROM ev)
 SELECT {_UUID} AS run_request_id, {_GATE} AS gate,
   CASE event_id % 17 WHEN 11 THEN 'FROM_GATE' ELSE 'FULL' END AS mode,
-  strftime(min(date_trunc('second', ts)), '%Y-%m-%dT%H:%M:%S') || '.000Z' AS first_requested, count(*) AS deliveries
+  strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS first_requested, count(*) AS deliveries
 FROM r WHERE reason = '-' GROUP BY ALL""")
 def dedupe_requests(spark, sf):
     return RQ.dedupe_table(RQ.valid_requests(decoded(spark, sf))).select(
@@ -259,8 +259,8 @@ def errors_by_code(spark, sf):
     return RN.errors_by_code(_log(spark, sf))
 
 
-@query("timestamps", """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS utc,
-  CASE WHEN event_id % 3 = 0 THEN '-' ELSE strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S') || '.000Z' END AS shifted
+@query("timestamps", """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS utc,
+  CASE WHEN event_id % 3 = 0 THEN '-' ELSE strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END AS shifted
 FROM events""")
 def timestamps(spark, sf):
     rows = _events(spark, sf)
