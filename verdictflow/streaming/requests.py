@@ -43,6 +43,20 @@ def dedupe_stream(valid: DataFrame, lateness: str = "2 hours") -> DataFrame:
     return valid.withWatermark("requested_at", lateness).dropDuplicatesWithinWatermark(DEDUPE_KEYS)
 
 
+def redeliveries(valid: DataFrame, window: str = "2 hours", lateness: str = "2 hours") -> DataFrame:
+    """Per request and window, how many deliveries came after its first one.
+
+    ``dedupe_stream`` drops them without a trace. On a stream the rows appear when the watermark has
+    passed their window; requests that came once are left out.
+    """
+    counted = valid.withWatermark("requested_at", lateness).groupBy(F.window("requested_at", window).alias("w"), *DEDUPE_KEYS).agg(
+        F.count(F.lit(1)).alias("deliveries")
+    )
+    return counted.where("deliveries > 1").select(
+        F.col("w.start").alias("window_start"), *DEDUPE_KEYS, (F.col("deliveries") - 1).alias("dropped")
+    )
+
+
 def dedupe_table(valid: DataFrame) -> DataFrame:
     """The same on a table: the first delivery of each request, and how many came."""
     columns = [c for c in valid.columns if c not in DEDUPE_KEYS]
