@@ -74,7 +74,10 @@ def test_paragraphs(odd, empty):
     out = paragraphs.remove(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert {r.doc_id: r.text for r in out.where("doc_id in (4, 5)").collect()} == {4: LONG, 5: ""}
-    assert paragraphs.repeated_paragraphs(empty).count() == 0
+    assert paragraphs.repeated_paragraphs(empty).count() == 0 and paragraphs.repeated_pieces(empty).count() == 0
+    cut = paragraphs.remove_pieces(odd)
+    assert cut.columns == odd.columns and cut.count() == odd.count()
+    assert len({r.text for r in cut.where("doc_id in (4, 5)").collect()}) == 2
 
 
 def test_decontaminate(spark, odd, empty):

@@ -125,6 +125,34 @@ def test_repeated_paragraphs(spark):
     assert cleaned[2] == texts[2].split("\n")[1] and cleaned[3] == "" and all(cleaned[i] == texts[i] for i in (1, 4, 5, 6, 7))
 
 
+def test_pieces_inside_longer_texts(spark):
+    draw = random.Random(12)
+    fresh = lambda n: [f"m{draw.randrange(10**6)}" for _ in range(n)]
+    texts, holders = {}, collections.defaultdict(list)
+    for p in range(30):
+        passage = fresh(draw.randrange(51, 90))
+        for c in range(draw.randrange(2, 5)):
+            doc = len(texts)
+            w = fresh(draw.randrange(20, 200)) + passage + fresh(draw.randrange(20, 200))
+            for _ in range(3):
+                w.insert(draw.choice([0, len(w)]), "\n")
+            texts[doc] = " ".join(w) if c else "\n".join([" ".join(fresh(60)), " ".join(passage)])
+            holders[p].append(doc)
+    clean = {len(texts) + i: " ".join(fresh(300)) for i in range(20)}
+    docs = spark.createDataFrame(list({**texts, **clean}.items()), "doc_id long, text string")
+    rows = paragraphs.repeated_pieces(docs).collect()
+    found = collections.defaultdict(set)
+    for r in rows:
+        found[r.component_doc].add(r.doc_id)
+        assert not r.removed == (r.doc_id == r.component_doc) and r.doc_id in texts
+    assert sum(found.get(ds[0]) == set(ds) for ds in holders.values()) >= 28
+    cut = {r.doc_id: r.text for r in paragraphs.remove_pieces(docs).collect()}
+    gone = [r for r in rows if r.removed]
+    for r in gone:
+        assert len(words(cut[r.doc_id])) == len(words(texts[r.doc_id])) - sum(x.n_words for x in gone if x.doc_id == r.doc_id)
+    assert all(cut[d] == t for d, t in clean.items())
+
+
 def test_paragraphs_against_brute_force(spark):
     texts = texts_of(spark, "/root/testdata/sf0.001")
     sets = {}
@@ -143,7 +171,7 @@ def test_paragraphs_against_brute_force(spark):
     for node, r in root.items():
         docs_of[r].add(node[0])
     want = {(*n, *r, n != r) for n, r in root.items() if len(docs_of[r]) > 1}
-    rows = paragraphs.query(spark, "/root/testdata/sf0.001").collect()
+    rows = paragraphs.query(spark, "/root/testdata/sf0.001").where("paragraph IS NOT NULL").collect()
     assert {(r.doc_id, r.paragraph, r.component_doc, r.component_paragraph, r.removed) for r in rows} == want
 
 

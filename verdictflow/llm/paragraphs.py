@@ -2,8 +2,14 @@
 
 A paragraph is a line with at least ``MIN_WORDS`` words, or the fewest lines in a row, all shorter, that
 together have as many; one begins at every short line that is not blank, so a repeated passage of
-several lines is found wherever it stands. Its set are the shingles of ``K`` words. A passage inside
-a longer line is found as far as the two lines are alike.
+several lines is found wherever it stands. Its set are the shingles of ``K`` words.
+
+A passage may also stand in the middle of a longer text. ``repeated_pieces`` therefore cuts further
+paragraphs by content: windows of ``WINDOW`` words begin where a hash of two words is least among its
+``APART`` neighbours on both sides, so the same text is cut alike wherever it stands. What is
+covered by windows that another document has as well is a *piece*; pieces are banded, compared and
+clustered just as lines are. A text of 50 words in common is cut nowhere inside with a chance of a
+few in a hundred; each ten words more make that several times less.
 
 Bands of three minima each are tuned for recall: paragraphs at the threshold 0.8 collide in none of
 the 21 bands with a chance of 3e-7. Paragraphs that collide in a band and agree in enough minima
@@ -22,6 +28,7 @@ empty result; texts of any length are read whole; other columns are passed throu
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,10 +41,20 @@ K = 5
 PERCENT = 80
 MIN_WORDS = 30
 BAND = DEPTH
+WINDOW = 32
+APART = 4
 #: Band t reads on from its own three minima through all others.
 _BANDS = np.stack([(np.arange(HASHES) + BAND * t) % HASHES for t in range(HASHES // BAND)])
 
 
+def signature_columns(values: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minima, first and second sum that name the set) of each run of shingles."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
+    other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashing.mix(values ^ np.uint64(0x5DEECE66D)))))
+    low, high = total[offset[1:]] - total[offset[:-1]], other[offset[1:]] - other[offset[:-1]]
+    return hashing.minhashes(values, offset, HASHES), _signed(low), _signed(high)
+
+
 def units(text: bytes) -> list[tuple[int, int, bytes]]:
     """(first line, number of lines, text) of the paragraphs of a text."""
     held = text.split(b"\n")
@@ -66,10 +83,7 @@ def sign_paragraphs(docs: DataFrame) -> DataFrame:
             words = hashing.Words(block)
             values, offset = words.shingles(K)
             values, offset = hashing.distinct(values, offset)
-            sig = hashing.minhashes(values, offset, HASHES)
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
-            other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashing.mix(values ^ np.uint64(0x5DEECE66D)))))
-            low, high = _signed(total[offset[1:]] - total[offset[:-1]]), _signed(other[offset[1:]] - other[offset[:-1]])
+            sig, low, high = signature_columns(values, offset)
             for j in range(len(block)):
                 doc_id, i, n, _ = held[first + j]
                 for name, value in zip(out, (doc_id, i, n, node_of(doc_id, i), int(offset[j + 1] - offset[j]), int(low[j]), int(high[j]), sig[j].tobytes())):
@@ -115,12 +129,17 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
         texts = docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text")).join(small_side(wanted), "doc_id")
         return per_batch(texts, pick, "root string, node string, shingles binary")
 
+    return _members(signed, fetch, ["paragraph", "n_lines"], "component_paragraph")
+
+
+def _members(signed: DataFrame, fetch, place: list[str], first_place: str) -> DataFrame:
+    """Rows of all components that span documents, with the document and place of their first."""
     classes = link(signed, fetch, PERCENT, _BANDS).select(*SAME, "component")
-    members = written(signed.select("doc_id", "paragraph", "n_lines", "node", *SAME).join(classes, SAME).select("doc_id", "paragraph", "n_lines", "node", "component").distinct())
+    members = written(signed.select("doc_id", *place, "node", *SAME).join(classes, SAME).select("doc_id", *place, "node", "component").distinct())
     spans = members.groupBy("component").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("component", F.col("_a").alias("component_doc"))
     return members.join(spans, "component").select(
-        "doc_id", "paragraph", "n_lines", "component_doc",
-        F.conv(F.substring("component", 17, 8), 16, 10).cast("int").alias("component_paragraph"),
+        "doc_id", *place, "component_doc",
+        F.conv(F.substring("component", 17, 8), 16, 10).cast("int").alias(first_place),
         (F.col("node") != F.col("component")).alias("removed"),
     )
 
@@ -139,5 +158,142 @@ def remove(docs: DataFrame, removals: DataFrame | None = None) -> DataFrame:
     ])
 
 
+# --- pieces inside longer texts -------------------------------------------------------
+
+
+def windows(words: hashing.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first word in the text, hash) of the windows cut by content."""
+    h = words.hash
+    if len(h) < WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    pairs = hashing.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    least = np.ones(len(pairs), dtype=bool)
+    for k in range(1, APART + 1):
+        least[k:] &= pairs[k:] < pairs[:-k]
+        least[:-k] &= pairs[:-k] <= pairs[k:]
+    at = np.flatnonzero(least)
+    text = np.searchsorted(words.first, at, side="right") - 1
+    # Not so near the ends of a text that its neighbours in the buffer would have a say.
+    inside = (at >= words.first[text] + APART) & (at + WINDOW <= words.first[text + 1]) & (at + APART + 1 < words.first[text + 1])
+    at, text = at[inside], text[inside]
+    factors = hashing._powers(0xC2B2AE3D27D4EB4F, WINDOW + 1)[1:]
+    own = (h[at[:, None] + np.arange(WINDOW)] * factors).sum(axis=1, dtype=np.uint64)
+    return text, at - words.first[text], hashing.mix(own)
+
+
+def _all_windows(docs: DataFrame) -> DataFrame:
+    def cut(batch: pa.RecordBatch) -> dict:
+        ids = batch.column("doc_id").to_numpy()
+        found = [(ids[first + text], at, own) for first, block in hashing.blocks(batch.column("text").to_pylist()) for text, at, own in [windows(hashing.Words(block))]]
+        doc_ids, at, own = (np.concatenate(x) for x in zip(*found))
+        return {"doc_id": doc_ids, "first_word": at.astype(np.int32), "window": _signed(own)}
+
+    return per_batch(_texts(docs), cut, "doc_id long, first_word int, window long")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
+
+
+def runs(starts: list[int]) -> list[tuple[int, int]]:
+    """(first word, number of words) of what windows at these words cover, joined where they touch."""
+    out: list[list[int]] = []
+    for at in sorted(set(starts)):
+        if out and at <= out[-1][1]:
+            out[-1][1] = at + WINDOW
+        else:
+            out.append([at, at + WINDOW])
+    return [(a, b - a) for a, b in out]
+
+
+def _span(words: hashing.Words, i: int, first_word: int, n_words: int) -> bytes:
+    """Words of text ``i``, as they are written."""
+    at = words.first[i] + first_word
+    return words.raw[words.start[at] : words.end[at + n_words - 1]].tobytes()
+
+
+def repeated_pieces(docs: DataFrame) -> DataFrame:
+    """Every piece of a component that spans documents.
+
+    doc_id, first_word and n_words, component_doc and component_word (of the first piece), removed.
+    """
+    cut = _all_windows(docs)
+    shared = (
+        cut.groupBy("window").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("window")
+    )
+    # Of a document at most its own windows are collected.
+    covered = written(cut.join(shared, "window").groupBy("doc_id").agg(F.collect_set("first_word").alias("starts")))
+
+    def sign(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {name: [] for name in ("doc_id", "first_word", "n_words", "node", "n_shingles", "set_a", "set_b", "sig")}
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        for doc_id, text, starts in zip(ids, texts, batch.column("starts").to_pylist()):
+            words = hashing.Words([text])
+            found = [r for r in runs(starts) if sum(r) <= len(words.hash)]
+            values, offset = hashing.Words([_span(words, 0, *r) for r in found]).shingles(K)
+            values, offset = hashing.distinct(values, offset)
+            sig, low, high = signature_columns(values, offset)
+            for j, (at, n) in enumerate(found):
+                for name, value in zip(out, (doc_id, at, n, node_of(doc_id, at), int(offset[j + 1] - offset[j]), int(low[j]), int(high[j]), sig[j].tobytes())):
+                    out[name].append(value)
+        return out
+
+    signed = written(per_batch(
+        _texts(docs).join(small_side(covered), "doc_id"), sign,
+        "doc_id long, first_word int, n_words int, node string, n_shingles long, set_a long, set_b long, sig binary",
+    ))
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        wanted = written(
+            nodes.join(signed.select("node", "doc_id", "first_word", "n_words").distinct(), "node")
+            .groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "n_words", "node", "root")).alias("wanted"))
+        )
+
+        def pick(batch: pa.RecordBatch) -> dict:
+            found, texts = [], []
+            for text, rows in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+                words = hashing.Words([text])
+                for row in rows:
+                    if row["first_word"] + row["n_words"] <= len(words.hash):
+                        found.append(row)
+                        texts.append(_span(words, 0, row["first_word"], row["n_words"]))
+            return {"root": [r["root"] for r in found], "node": [r["node"] for r in found], "shingles": shingle_bytes(texts, K)}
+
+        return per_batch(_texts(docs).join(small_side(wanted), "doc_id"), pick, "root string, node string, shingles binary")
+
+    return _members(signed, fetch, ["first_word", "n_words"], "component_word")
+
+
+def remove_pieces(docs: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
+    """``docs`` with repeated pieces taken out of ``text``; all other columns as they are."""
+    found = repeated_pieces(docs) if pieces is None else pieces
+    gone = found.where("removed").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("_gone"))
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, spans):
+            if text is None or own is None:
+                out.append(text)
+                continue
+            data = text.encode()
+            words, kept, done = hashing.Words([data]), [], 0
+            for row in sorted(own, key=lambda r: r["first_word"]):
+                a, b = row["first_word"], row["first_word"] + row["n_words"]
+                begin = words.start[a] - 1
+                kept.append(data[done : max(done, begin)])
+                done = max(done, words.start[b] - 1 if b < len(words.start) else len(data))
+            out.append((b"".join(kept) + data[done:]).decode())
+        return pd.Series(out)
+
+    joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left")
+    return joined.select(*[without(docs["text"], gone["_gone"]).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    """Repeated paragraphs (by line) and pieces (by word), each with the first of its component."""
+    docs = table(spark, sf_dir, "documents")
+    nothing = F.lit(None).cast("int")
+    by_line = repeated_paragraphs(docs).withColumns({"first_word": nothing, "n_words": nothing, "component_word": nothing})
+    by_word = repeated_pieces(docs).withColumns({"paragraph": nothing, "n_lines": nothing, "component_paragraph": nothing})
+    return by_line.unionByName(by_word)
