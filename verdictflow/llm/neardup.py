@@ -166,7 +166,7 @@ def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> DataFrame:
     found, depth = None, DEPTH
     while True:
         crowd = written(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"))
-        part = rows.join(crowd.where(F.col("_n") <= REGION), "key").select("key", "node")
+        part = rows.join(small_side(crowd.where(F.col("_n") <= REGION).select("key")), "key").select("key", "node")
         found = part if found is None else found.unionByName(part)
         full = crowd.where(F.col("_n") > REGION)
         if full.isEmpty():

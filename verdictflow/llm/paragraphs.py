@@ -222,7 +222,7 @@ def repeated_pieces(docs: DataFrame) -> DataFrame:
         cut.groupBy("window").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("window")
     )
     # Of a document at most its own windows are collected.
-    covered = written(cut.join(shared, "window").groupBy("doc_id").agg(F.collect_set("first_word").alias("starts")))
+    covered = written(cut.join(shared.hint("merge"), "window").groupBy("doc_id").agg(F.collect_set("first_word").alias("starts")))
 
     def sign(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {name: [] for name in ("doc_id", "first_word", "n_words", "node", "n_shingles", "set_a", "set_b", "sig")}
