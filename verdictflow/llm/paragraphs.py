@@ -8,8 +8,8 @@ A passage may also stand in the middle of a longer text. ``repeated_pieces`` the
 paragraphs by content: windows of ``WINDOW`` words begin where a hash of two words is least among its
 ``APART`` neighbours on both sides, so the same text is cut alike wherever it stands. What is
 covered by windows that another document has as well is a *piece*; pieces are banded, compared and
-clustered just as lines are. A text of 50 words in common is cut nowhere inside with a chance of a
-few in a hundred; each ten words more make that several times less.
+clustered just as lines are. A passage of 51 words is cut nowhere inside, and missed, about once in a
+hundred times, one of 55 words once in several hundred.
 
 Bands of three minima each are tuned for recall: paragraphs at the threshold 0.8 collide in none of
 the 21 bands with a chance of 3e-7. Paragraphs that collide in a band and agree in enough minima
