@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import hashing
 from .common import small_side, table, written
+from .streams import small_batches
 
 K = 5
 THRESHOLD = 0.8
@@ -183,6 +184,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
+    small_batches(spark)
     arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     items = benchmark.select("item_id", "text")

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .hashing import mix
+from .streams import small_batches
 
 PIECES = 12
 CELLS = 24
@@ -205,6 +206,7 @@ SCHEMA = (
 def fingerprint_editions(docs: DataFrame) -> DataFrame:
     """``SCHEMA`` for every row; one shuffle of the texts."""
     spark = docs.sparkSession
+    small_batches(spark)
     least = -(1 << 63)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(least)).alias("_o"), F.coalesce("text", F.lit("")).alias("text"))
     found = rows.agg(F.min("_o").alias("low"), F.sum(F.length("text") + 1).alias("chars")).first()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import hashing
 from .common import small_side, table, written
 from .neardup import DEPTH, HASHES, SAME, _signed, link, shingle_bytes
-from .streams import per_batch
+from .streams import per_batch, small_batches
 
 K = 5
 PERCENT = 80
@@ -269,6 +269,8 @@ def remove_pieces(docs: DataFrame, pieces: DataFrame | None = None) -> DataFrame
     found = repeated_pieces(docs) if pieces is None else pieces
     gone = found.where("removed").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("_gone"))
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []

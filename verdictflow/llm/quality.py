@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import hashing
 from .common import held_out, table
+from .streams import small_batches
 
 BITS = 18
 SAMPLE = 8_000
@@ -147,6 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 def score(weights: np.ndarray, spark: SparkSession):
     """text column -> score column."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(weights.astype(np.float64))
 
     @F.pandas_udf("double")

@@ -11,7 +11,21 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` rows an Arrow batch in this session.
+
+    A batch is held by the executor and by its Python worker, and rows here are whole texts: the
+    usual 10,000 of them take tens of MB on either side for every task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -40,6 +54,7 @@ def per_group(df: DataFrame, key: str, order: list[str], function: Callable[[pa.
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {name: [] for name in arrow.names}
@@ -63,6 +78,7 @@ def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema:
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
+from .streams import small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern of that vocabulary.
@@ -168,6 +169,7 @@ def count_tokens(docs: DataFrame, encoder: Encoder | None = None, sections: str
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, SCHEMA)
 
 
