@@ -153,6 +153,30 @@ def test_pieces_inside_longer_texts(spark):
     assert all(cut[d] == t for d, t in clean.items())
 
 
+def test_pieces_where_one_holder_has_copies(spark):
+    """A passage is found though one holder shares more around it, and where two passages touch."""
+    draw = random.Random(21)
+    fresh = lambda n: [f"h{draw.randrange(10**6)}" for _ in range(n)]
+    texts, want = {}, []
+    for _ in range(6):
+        passage, first, second = fresh(90), fresh(90), fresh(90)
+        whole = fresh(150) + passage + fresh(150)
+        near = whole[:60] + fresh(1) + whole[61:]
+        d = len(texts)
+        texts |= {d: whole, d + 1: list(whole), d + 2: near, d + 3: fresh(80) + passage + fresh(80)}
+        texts |= {d + 4: fresh(70) + first + second + fresh(70), d + 5: fresh(40) + first + fresh(90), d + 6: fresh(90) + second + fresh(40)}
+        want += [(d, d + 3, passage), (d + 4, d + 5, first), (d + 4, d + 6, second)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    rows = paragraphs.repeated_pieces(docs).collect()
+    for first_holder, holder, passage in want:
+        own = {" ".join(texts[holder][r.first_word : r.first_word + r.n_words]) for r in rows if r.doc_id == holder and r.removed}
+        assert own and all(x in " ".join(passage) for x in own)
+        assert sum(len(x.split()) for x in own) >= 60
+        assert {r.component_doc for r in rows if r.doc_id == holder} == {first_holder}
+    kept = " ".join(r.text for r in paragraphs.remove_pieces(docs).collect()).split()
+    assert set(kept) == {w for words_ in texts.values() for w in words_}
+
+
 def test_paragraphs_against_brute_force(spark):
     texts = texts_of(spark, "/root/testdata/sf0.001")
     sets = {}

@@ -5,10 +5,11 @@ together have as many; one begins at every short line that is not blank, so a re
 several lines is found wherever it stands. Its set are the shingles of ``K`` words.
 
 A passage may also stand in the middle of a longer text. ``repeated_pieces`` therefore cuts further
-paragraphs by content: windows of ``WINDOW`` words begin where a hash of two words is least among its
-``APART`` neighbours on both sides, so the same text is cut alike wherever it stands. What is
-covered by windows that another document has as well is a *piece*; pieces are banded, compared and
-clustered just as lines are. A passage of 51 words is cut nowhere inside, and missed, about once in a
+paragraphs by content: windows of ``WINDOW`` words begin ``APART`` words before a hash of two words that is
+least among its ``APART`` neighbours on both sides, so the same text is cut alike wherever it stands. What is
+covered by windows that the same documents have, of which there are several, is a *piece*: it ends
+where the holders change, so a passage is a piece of its own also inside a document that has
+copies. Pieces are banded, compared and clustered just as lines are. A passage of 51 words is cut nowhere inside, and missed, about once in a
 hundred times, one of 55 words once in several hundred.
 
 Bands of three minima each are tuned for recall: paragraphs at the threshold 0.8 collide in none of
@@ -173,8 +174,9 @@ def windows(words: hashing.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least[:-k] &= pairs[:-k] <= pairs[k:]
     at = np.flatnonzero(least)
     text = np.searchsorted(words.first, at, side="right") - 1
-    # Not so near the ends of a text that its neighbours in the buffer would have a say.
-    inside = (at >= words.first[text] + APART) & (at + WINDOW <= words.first[text + 1]) & (at + APART + 1 < words.first[text + 1])
+    # A window holds all that chose it, so every document with its words has it, whatever stands around.
+    at -= APART
+    inside = (at >= words.first[text]) & (at + WINDOW <= words.first[text + 1])
     at, text = at[inside], text[inside]
     factors = hashing._powers(0xC2B2AE3D27D4EB4F, WINDOW + 1)[1:]
     own = (h[at[:, None] + np.arange(WINDOW)] * factors).sum(axis=1, dtype=np.uint64)
@@ -195,15 +197,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
-def runs(starts: list[int]) -> list[tuple[int, int]]:
-    """(first word, number of words) of what windows at these words cover, joined where they touch."""
+def runs(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first word, number of words) of what windows, as (first word, holders), cover.
+
+    Windows are joined where they touch and have the same holders.
+    """
     out: list[list[int]] = []
-    for at in sorted(set(starts)):
-        if out and at <= out[-1][1]:
+    for at, holders in sorted(set(starts)):
+        if out and at <= out[-1][1] and holders == out[-1][2]:
             out[-1][1] = at + WINDOW
         else:
-            out.append([at, at + WINDOW])
-    return [(a, b - a) for a, b in out]
+            out.append([at, at + WINDOW, holders])
+    return [(a, b - a) for a, b, _ in out]
 
 
 def _span(words: hashing.Words, i: int, first_word: int, n_words: int) -> bytes:
@@ -218,18 +223,25 @@ def repeated_pieces(docs: DataFrame) -> DataFrame:
     doc_id, first_word and n_words, component_doc and component_word (of the first piece), removed.
     """
     cut = _all_windows(docs)
+    # One number for all holders of a window, the same in each of them.
     shared = (
-        cut.groupBy("window").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("window")
+        cut.groupBy("window").agg(
+            F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.count("*").alias("_n"),
+            F.sum(F.xxhash64("doc_id").bitwiseAND(0xFFFFFFFF)).alias("_s"),
+        )
+        .where("_a <> _b").select("window", F.hash("_a", "_b", "_n", "_s").alias("holders"))
     )
     # Of a document at most its own windows are collected.
-    covered = written(cut.join(shared.hint("merge"), "window").groupBy("doc_id").agg(F.collect_set("first_word").alias("starts")))
+    covered = written(
+        cut.join(shared.hint("merge"), "window").groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "holders")).alias("starts"))
+    )
 
     def sign(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {name: [] for name in ("doc_id", "first_word", "n_words", "node", "n_shingles", "set_a", "set_b", "sig")}
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         for doc_id, text, starts in zip(ids, texts, batch.column("starts").to_pylist()):
             words = hashing.Words([text])
-            found = [r for r in runs(starts) if sum(r) <= len(words.hash)]
+            found = [r for r in runs([(w["first_word"], w["holders"]) for w in starts]) if sum(r) <= len(words.hash)]
             values, offset = hashing.Words([_span(words, 0, *r) for r in found]).shingles(K)
             values, offset = hashing.distinct(values, offset)
             sig, low, high = signature_columns(values, offset)
