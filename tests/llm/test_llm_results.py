@@ -90,6 +90,33 @@ def test_crowded_regions_and_large_clusters(spark, monkeypatch):
     assert wrong <= 2  # depth costs a little recall in crowded regions only
 
 
+@pytest.mark.parametrize("block", [10_000, 20])
+def test_crowded_regions_are_exact(spark, monkeypatch, block):
+    """Texts from one template that are not linked crowd every region; true pairs among them are all found."""
+    draw = random.Random(8)
+    template = [f"t{i}" for i in range(110)]
+    texts = {}
+    for i in range(120):
+        # Two changed words a text: 6 of 108 shingles, so two texts have a Jaccard of about 0.8.
+        own = list(template)
+        for at in draw.sample(range(5, 105), 2):
+            own[at] = f"own{i}-{at}"
+        texts[2 * i] = " ".join(own)
+        if i % 3 == 0:
+            at = draw.choice([x for x in range(8, 100) if own[x] == template[x]])
+            own[at] = f"late{i}"
+            own[at + 1 if own[at + 1] == template[at + 1] else at - 1] = f"later{i}"
+            texts[2 * i + 1] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components({i: shingles(t, 3) for i, t in texts.items()}, 85)
+    monkeypatch.setattr(neardup, "REGION", 8)
+    monkeypatch.setattr(neardup, "CLUSTER", 10)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 3, 85).collect()}
+    assert 20 < len(set(want.values())) < len(texts) - 20
+    assert sum(got[i] != want[i] for i in want) == 0
+
+
 def test_components(spark):
     draw = random.Random(1)
     edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 140)]

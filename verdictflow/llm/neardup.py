@@ -4,16 +4,18 @@
    Texts with equal sets are one *class*; only its smallest id goes on.
 2. The forest has ``TREES`` sorted orders of the signatures, each with its own permutation of the
    minima. Neighbours in an order whose longest common prefix is at least ``DEPTH`` minima form a
-   *region*. A region of more than ``REGION`` classes is split at greater depth, by itself, until
-   its parts are small enough; at the full depth, parts are dealt out differently in each tree.
+   *region*. A region of more than ``REGION`` classes is *crowded*: it is split at greater depth, by
+   itself, until its parts are small enough, which finds most of its links but not all of them.
 3. In a region, neighbours whose signatures agree as documents above the threshold do (five
    standard deviations below it) and whose set sizes allow it are candidates. What candidates
    connect is a *cluster*; every set is then shipped once, to its cluster's task.
 4. There the exact test runs on full sets, most alike first, until no two components of the
    cluster are left untested. Clusters too large for one task are tested region by region instead,
    and the links found are joined up by rounds of ``components``.
+5. The classes of crowded regions then meet once more, by an exact prefix-filter join over their
+   full sets (``crowded_links``) that looks only at pairs not connected so far.
 
-A link at the threshold 0.85 is missed by all 24 orders with a chance of 1e-10, by the agreement
+A link of classes that are not both in crowded regions, at the threshold 0.85 is missed by all 24 orders with a chance of 1e-10, by the agreement
 test with 3e-7. The number of candidates kept is linear in the classes: a region hands on a
 spanning forest, never its pairs.
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import hashing
 from .common import small_side, table, written
 from .components import components
-from .streams import per_batch, per_group
+from .streams import per_batch, per_group, small_batches
 
 HASHES = 64
 TREES = 24
@@ -160,22 +162,25 @@ def confirm(nodes: list[int], sets: list[np.ndarray], percent: int) -> dict[str,
     return forest.stars()
 
 
-def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> DataFrame:
-    """(key, node) of every region with at least two and at most about ``REGION`` classes."""
+def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> tuple[DataFrame, DataFrame | None]:
+    """(key, node) of every region with at least two and at most about ``REGION`` classes, and the
+    nodes of crowded regions (None: there are none)."""
     rows = _first_keys(reps, orders).select("node", F.posexplode("keys").alias("tree", "key"))
-    found, depth = None, DEPTH
+    found, depth, crowd_nodes = None, DEPTH, None
     while True:
         crowd = written(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"))
         part = rows.join(small_side(crowd.where(F.col("_n") <= REGION).select("key")), "key").select("key", "node")
         found = part if found is None else found.unionByName(part)
         full = crowd.where(F.col("_n") > REGION)
         if full.isEmpty():
-            return found
+            return found, crowd_nodes
+        if crowd_nodes is None:
+            crowd_nodes = written(rows.join(small_side(full.select("key")), "key").select("node").distinct())
         crowded = rows.join(full, "key").select("key", "node", "tree", "_n")
         if depth >= DEEPEST:
             parts = F.ceil(F.col("_n") / F.lit(REGION))
             dealt = F.xxhash64("key", F.pmod(F.xxhash64("tree", "node"), parts))
-            return found.unionByName(crowded.select(dealt.alias("key"), "node"))
+            return found.unionByName(crowded.select(dealt.alias("key"), "node")), crowd_nodes
         depth = min(DEEPEST, depth + 2)
         # At least three rows a class meet here, and only for classes of crowded regions.
         rows = written(_deeper(crowded.select("node", "tree").join(reps.select("node", "sig"), "node"), depth, orders))
@@ -209,6 +214,114 @@ def _deeper(rows: DataFrame, depth: int, orders: np.ndarray) -> DataFrame:
     return per_batch(rows, key, f"node {dict(rows.dtypes)['node']}, tree int, key long")
 
 
+BUCKETS = 1 << 18  # counters of shingles; equal counts only cost time
+BLOCK = 10_000  # rows of one shingle that are held against as many others in a task
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, node, root, size, place): the first shingles of each set, rare ones first.
+
+    Two sets above the threshold have one of them in common. Any one order of all shingles gives the
+    same links; counters that several shingles may share make it one with rare shingles first.
+    """
+
+    def count(batches):
+        held = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column("shingles").to_pylist():
+                np.add.at(held, (np.frombuffer(x, dtype=np.uint64) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_pydict({"bucket": at, "n": held[at]})
+
+    small_batches(sets.sparkSession)
+    counted = sets.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[counted["bucket"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batch: pa.RecordBatch) -> dict:
+        tokens, places, rows, sizes = [], [], [], []
+        for i, x in enumerate(batch.column("shingles").to_pylist()):
+            own = np.frombuffer(x, dtype=np.uint64)
+            # A partner has at least percent of the larger set in common with it.
+            n = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
+            ranked = own[np.lexsort((own, shared.value[(own % np.uint64(BUCKETS)).astype(np.int64)]))][:n]
+            tokens.append(ranked)
+            places.append(np.arange(n, dtype=np.int32))
+            rows.append(np.full(n, i))
+            sizes.append(np.full(n, len(own), dtype=np.int64))
+        at = pa.array(np.concatenate(rows))
+        return {
+            "token": _signed(np.concatenate(tokens)), "node": batch.column("node").take(at), "root": batch.column("root").take(at),
+            "size": np.concatenate(sizes), "place": np.concatenate(places),
+        }
+
+    kind = dict(sets.dtypes)["node"]
+    return per_batch(sets.select("node", "root", "shingles"), first, f"token long, node {kind}, root {kind}, size long, place int")
+
+
+def prefix_pairs(group: pa.Table, percent: int) -> dict[str, list]:
+    """Pairs of a shingle's rows with different roots that may reach the threshold by size and place."""
+    side, root, nodes = (group.column(c).to_numpy() for c in ("side", "root", "node"))
+    sizes, places = group.column("size").to_numpy(), group.column("place").to_numpy()
+    out: dict[str, list] = {"a": [], "b": []}
+    # Both parts of a block pair meet each other; a part that meets itself has one side only.
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1)
+    alone = not len(right)
+    if alone:
+        right = left
+    _, number = np.unique(root, return_inverse=True)
+    if number.max() == 0:
+        return out
+    for at, i in enumerate(left.tolist()):
+        rest = right[at + 1 :] if alone else right
+        other = sizes[rest]
+        fits = (number[rest] != number[i]) & (100 * np.minimum(other, sizes[i]) >= percent * np.maximum(other, sizes[i]))
+        # Shingles before the first common one are not common, so this many at most are.
+        most = np.minimum(other - places[rest], sizes[i] - places[i])
+        fits &= 100 * most >= percent * (other + sizes[i] - most)
+        found = nodes[rest[fits]].tolist()
+        out["a"] += [nodes[i]] * len(found)
+        out["b"] += found
+    return out
+
+
+def crowded_links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of all pairs of ``sets`` (node, root, shingles) at the threshold whose roots differ."""
+    kind = dict(sets.dtypes)["node"]
+    tokens = written(_prefixes(sets, percent))
+    # A shingle inside one component only has nothing left to link.
+    known = written(
+        tokens.groupBy("token").agg(F.count("*").alias("_n"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+        .where("_a <> _b").select("token", F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int").alias("_p"))
+    )
+    rows = tokens.join(small_side(known), "token").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_p")).cast("int"))
+    # Part i meets itself and, as the first or second side, every other part.
+    met = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_p") - 1))).select(
+        F.xxhash64("token", F.least("_i", "_j"), F.greatest("_i", "_j")).alias("key"),
+        F.when(F.col("_i") > F.col("_j"), 1).otherwise(0).alias("side"), "node", "root", "size", "place",
+    )
+    found = written(
+        per_group(met, "key", ["side", "node"], lambda g: prefix_pairs(g, percent), f"a {kind}, b {kind}")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+    if found.isEmpty():
+        return found
+
+    def test(batch: pa.RecordBatch) -> dict:
+        held = []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            held.append(100 * both >= percent * (len(p) + len(q) - both))
+        at = pa.array(np.flatnonzero(held))
+        return {"a": batch.column("a").take(at), "b": batch.column("b").take(at)}
+
+    pairs = found.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    return per_batch(pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"), test, f"a {kind}, b {kind}")
+
+
 SAME = ["n_shingles", "set_a", "set_b"]
 
 
@@ -235,7 +348,8 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: in
         .agg(F.min(F.struct("node", "sig")).alias("_r"), F.count("*").alias("_rows"))
         .select(*SAME, "_rows", F.col("_r.node").alias("node"), F.col("_r.sig").alias("sig"))
     )
-    near = written(regions(reps, orders))
+    near, crowded = regions(reps, orders)
+    near = written(near)
 
     def candidates(group: pa.Table) -> dict | None:
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
@@ -264,6 +378,14 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: in
         split = sets.join(too_large, "root").select("node", "shingles").join(near, "node").select("key", "node", "shingles")
         tested = per_group(whole.unionByName(split), "key", ["node", "shingles"], test, stars)
         links = written(components(tested).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    if crowded is not None:
+        roots = links.select(F.col("a").alias("node"), F.col("b").alias("_root")).groupBy("node").agg(F.min("_root").alias("_root"))
+        sets = fetch(crowded.withColumn("root", F.col("node"))).where("length(shingles) > 0").select("node", "shingles").distinct()
+        sets = written(sets.join(roots, "node", "left").select("node", F.coalesce("_root", "node").alias("root"), "shingles"))
+        more = written(crowded_links(sets, percent))
+        if not more.isEmpty():
+            links = components(links.select("a", "b").unionByName(more)).select(F.col("node").alias("a"), F.col("root").alias("b"))
+            links = written(links)
     joined = links.groupBy("a").agg(F.min("b").alias("b"))
     joined = joined.unionByName(joined.select(F.col("b").alias("a"), "b").distinct().join(joined.select("a"), "a", "left_anti"))
     return (
