@@ -381,6 +381,20 @@ def test_urls_against_brute_force(spark):
         assert "".join(r.words or []) == "".join(re.findall("[a-z]+", host + path.translate(LOWER)))
 
 
+def test_long_names_are_split_whole(spark):
+    """Seed words of names longer than LONGEST_NAME are found wherever they stand."""
+    listed = [("casino", 900), ("garden", 500), ("tool", 400)]
+    vocab = spark.createDataFrame(listed, "word string, count long")
+    want = {}
+    for n in range(30, 75, 3):
+        split = ["garden"] * (n // 6) + ["tool"] * (n % 6) + ["casino"] + ["tool"] * 20
+        want["".join(split)] = split
+    urls_of = spark.createDataFrame([(f"http://{x}.org/",) for x in want], "url string")
+    names = urls_of.select(F.explode(urls.names_of(urls.host_of(F.col("url")), urls.path_of(F.col("url")))).alias("name")).distinct()
+    got = {r.name: r.words for r in urls.segment(names, vocab).collect()}
+    assert all(got.get(x) == split for x, split in want.items())
+
+
 def test_viterbi_is_optimal():
     counts, total = {"free": 50, "bets": 40, "be": 30, "ts": 20, "fr": 3, "ee": 2, "freebet": 1}, 1_000
 

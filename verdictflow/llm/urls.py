@@ -13,9 +13,8 @@
    equal, so the share of bad urls in a crawl doesn't move the verdicts.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no words and so the
-verdict allow; letters other than a-z count as separators of names; names longer than
-``LONGEST_NAME`` letters are judged piece by piece, so their cost stays linear; repeated rows are
-judged alike; an empty table gives an empty result.
+verdict allow; letters other than a-z count as separators of names; names of any length are split
+as a whole, at a cost linear in their length; repeated rows are judged alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,9 +65,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def names_of(host: Column, path: Column) -> Column:
-    """Letter runs of host and path, each cut to pieces of at most ``LONGEST_NAME`` letters."""
-    runs = F.regexp_extract_all(F.concat_ws(" ", host, ascii_lower(path)), F.lit(f"[a-z]{{1,{LONGEST_NAME}}}"), 0)
-    return runs
+    """Letter runs of host and path."""
+    return F.regexp_extract_all(F.concat_ws(" ", host, ascii_lower(path)), F.lit("[a-z]+"), 0)
 
 
 def vocabulary(pages: DataFrame) -> DataFrame:
@@ -100,14 +98,19 @@ def viterbi(name: str, counts: dict[str, int], total: int) -> list[str]:
 def segment(names: DataFrame, vocab: DataFrame) -> DataFrame:
     """(name) -> (name, words). Single letters are words only where nothing longer fits."""
     total = int(vocab.agg(F.sum("count")).first()[0] or 1)
-    starts = F.posexplode(F.sequence(F.lit(1), F.length("name")))
-    pieces = names.select("name", starts.alias("_p", "_a")).select(
-        "name", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("_a") + 1))).alias("_n"), "_a"
-    ).select("name", F.expr("substring(name, _a, _n)").alias("word")).where("length(word) > 1").distinct()
+    # Long names travel as digests and are looked through in parts that overlap by a word.
+    names = names.withColumn("_id", F.when(F.length("name") <= LONGEST_NAME, F.col("name")).otherwise(F.sha2("name", 256)))
+    step = LONGEST_NAME - LONGEST_WORD
+    parts = F.expr(f"transform(sequence(1, length(name), {step}), c -> substring(name, c, {LONGEST_NAME - 1}))")
+    pieces = names.select("_id", F.explode(parts).alias("_part")).select(
+        "_id", "_part", F.explode(F.expr(f"sequence(1, least({step}, length(_part)))")).alias("_a")
+    ).select(
+        "_id", "_part", "_a", F.explode(F.expr(f"sequence(1, least({LONGEST_WORD}, length(_part) - _a + 1))")).alias("_n")
+    ).select("_id", F.expr("substring(_part, _a, _n)").alias("word")).where("length(word) > 1").distinct()
     known = pieces.join(vocab.where("length(word) > 1"), "word", "left")
-    # At most LONGEST_NAME * LONGEST_WORD pieces a name.
-    held = known.groupBy("name").agg(F.collect_list(F.when(F.col("count").isNotNull(), F.struct("word", "count"))).alias("found"))
-    all_names = names.join(held, "name", "left").select("name", F.xxhash64("name").alias("_k"), "found")
+    # At most LONGEST_WORD pieces a letter.
+    held = known.groupBy("_id").agg(F.collect_list(F.when(F.col("count").isNotNull(), F.struct("word", "count"))).alias("found"))
+    all_names = names.join(held, "_id", "left").select("name", F.xxhash64("name").alias("_k"), "found")
 
     def split(group: pa.Table) -> dict:
         out: dict[str, list] = {"name": [], "words": []}
