@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from verdictflow.session import stored
+
 
 def bucketed_row_number(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str
@@ -115,3 +117,35 @@ def first_per_group(
         )
         .drop("_budget", "_slice")
     )
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """``row_number`` per ``keys`` by one range shuffle and a prefix sum of its partitions' counts.
+
+    Rows are dealt by (keys, order), so a group of any size, or a table without keys, is spread over
+    all partitions and is sorted there. A row's place inside its partition is known when it is
+    written; only one count per group and partition is summed up afterwards. Rows equal in keys
+    and order stay in one partition, which streams them. The input is read twice (ranges are
+    sampled first), so pass a written table.
+    """
+    keys = list(keys)
+    sorted_rows = (
+        df.repartitionByRange(*[F.col(k) for k in keys], *order).sortWithinPartitions(*[F.col(k) for k in keys], *order)
+        # The partition in the upper bits, the row inside it in the lower 33.
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    held = stored(sorted_rows).withColumn("_part", F.shiftright("_at", 33))
+    parts = held.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    renamed = {key: f"_k_{key}" for key in keys}
+    shifts = parts.select(
+        *[F.col(key).alias(alias) for key, alias in renamed.items()], F.col("_part").alias("_k_part"),
+        (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+    )
+    match = F.col("_part") == F.col("_k_part")
+    for key, alias in renamed.items():
+        match = match & F.col(key).eqNullSafe(F.col(alias))
+    return (
+        held.join(shifts, match).withColumn(name, F.col("_at") + F.col("_shift"))
+        .drop("_at", "_part", "_k_part", "_shift", *renamed.values())
+    )
