@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import boilerplate, decontaminate, fingerprints, mixing, neardup, packing, paragraphs, quality, tokens, urls
+from . import (
+    anomalies, boilerplate, clusters, decontaminate, fingerprints, mixing, neardup, packing, paragraphs, quality, resampling,
+    tokens, urls,
+)
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,5 +21,14 @@ QUERIES = {
     "op8_url_filter": urls.query,
     "op9_decontaminate": decontaminate.query,
     "op10_fingerprints": fingerprints.query,
+    "op11_quality_rules": anomalies.query,
+    "op12_resample": resampling.query,
+    "op13_clusters": clusters.query,
+}
+ORACLES = {
+    "op2_mix_sources": mixing.ORACLE,
+    "op4_line_dedup": boilerplate.ORACLE,
+    "op6_near_duplicates": neardup.ORACLE,
+    "op12_resample": resampling.ORACLE,
+    "op13_clusters": clusters.ORACLE,
 }
-ORACLES = {"op2_mix_sources": mixing.ORACLE, "op4_line_dedup": boilerplate.ORACLE, "op6_near_duplicates": neardup.ORACLE}
