@@ -3,7 +3,7 @@
 from catalog.registry import ORACLES, QUERIES
 
 from catalog import (  # noqa: E402,F401  (importing registers the queries)
-    corpus_queries, gate_queries, model_queries, pair_queries, replay_queries, run_queries,
+    cascade_queries, corpus_queries, gate_queries, model_queries, pair_queries, replay_queries, run_queries,
     tail_queries,
 )
 

@@ -189,7 +189,7 @@ SELECT run_request_id, CASE WHEN following IS NOT NULL AND state IN ('REQUESTED'
 FROM n""")
 def supersede(spark, sf):
     runs = run_rows(spark, sf).select("run_request_id", "stage3_run_id", "state", "created_at")
-    return RN.supersede(runs, bucket="month").select(
+    return RN.supersede(runs).select(
         "run_request_id", "state", F.coalesce("superseded_by", F.lit("-")).alias("superseded_by")
     )
 

@@ -1,12 +1,10 @@
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import CONTRADICTORY, NEUTRAL, REPEATS, UNDECIDED, score_table, scores
 from verdictflow import schemas, vocab as V
 from verdictflow.functions import keys, settings
-from verdictflow.operators import edges as E, ordered, pairs as P, runs as RN
+from verdictflow.operators import edges as E, pairs as P, runs as RN
 from verdictflow.plans import gates as G
 
 def as_of():
@@ -99,7 +97,7 @@ def test_tail(spark):
     assert len(tail) == 2
     good = '[{"relation":"NEUTRAL","confidence":0.7,"rationale":"why"}]'
     table = answers(spark, [(tail[0], good, 1_000_000, 500_000, None), (tail[1], good, 10, 10, None)])
-    result = G.run_g4(state, table, run_rows(spark, cap=1), live=True, spread=4)
+    result = G.run_g4(state, table, run_rows(spark, cap=1), live=True)
     counted = result.counters.head()
     assert (counted["seen"], counted["decided"], counted["capExceeded"], counted["llmCalls"]) == (2, 1, 1, 1)
     assert counted["llmSpendUsd"] == pytest.approx(0.10 + 0.20)
@@ -161,43 +159,6 @@ def test_claiming_and_guarded_routes(spark):
     assert routed[0]["lease_owner"] is None and routed[2]["lease_owner"] == "w"
 
 
-@pytest.mark.parametrize("spread", [1, 7, 256])
-def test_cap_with_one_hot_run(spark, spread):
-    rng = random.Random(spread)
-    rows = [("hot" if n % 3 else f"r{n % 9}", rng.randrange(5), f"p{n:05d}") for n in range(900)]
-    budget = {"hot": 37, "r0": 5, "r3": 0, "r6": None}
-    table = spark.createDataFrame(
-        [(*r, budget[r[0]]) for r in rows], "run string, rank int, pair_id string, budget int"
-    )
-    got = ordered.first_per_group(
-        table, "run", F.col("budget"), [F.col("rank"), F.col("pair_id")], "pair_id", "called", spread
-    ).collect()
-    assert len(got) == len(rows)
-    called = {r["pair_id"] for r in got if r["called"]}
-    wanted = set()
-    for run, cap in budget.items():
-        mine = sorted((r[1], r[2]) for r in rows if r[0] == run)
-        wanted |= {p for _, p in (mine if cap is None else mine[:cap])}
-    assert called == wanted
-
-
-def test_bucketed_windows_match_plain_ones(spark):
-    rng = random.Random(5)
-    rows = [("hot" if n % 4 else "x", rng.randrange(50), n) for n in range(400)]
-    table = spark.createDataFrame(rows, "k string, t int, id int").withColumn(
-        "k", F.when(F.col("id") % 10 > 0, F.col("k"))
-    )
-    order = [F.col("t"), F.col("id")]
-    numbered = ordered.bucketed_row_number(table, ["k"], F.floor(F.col("t") / 10), order, "n")
-    led = ordered.bucketed_lead(table, ["k"], F.floor(F.col("t") / 10), order, F.col("id"), "next")
-    table.createOrReplaceTempView("plain_rows")
-    plain = spark.sql(
-        "SELECT id, row_number() OVER (PARTITION BY k ORDER BY t, id) n, lead(id) OVER (PARTITION BY k ORDER BY t, id) nx FROM plain_rows"
-    ).collect()
-    assert {r["id"]: r["n"] for r in numbered.collect()} == {r["id"]: r["n"] for r in plain}
-    assert {r["id"]: r["next"] for r in led.collect()} == {r["id"]: r["nx"] for r in plain}
-
-
 def test_tally_order(spark):
     rows = [
         ("r", None, "CASCADE", V.METHOD_G1), ("r", None, "CASCADE", V.METHOD_G3), ("r", None, "LLM_TAIL", V.METHOD_G4),
@@ -257,65 +218,6 @@ def test_registry():
         G.register("G9", "job", table)
 
 
-def test_a_repeated_batch_changes_nothing(spark, tmp_path):
-    from verdictflow.sources.snapshots import read_snapshot
-    from verdictflow.streaming.continuous import process_batch
-
-    rows = [("s", "a0", "b0", 1, False, None, "run", "in"), ("s", "a1", "b1", 2, False, None, "run", "in")]
-    candidates = spark.createDataFrame(
-        rows, "subject_id string, a_id string, b_id string, rank int, with_context boolean, "
-        "human_asserted boolean, stage3_run_id string, intake_id string",
-    )
-    paths = {"state_path": str(tmp_path / "state"), "edges_path": str(tmp_path / "edges")}
-    for batch in (0, 0, 1):
-        process_batch(candidates, batch, score=lambda fresh: score(spark, ROWS), runs=run_rows(spark), as_of=as_of(), **paths)
-    state = read_snapshot(spark, paths["state_path"], schemas.PAIR_STATE)
-    edges = read_snapshot(spark, paths["edges_path"], schemas.EDGES)
-    assert state.count() == 2 and {r["relation"] for r in edges.collect()} == {"NEUTRAL", "REPEATS"}
-
-
-def test_two_runs_over_the_same_pairs_in_a_stream(spark, tmp_path, monkeypatch):
-    """Unique verdict keys and pairs through two runs in a batch, a crash between the writes and a restart."""
-    from catalog import inputs as I
-    from verdictflow.sources.snapshots import read_snapshot
-    from verdictflow.streaming import continuous
-
-    sf = "/root/testdata/sf0.001"
-    some = I.scored_pairs(spark, sf).limit(40).cache()
-    both = ["r1", "r2"]
-    candidates = some.select(
-        "subject_id", "a_id", "b_id", "rank", "with_context", F.lit(False).alias("human_asserted"),
-        F.explode(F.array(*map(F.lit, both))).alias("stage3_run_id"), F.lit("in").alias("intake_id"),
-    )
-    candidates.write.parquet(str(tmp_path / "in"))
-    one = I.runs(spark, sf).limit(1).drop("stage3_run_id", "run_request_id")
-    runs = G.run_table(one.select("*", F.explode(F.array(*map(F.lit, both))).alias("stage3_run_id")).withColumn("run_request_id", F.lit("q")))
-
-    def scores(fresh):
-        given = some.select("a_id", "b_id", "g1", "g2", "g3", "grounded_fwd", "grounded_bwd")
-        return fresh.select("pair_id", "a_id", "b_id").join(given, ["a_id", "b_id"]).drop("a_id", "b_id")
-
-    paths = {"state_path": str(tmp_path / "state"), "edges_path": str(tmp_path / "edges")}
-
-    def start():
-        stream = spark.readStream.schema(candidates.schema).parquet(str(tmp_path / "in"))
-        continuous.start_cascade(
-            stream, str(tmp_path / "check"), clock=lambda batch: as_of(), score=scores, runs=runs, **paths
-        ).awaitTermination()
-
-    written = continuous.write_snapshot
-    monkeypatch.setattr(continuous, "write_snapshot", lambda df, path: (_ for _ in ()).throw(RuntimeError("crash")) if "state" in path else written(df, path))
-    with pytest.raises(Exception, match="crash"):
-        start()
-    monkeypatch.setattr(continuous, "write_snapshot", written)
-    start()
-    start()
-    edges = read_snapshot(spark, paths["edges_path"], schemas.EDGES)
-    state = read_snapshot(spark, paths["state_path"], schemas.PAIR_STATE)
-    assert edges.count() == edges.select("key").distinct().count() == 40
-    assert state.count() == state.select("pair_id").distinct().count() == 80
-
-
 def test_chained_gates_read_the_pairs_once_each(spark, tmp_path):
     """The first pair table is scanned once per gate of the chain, not once per branch and gate."""
     from catalog import inputs as I

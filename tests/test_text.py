@@ -7,8 +7,8 @@ from verdictflow import schemas, vocab as V
 from verdictflow.functions import prompts as PR, settings, variants
 from verdictflow.operators import documents as DO, scoring as S
 from verdictflow.plans import corpus as C
-from verdictflow.sources import corpus_io, sanity, score_store, snapshots
-from verdictflow.streaming import continuous, requests as RQ
+from verdictflow.sources import corpus_io, sanity, score_store
+from verdictflow.streaming import requests as RQ
 
 RECORD = {"claimAId": "a", "claimBId": "b", "claimAText": "x", "claimBText": "y", "verdict": "neutral"}
 
@@ -119,10 +119,27 @@ def test_scores_are_computed_once(spark, tmp_path):
     assert calls == 2 * (4 + 2) + (4 + 1)
     again = score_store.score_pairs(pairs, rosters, stub_factory(log), path, parallelism=2)
     assert again.count() == 102 and len(open(log).read().split()) == calls
+    store = score_store.ScoreStore(spark, path)
+    plan = store.missing(S.build_requests(S.pair_forms(pairs)), S.artifact_tasks(rosters))._jdf.queryExecution().executedPlan().toString()
+    text = plan[plan.index("Join"):]
+    # One exchange, of the requests; the stored side is read in buckets, and no text is near the join.
+    assert text.count("Exchange") == 1 and "Bucketed: true" in text and "a_text" not in text.split("Project")[0]
+    before = sorted(map(str, again.collect()))
+    store.append(store.read().limit(3).drop("score_key"))  # what two jobs at once would leave
+    store.compact()
+    assert store.generation == 1 and store.read().count() == calls
+    assert sorted(map(str, score_store.score_pairs(pairs, rosters, stub_factory(log), path, parallelism=2).collect())) == before
+    assert len(open(log).read().split()) == calls
     q = again.where("pair_id = 'q' AND roster = 'two'").head()
     assert q["g1"]["ctx_fwd"] is not None and q["g2"]["grounded"]["support"] == 0.08
 
 
+def test_batches_are_filled_by_padded_cost():
+    assert S.fill_batches([], 10) == []
+    assert S.fill_batches([1, 1, 1, 2, 5, 20, 30], 10) == [(0, 4), (4, 5), (5, 6), (6, 7)]
+    assert S.fill_batches([4, 1, 1], 8) == [(0, 2), (2, 3)]
+
+
 def test_request_stream(spark, tmp_path):
     import base64
 

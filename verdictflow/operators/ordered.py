@@ -1,8 +1,8 @@
 """Ranking inside groups that may hold a large share of all rows.
 
-A plain window sorts a whole group in one task. These helpers first order rows
-inside many small buckets of a group and only then combine one summary per
-bucket, so the work of a hot group spreads over the cluster.
+A plain window sorts a whole group in one task. These helpers deal rows out in
+ranges of the order, work inside the ranges, and only then combine one summary
+per group and range, so the work of a hot group spreads over the cluster.
 """
 
 from __future__ import annotations
@@ -14,45 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from verdictflow.session import stored
 
 
-def bucketed_row_number(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str
-) -> DataFrame:
-    """``row_number`` per ``keys``; ``bucket`` must rise with ``order``.
-
-    Position = rows in earlier buckets + position in the own bucket. Only one
-    count per (keys, bucket) takes part in the second, small window.
-    """
-    keys = list(keys)
-    staged = df.withColumn("_bucket", bucket)
-    # Keys of the lookup get names of their own: null keys must match as well.
-    renamed = {key: f"_k_{key}" for key in keys}
-    before = (
-        staged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn(
-            "_before",
-            F.sum("_rows").over(
-                Window.partitionBy(*keys).orderBy("_bucket")
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .select(
-            *[F.col(key).alias(alias) for key, alias in renamed.items()],
-            F.col("_bucket").alias("_k_bucket"),
-            F.coalesce("_before", F.lit(0)).alias("_before"),
-        )
-    )
-    inner = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    match = F.col("_bucket").eqNullSafe(F.col("_k_bucket"))
-    for key, alias in renamed.items():
-        match = match & F.col(key).eqNullSafe(F.col(alias))
-    return (
-        staged.withColumn("_inner", inner)
-        .join(before, match, "left")
-        .withColumn(name, (F.col("_inner") + F.col("_before")).cast("long"))
-        .drop("_bucket", "_inner", "_before", "_k_bucket", *renamed.values())
-    )
-
-
 def bucketed_lead(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
     value: Column, name: str,
@@ -89,54 +50,30 @@ def bucketed_lead(
     )
 
 
-def first_per_group(
-    df: DataFrame, key: str, budget: Column, order: Sequence[Column], row_id: str, name: str,
-    spread: int = 256,
-) -> DataFrame:
-    """Flag the first ``budget`` rows per ``key``; a null budget means all of them.
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` written in ranges of (keys, order), with each row's place ``_at`` and its range ``_part``.
 
-    Exact for any size of group. Rows are ranked inside ``spread`` hashed slices
-    of a group first; a row beyond the budget in its own slice cannot be inside
-    it overall. At most ``spread * budget`` rows per group meet in the second
-    window, all others stay in their slices. Every row is kept.
+    A group of any size, or a table without keys, is spread over all partitions and sorted there.
+    Rows equal in keys and order stay in one partition, which streams them. The input is read
+    twice (ranges are sampled first).
     """
-    slice_of = F.pmod(F.xxhash64(F.col(row_id)), F.lit(spread)).cast("int")
-    staged = df.withColumn("_budget", budget.cast("long")).withColumn("_slice", slice_of)
-    rank = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(*order))
-    staged = staged.withColumn(
-        "_slice",
-        F.when(rank <= F.col("_budget"), F.lit(-1)).otherwise(F.col("_slice")),
-    )
-    overall = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(*order))
-    return (
-        staged.withColumn(
-            name,
-            F.when(F.col("_budget").isNull(), F.lit(True)).otherwise(
-                (F.col("_slice") == -1) & (overall <= F.col("_budget"))
-            ),
-        )
-        .drop("_budget", "_slice")
-    )
+    names = [F.col(key) for key in keys]
+    dealt = df.repartitionByRange(*names, *order).sortWithinPartitions(*names, *order)
+    # The partition in the upper bits, the row inside it in the lower 33.
+    return stored(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """``row_number`` per ``keys`` by one range shuffle and a prefix sum of its partitions' counts.
 
-    Rows are dealt by (keys, order), so a group of any size, or a table without keys, is spread over
-    all partitions and is sorted there. A row's place inside its partition is known when it is
-    written; only one count per group and partition is summed up afterwards. Rows equal in keys
-    and order stay in one partition, which streams them. The input is read twice (ranges are
-    sampled first), so pass a written table.
+    A row's place inside its partition is known when it is written; only one count per group and
+    partition is summed up afterwards. Pass a written table, see ``_dealt``.
     """
     keys = list(keys)
-    sorted_rows = (
-        df.repartitionByRange(*[F.col(k) for k in keys], *order).sortWithinPartitions(*[F.col(k) for k in keys], *order)
-        # The partition in the upper bits, the row inside it in the lower 33.
-        .withColumn("_at", F.monotonically_increasing_id())
-    )
-    held = stored(sorted_rows).withColumn("_part", F.shiftright("_at", 33))
+    held = _dealt(df, keys, order)
     parts = held.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # Keys of the lookup get names of their own: null keys must match as well.
     renamed = {key: f"_k_{key}" for key in keys}
     shifts = parts.select(
         *[F.col(key).alias(alias) for key, alias in renamed.items()], F.col("_part").alias("_k_part"),
@@ -149,3 +86,27 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
         held.join(shifts, match).withColumn(name, F.col("_at") + F.col("_shift"))
         .drop("_at", "_part", "_k_part", "_shift", *renamed.values())
     )
+
+
+def following(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """The next row's ``value`` per ``keys``, in ranges of the order instead of whole groups."""
+    held = _dealt(df, keys, order)
+    return bucketed_lead(held, keys, F.col("_part"), [F.col("_at")], value, name).drop("_at", "_part")
+
+
+def budget_limits(rows: DataFrame, budgets: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """(key, _last): the last row, in ascending ``order``, that the group's ``budget`` covers.
+
+    Groups whose rows all fit have no limit, and groups without a budget (null) are not looked at.
+    Only key and order of the others are dealt out, so no group is ranked in one task and one row
+    per group is left.
+    """
+    capped = rows.join(budgets.where(F.col("budget") > 0), key).select(key, "budget", *order)
+    placed = numbered(capped, [key], [F.col(name).asc() for name in order], "_n")
+    return placed.where(F.col("_n") == F.col("budget")).select(key, F.struct(*order).alias("_last"))
+
+
+def within_budget(budget: str, order: Sequence[str]) -> Column:
+    """True for rows inside the budget, given ``_last`` of ``budget_limits`` on every row."""
+    inside = F.col("_last").isNull() | (F.struct(*order) <= F.col("_last"))
+    return F.when(F.col(budget).isNull(), F.lit(True)).otherwise((F.col(budget) > 0) & inside)

@@ -19,7 +19,7 @@ from verdictflow.functions import decisions as D, routing as R, settings, stage_
 from verdictflow.functions.prompts import judge_prompt
 from verdictflow.functions.cols import count_if, staged_where, struct_of
 from verdictflow.operators import edges as E, hydrate as H, tail as T
-from verdictflow.operators.ordered import first_per_group
+from verdictflow.operators.ordered import budget_limits, within_budget
 
 
 @dataclass
@@ -31,6 +31,7 @@ class GateResult:
     edges: DataFrame
     counters: DataFrame
     rejects: DataFrame | None = None
+    counted: DataFrame | None = None  # fused job: counters of all gates, see ``long_counters``
 
 
 def run_table(runs: DataFrame) -> DataFrame:
@@ -65,11 +66,6 @@ def _thresholds() -> dict[str, Column]:
     return D.threshold_columns("run.thresholds.")
 
 
-def _at(state: DataFrame, gate: str, runs: DataFrame) -> DataFrame:
-    """Pairs at a gate with their run's settings; a run without settings has no pairs here."""
-    return state.where(F.col("gate") == gate).join(runs, "stage3_run_id")
-
-
 def _frame(state: DataFrame, gate: str, runs: DataFrame) -> DataFrame:
     """Every pair, read once, with its run's settings; ``_here`` marks those this gate has."""
     here = (F.col("gate") == gate) & F.col("run").isNotNull()
@@ -105,25 +101,6 @@ def _settle(
     return judged, following, rejects
 
 
-def _with_route(judged: DataFrame, state: DataFrame, route: R.Route) -> DataFrame:
-    """Judged rows with their new routing, in the columns of the pair table."""
-    new = {
-        name: route[name].alias(name)
-        for name in ("gate", "tier", "decided_by", "contradiction_flag")
-    }
-    new["run_request_id"] = F.col("run.run_request_id").alias("run_request_id")
-    for name, kind in (("lease_owner", "string"), ("lease_expires_at", "timestamp")):
-        new[name] = F.lit(None).cast(kind).alias(name)
-    return judged.select(*[new.get(name, F.col(name)) for name in state.columns])
-
-
-def _next_state(state: DataFrame, runs: DataFrame, gate: str, moved: DataFrame) -> DataFrame:
-    """Pairs elsewhere, pairs of runs that were not part of this job, and the moved ones."""
-    elsewhere = F.coalesce(F.col("gate") != gate, F.lit(True))
-    others = state.where(~elsewhere).join(runs.select("stage3_run_id"), "stage3_run_id", "left_anti")
-    return state.where(elsewhere).unionByName(others.select(*state.columns)).unionByName(moved)
-
-
 def _as_run_rows(judged: DataFrame) -> DataFrame:
     return judged.withColumns({
         "subject_id": F.col("run.subject_id"),
@@ -138,6 +115,19 @@ def _counters(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     )
 
 
+def long_counters(wide: DataFrame, columns: list[tuple[str, str, str, str | None]]) -> DataFrame:
+    """(stage3_run_id, gate, name, value) out of one row per run.
+
+    ``columns`` are (gate, counter, column, column that must not be zero or None).
+    """
+    def one(gate: str, name: str, column: str, reached: str | None) -> Column:
+        entry = F.struct(F.lit(gate).alias("gate"), F.lit(name).alias("name"), F.col(column).cast("double").alias("value"))
+        return entry if reached is None else F.when(F.col(reached) > 0, entry)
+
+    entries = F.array_compact(F.array(*[one(*c) for c in columns]))
+    return wide.select("stage3_run_id", F.explode(entries).alias("c")).select("stage3_run_id", "c.*")
+
+
 # --- conditions shared by the single gates and the fused job --------------------------
 
 
@@ -295,17 +285,33 @@ def run_g3(
     )
 
 
-def tail_calls(state: DataFrame, runs: DataFrame, spread: int = 256) -> DataFrame:
-    """Pairs at the tail with ``called``: within budget, and not in SHADOW mode."""
-    rows = _at(state, V.G4, runs).join(T.spent_per_run(state), "stage3_run_id", "left")
+def tail_frame(state: DataFrame, runs: DataFrame, spent: DataFrame | None) -> DataFrame:
+    """Pairs at the tail; ``_here`` those whose run is part of the job, ``called`` those within budget.
+
+    What a run has left is the cap less the calls of earlier attempts: ``spent(stage3_run_id,
+    spent)``, or counted from the pair table. A run without a cap is not ranked at all.
+    """
+    settled = T.spent_per_run(state) if spent is None else spent
     cap = F.col("run.tail.max_llm_pairs")
     left = F.greatest(cap - F.coalesce("spent", F.lit(0)), F.lit(0))
     shadow = F.col("run.judge_mode") == V.MODE_SHADOW
-    budget = F.when(shadow, F.lit(0)).otherwise(F.when(cap > 0, left))
-    return first_per_group(
-        rows, "stage3_run_id", budget, [F.col("rank"), F.col("pair_id")], "pair_id", "called",
-        spread=spread,
-    ).drop("spent")
+    budgets = runs.join(settled, "stage3_run_id", "left").select(
+        "stage3_run_id", "run", F.when(shadow, F.lit(0)).otherwise(F.when(cap > 0, left)).cast("long").alias("budget")
+    )
+    waiting = state.where(F.col("gate") == V.G4)
+    limits = budget_limits(waiting, budgets.select("stage3_run_id", "budget"), "stage3_run_id", ["rank", "pair_id"])
+    known = budgets.join(limits, "stage3_run_id", "left")
+    rows = waiting.join(known, "stage3_run_id", "left").withColumn("_here", F.col("run").isNotNull())
+    called = F.col("_here") & within_budget("budget", ["rank", "pair_id"])
+    return rows.withColumn("called", F.coalesce(called, F.lit(False))).drop("budget", "_last")
+
+
+def tail_calls(
+    state: DataFrame, runs: DataFrame, spent: DataFrame | None = None, *, frame: DataFrame | None = None
+) -> DataFrame:
+    """Pairs at the tail with ``called``: within budget, and not in SHADOW mode."""
+    rows = tail_frame(state, runs, spent) if frame is None else frame
+    return staged_where(rows, F.col("_here")).drop("_here")
 
 
 def tail_prompts(calls: DataFrame, cards: DataFrame, rubric: str) -> DataFrame:
@@ -318,22 +324,26 @@ def tail_prompts(calls: DataFrame, cards: DataFrame, rubric: str) -> DataFrame:
 
 
 def run_g4(
-    state: DataFrame, answers: DataFrame, runs: DataFrame, *, live: bool, spread: int = 256
+    state: DataFrame, answers: DataFrame, runs: DataFrame, *, live: bool, spent: DataFrame | None = None,
+    frame: DataFrame | None = None,
 ) -> GateResult:
     """The tail: settled by an answer, or left to a human with the reason.
 
     ``answers(pair_id, answer, prompt_tokens, output_tokens, error)``. A deciding
-    run refuses answers that are not ``live`` before anything is written.
+    run refuses answers that are not ``live`` before anything is written. Pass ``frame``
+    (``tail_frame``, written) where the prompts were made of it.
     """
-    calls = tail_calls(state, runs, spread)
+    frame = tail_frame(state, runs, spent) if frame is None else frame
     shadow = F.col("run.judge_mode") == V.MODE_SHADOW
-    if not live:
-        refused = F.raise_error(F.lit("a deciding run must not be settled by dry-run answers"))
-        calls = calls.where(F.when(shadow, F.lit(True)).otherwise(refused.cast("boolean")))
-    judged = _as_run_rows(T.judge_answers(calls, answers)).withColumn(
-        "outcome", F.when(shadow, V.MODE_SHADOW).otherwise(F.col("outcome"))
+    usable = F.lit(True) if live else F.coalesce(shadow, F.lit(False))
+    staged = T.judge_answers(frame, answers).withColumn(
+        "outcome", F.when(F.col("_here"), F.when(shadow, V.MODE_SHADOW).otherwise(F.col("outcome")))
     )
     outcome, parsed = F.col("outcome"), F.col("parsed")
+    judged, following, _ = _settle(
+        staged, state, usable, R.route_g4(outcome, F.col("contradiction_flag")),
+        "a deciding run must not be settled by dry-run answers", "fail",
+    )
     settled = outcome == V.DECIDED
 
     def if_settled(name: str) -> Column:
@@ -348,9 +358,9 @@ def run_g4(
         attempt=F.col("run.attempt"), judge_model=F.col("run.tail.llm_model"),
         mode=F.col("run.judge_mode"), seq=4,
     )
-    moved = _with_route(judged, state, R.route_g4(outcome, F.col("contradiction_flag")))
-    counters = T.tail_counters(judged, ["stage3_run_id"])
-    return GateResult(_next_state(state, runs, V.G4, moved), edges, counters)
+    # The tail is a few percent: the rest is passed by, not joined with answers.
+    elsewhere = state.where(F.coalesce(F.col("gate") != V.G4, F.lit(True)))
+    return GateResult(elsewhere.unionByName(following), edges, T.tail_counters(judged, ["stage3_run_id"]))
 
 
 # --- the fused job --------------------------------------------------------------------
@@ -438,7 +448,8 @@ def judge_pairs(
         )
         for gate, (_, conditions) in counts.items()
     }
-    return GateResult(following, base, counters[V.G1], rejects), counters
+    every = [(gate, name, f"{gate}_{name}", f"{gate}__reached") for gate, (_, names) in counts.items() for name in names]
+    return GateResult(following, base, counters[V.G1], rejects, long_counters(once, every)), counters
 
 
 RUNNERS = {V.G1: run_g1, V.G2: run_g2, V.G3: run_g3, V.G4: run_g4}

@@ -1,64 +1,31 @@
-"""New pairs in, verdicts merged, batch by batch."""
+"""New pairs in, verdicts, counters and totals out, batch by batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from verdictflow import schemas
-from verdictflow.operators.edges import merge_edges
-from verdictflow.operators.pairs import seed_pairs
-from verdictflow.plans.gates import judge_pairs
-from verdictflow.sources.snapshots import read_snapshot, write_snapshot
-from verdictflow.session import materialize
-
-
-def process_batch(
-    candidates: DataFrame,
-    batch_id: int,
-    *,
-    score: Callable[[DataFrame], DataFrame],
-    runs: DataFrame,
-    state_path: str,
-    edges_path: str,
-    as_of: Column,
-    order: Sequence[str] = ("stage3_run_id",),
-) -> None:
-    """Seed, score, judge and merge one batch of candidate pairs.
-
-    A verdict row's key has no run in it, so several runs may judge one key in a batch. Their
-    updates are combined in the order of ``order`` (columns of the verdict rows), later ones last.
-
-    ``as_of`` is the time written to the rows; pass a literal, so that a repeated batch writes
-    what the first attempt wrote. Verdict rows are written before the pair table: a batch that
-    fails between the two is repeated, finds its pairs still unseeded, and merges the same
-    verdicts again.
-    """
-    spark = candidates.sparkSession
-    state = read_snapshot(spark, state_path, schemas.PAIR_STATE)
-    fresh = materialize(seed_pairs(state, candidates))
-    if fresh.isEmpty():
-        return
-    scores = materialize(score(fresh))
-    result, _ = judge_pairs(fresh, scores, runs)
-    edges = read_snapshot(spark, edges_path, schemas.EDGES)
-    updates = result.edges.withColumn("seq", F.struct(*order))
-    write_snapshot(merge_edges(edges, updates, as_of), edges_path)
-    write_snapshot(state.unionByName(result.state), state_path)
+from verdictflow.plans.cascade import Cascade, advance
+from verdictflow.sources.ledger import Ledger
 
 
 def start_cascade(
-    candidates: DataFrame, checkpoint: str, *, clock: Callable[[int], Column], trigger: dict | None = None, **settings
+    candidates: DataFrame, checkpoint: str, ledger: Ledger, cascade: Cascade, *,
+    clock: Callable[[int], Column], writer: str = "stream", trigger: dict | None = None,
 ) -> StreamingQuery:
-    """``foreachBatch`` around ``process_batch``; keys make repeated batches harmless.
+    """``foreachBatch`` around ``plans.cascade.advance``.
 
-    ``clock(batch_id)`` gives the time of a batch; it is asked once per attempt.
+    A batch is one commit of pairs, verdict rows, counters and totals; only the buckets its keys
+    fall into are read and rewritten. Its number is part of the commit, so a batch that is repeated
+    after a crash changes nothing if it was committed and starts over if it was not. ``writer``
+    names the stream: give a stream with a new ``checkpoint`` a new name, or its numbers, which
+    start again at 0, are taken for repeats. ``clock(batch_id)`` gives the time of a batch.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, batch_id, as_of=clock(batch_id), **settings)
+        advance(ledger, batch, cascade, clock(batch_id), writer=writer, batch=batch_id)
 
     return (
         candidates.writeStream.foreachBatch(run)
