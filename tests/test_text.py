@@ -120,7 +120,11 @@ def test_scores_are_computed_once(spark, tmp_path):
     again = score_store.score_pairs(pairs, rosters, stub_factory(log), path, parallelism=2)
     assert again.count() == 102 and len(open(log).read().split()) == calls
     store = score_store.ScoreStore(spark, path)
-    plan = store.missing(S.build_requests(S.pair_forms(pairs)), S.artifact_tasks(rosters))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = store.missing(S.build_requests(S.pair_forms(pairs)), S.artifact_tasks(rosters))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     text = plan[plan.index("Join"):]
     # One exchange, of the requests; the stored side is read in buckets, and no text is near the join.
     assert text.count("Exchange") == 1 and "Bucketed: true" in text and "a_text" not in text.split("Project")[0]
