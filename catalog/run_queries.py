@@ -55,7 +55,8 @@ def envelopes(spark, sf):
 
 
 def decoded(spark, sf):
-    return RQ.decode_requests(envelopes(spark, sf))
+    # A few files of small messages with some work each: spread them over all cores.
+    return RQ.decode_requests(envelopes(spark, sf).repartition(spark.sparkContext.defaultParallelism, "event_id"))
 
 
 @query("validate_requests", f"""WITH {_EVENTS_SQL}, r AS (SELECT *, {_REASON} AS reason FROM ev)
