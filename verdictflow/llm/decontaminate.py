@@ -16,7 +16,7 @@ windows; benchmarks of more than ``ITEMS`` items are searched part by part.
 
 Defined cases: null and empty texts leak nothing; an item with fewer than ``K`` words has no shingle
 and is not searched; equal items are all reported; repeated documents are reported once per id;
-rows without an id are searched and reported with a null id; empty tables give an empty result;
+rows without an id are searched and reported with a null id (``clean`` judges row by row); empty tables give an empty result;
 texts of any length are searched whole.
 """
 
@@ -25,11 +25,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import hashing
-from .common import small_side, table, written
+from .common import table
 from .streams import small_batches
 
 K = 5
@@ -178,6 +180,15 @@ def search(texts: list, index: Index) -> Iterator[tuple[int, int, float, int]]:
                 yield first + doc, index.items[item][0], value, -back
 
 
+def indexes(benchmark: DataFrame) -> Iterator[Broadcast[Index]]:
+    """The items' windows, at most about ``ITEMS`` items at a time."""
+    items = benchmark.select("item_id", "text")
+    parts = max(1, -(-items.count() // ITEMS))
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toPandas()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(own["item_id"].tolist(), own["text"].tolist()))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity and start_word of each item that a document holds."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -187,12 +198,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small_batches(spark)
     arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    items = benchmark.select("item_id", "text")
-    parts = max(1, -(-items.count() // ITEMS))
     found = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toPandas()
-        shared = spark.sparkContext.broadcast(Index(own["item_id"].tolist(), own["text"].tolist()))
+    for shared in indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -211,10 +218,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _leaky(shared: Broadcast[Index]):
+    """text column -> whether the text holds an item."""
+
+    @F.pandas_udf("boolean")
+    def leaky(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            held = np.zeros(len(texts), dtype=bool)
+            held[[hit[0] for hit in search(texts.tolist(), shared.value)]] = True
+            yield pd.Series(held)
+
+    return leaky
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns as they are."""
-    gone = small_side(written(leaks(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of ``docs`` whose own text holds no item; all columns as they are.
+
+    Every row is judged by its text, whatever its id; only texts go to Python, and nothing is shuffled.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    for shared in indexes(benchmark):
+        rows = rows.where(~_leaky(shared)("text"))
+    return rows.select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from verdictflow.operators.ordered import numbered
+
 from . import hashing
 from .common import small_side, table, written
 from .components import components
@@ -413,11 +415,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """(_row, text, _node): every row with a number of its own.
+
+    A row's number is its id where no other row has it. Rows without an id, and rows that share one, are
+    numbered behind all others (before them, where an id is beyond 2**62), in the order of id and text;
+    where there are none, nothing is shuffled but ids.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+    odd = written(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_odd")))
+    if odd.isEmpty():
+        return packed.select("_row", "text", F.col("doc_id").alias("_node"))
+    shared = small_side(odd)
+    same = F.col("doc_id").eqNullSafe(F.col("_odd"))
+    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
+    high = 0 if ends.high is None else ends.high
+    start = high if high < 1 << 62 else ends.low - ends.n - 1
+    # Equal rows are dealt out at random, so that a third of all rows may be equal.
+    rest = written(packed.join(shared, same, "left_semi").withColumns({"_md5": F.md5(F.col("text").cast("binary")), "_draw": F.rand(7)}))
+    order = [F.col(c).asc() for c in ("doc_id", "_md5", "_draw")]
+    given = numbered(rest, [], order, "_place").select("_row", "text", (F.col("_place") + start).alias("_node"))
+    return packed.join(shared, same, "left_anti").select("_row", "text", F.col("doc_id").alias("_node")).unionByName(given)
+
+
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; all columns as they are."""
-    gone = written(near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    gone = small_side(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each component: the one with the smallest id; all columns as they are.
+
+    Rows are compared and kept one by one (``numbered_rows``): of repeated rows one stays, rows without
+    an id are compared like any other, and rows that share an id but not their text are told apart.
+    """
+    rows = numbered_rows(docs)
+    found = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"), k, percent)
+    gone = small_side(written(found.where("NOT kept").select(F.col("doc_id").alias("_gone"))))
+    return rows.join(gone, F.col("_node") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,7 +117,9 @@ def pack_documents(
                 out[name].append(value)
         return out
 
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(shards)).alias("shard"))
+    # Rows without an id are dealt by their place in the table, so they do not meet in one shard.
+    dealt_by = F.xxhash64(F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()).cast("string"), "text")
+    dealt = docs.select("doc_id", "text", F.pmod(dealt_by, F.lit(shards)).alias("shard"))
     return per_group(dealt, "shard", ["doc_id", "text"], shard, SCHEMA)
 
 
