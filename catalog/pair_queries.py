@@ -415,10 +415,10 @@ def read_family_a(spark, sf):
 
 @query("read_slot", f"""WITH {I.CASCADE_SQL}
 SELECT edge_key AS key, round(ent_fwd, 6) AS ent_fwd, round(con_bwd, 6) AS con_bwd
-FROM c JOIN labels ON labels.doc_id = a_doc WHERE rank % 2 = 0""")
+FROM c JOIN labels ON labels.doc_id = a_doc""")
 def read_slot(spark, sf):
-    """One stored slot of the verdict rows, for every other pair."""
-    wanted = I.pairs(spark, sf).where("rank % 2 = 0").select(F.col("edge_key").alias("key"))
+    """One stored slot of the verdict rows, asked for by the keys of all pairs."""
+    wanted = I.pairs(spark, sf).select(F.col("edge_key").alias("key"))
     found = E.read_slot(_stored_edges(spark, sf), "g1", wanted)
     return found.select("key", F.round("g1.ent_fwd", 6).alias("ent_fwd"), F.round("g1.con_bwd", 6).alias("con_bwd"))
 

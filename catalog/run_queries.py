@@ -243,6 +243,33 @@ def log_metrics(spark, sf):
     )
 
 
+@query("log_rollups", """WITH e AS (
+  SELECT *, CASE event_type WHEN 'click' THEN 'G1_NEUTRAL' WHEN 'view' THEN 'G2_CORROBORATION' ELSE 'G3_CONTRADICTION' END AS gate,
+    event_type IN ('click', 'view', 'error') AS committed FROM events
+)
+SELECT strftime(ts, '%Y-%m-%d') AS day, gate, count(*) AS entries, count(*) FILTER (committed) AS commits,
+  count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (committed) > 0 AS p50_fits, count(*) FILTER (committed) > 0 AS p95_fits
+FROM e GROUP BY ALL""")
+def log_rollups(spark, sf):
+    """Days merged out of sketches of 15 minutes, held against the log: is each quantile's rank within the bound?"""
+    log = _log(spark, sf)
+    days = LM.with_quantiles(LM.merge_windows(LM.sketched_windows(log), "1 day"))
+    timed = log.where("event = 'gate_committed' AND duration_ms IS NOT NULL").select(F.date_trunc("day", "ts").alias("window_start"), "gate", "duration_ms")
+    joined = days.join(timed, ["window_start", "gate"], "left")
+    counts = ["entries", "commits", "errors"]
+
+    def fits(name, p):
+        # The rank of a value is a range: the shares below it and up to it.
+        n, value = F.nullif(F.count("duration_ms"), F.lit(0)), F.col("duration_ms")
+        below, upto = F.count_if(value < F.col(name)) / n, F.count_if(value <= F.col(name)) / n
+        slack = 3 * LM.RANK_ERROR + 1 / n
+        return F.coalesce((below <= p + slack) & (upto >= p - slack), F.lit(False)).alias(name[:3] + "_fits")
+
+    return joined.groupBy(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "gate", *counts).agg(
+        fits("p50_sketch_ms", 0.5), fits("p95_sketch_ms", 0.95)
+    )
+
+
 @query("gate_durations", """SELECT event_type AS gate, count(*) AS entries,
   round(list_sort(list(value))[CAST(ceil(0.5 * count(*)) AS INTEGER)], 6) AS p50_ms,
   round(list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS INTEGER)], 6) AS p95_ms

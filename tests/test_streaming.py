@@ -46,6 +46,19 @@ def test_log_windows_close_behind_the_watermark(spark, tmp_path):
     assert (table.entries, table.p50_ms, table.p95_ms) == (16, 7.0, 14.0)
 
 
+def test_stored_sketches_make_hours(spark, tmp_path):
+    lines = [line(m, duration=float(m)) for m in range(120)] + [line(70, "failed", code="E_CAP_EXCEEDED"), line(119, "other")]
+    rows = fed(spark, tmp_path, [lines, [line(900)], [line(1200)]], "kll", lambda s: LM.sketched_windows(LM.parse_lines(s), lateness="10 minutes"))
+    kept = spark.read.parquet(str(tmp_path / "kll-out"))
+    assert kept.count() == len(rows) == 9  # eight quarters, and the one that closed last
+    hours = LM.with_quantiles(LM.merge_windows(kept, "1 hour")).orderBy("window_start").collect()
+    assert [(r.entries, r.commits, r.errors) for r in hours[:2]] == [(60, 60, 0), (62, 60, 1)]
+    assert [(r.p50_sketch_ms, r.p95_sketch_ms) for r in hours[:2]] == [(29.0, 56.0), (89.0, 116.0)]
+    assert hours[2].p50_sketch_ms is None  # a commit without a duration
+    exact = LM.windowed_metrics(LM.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")), "1 hour").orderBy("window_start").collect()
+    assert [(r.p50_ms, r.p95_ms) for r in exact] == [(r.p50_sketch_ms, r.p95_sketch_ms) for r in hours[:2]]
+
+
 def envelopes(spark):
     return [r.value for r in run_queries.envelopes(spark, SMALL).orderBy("event_id").collect()]
 

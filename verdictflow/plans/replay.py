@@ -323,10 +323,7 @@ def build_report(
             "roster", F.lit(False).alias("from_grid"),
             *[F.lit(float(v)).alias(n) for n, v in fixed.items()],
         )
-    # One row per roster: the size of this side is the length of the roster list.
-    calibrated = features.join(
-        F.broadcast(tables["thresholds"].drop("from_grid")), "roster"
-    )
+    calibrated = features.join(tables["thresholds"].drop("from_grid"), "roster")
     outcomes = _judge(calibrated, D.threshold_columns()).select(
         "roster", "pair_id", *LABELS, *OUTCOME
     )

@@ -78,3 +78,39 @@ def streamed_metrics(log: DataFrame, window: str = "15 minutes", lateness: str =
         F.col("p")[0].alias("p50_sketch_ms"), F.col("p")[1].alias("p95_sketch_ms"),
         "errors", "cap_exceeded", "overdue", "escalation_tail",
     )
+
+
+# --- windows that can be merged -----------------------------------------------------------
+
+SKETCH_SIZE = 2_000
+# Fixed value of the sketch: ranks are off by at most this share in 99 of 100 cases, after any merging.
+RANK_ERROR = 2.296 / SKETCH_SIZE**0.9723
+
+_SUMMED = ("entries", "commits", "errors", "cap_exceeded", "overdue", "escalation_tail")
+
+
+def sketched_windows(log: DataFrame, window: str = "15 minutes", lateness: str | None = None) -> DataFrame:
+    """Counts and a KLL sketch of the durations per window and gate, small rows to be kept.
+
+    Quantiles of windows cannot be added up, sketches can: ``merge_windows`` makes hours and days of
+    them without the log. ``lateness`` is the watermark of a stream, in append mode.
+    """
+    committed, groups, columns = _counts(log if lateness is None else log.withWatermark("ts", lateness), window)
+    sketch = F.kll_sketch_agg_double(F.when(committed, F.col("duration_ms")), SKETCH_SIZE)
+    return groups.agg(*columns, sketch.alias("sketch")).select(F.col("w.start").alias("window_start"), "gate", *_SUMMED, "sketch")
+
+
+def merge_windows(windows: DataFrame, window: str) -> DataFrame:
+    """Stored windows in windows of a longer kind: counts summed up, sketches merged."""
+    return windows.groupBy(F.window("window_start", window).alias("w"), "gate").agg(
+        *[F.sum(name).alias(name) for name in _SUMMED], F.kll_merge_agg_double("sketch", SKETCH_SIZE).alias("sketch")
+    ).select(F.col("w.start").alias("window_start"), "gate", *_SUMMED, "sketch")
+
+
+def with_quantiles(windows: DataFrame) -> DataFrame:
+    """p50 and p95 out of the sketches (null where nothing was timed), within ``RANK_ERROR`` of the rank."""
+    timed = F.kll_sketch_get_n_double("sketch") > 0
+    return windows.withColumns({
+        name: F.when(timed, F.kll_sketch_get_quantile_double(F.col("sketch"), F.lit(p)))
+        for name, p in (("p50_sketch_ms", 0.5), ("p95_sketch_ms", 0.95))
+    }).drop("sketch")
