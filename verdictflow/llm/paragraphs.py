@@ -72,13 +72,10 @@ def units(text: bytes) -> list[tuple[int, int, bytes]]:
 
 
 def sign_paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (first line), n_lines, node and signature columns of every paragraph.
-
-    ``node`` names the paragraph; its order as text is the order of (doc_id, paragraph).
-    """
+    """doc_id, paragraph (first line), n_lines and signature columns of every paragraph."""
 
     def sign(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {name: [] for name in ("doc_id", "paragraph", "n_lines", "node", "n_shingles", "set_a", "set_b", "sig")}
+        out: dict[str, list] = {name: [] for name in ("doc_id", "paragraph", "n_lines", "n_shingles", "set_a", "set_b", "sig")}
         held = [(d, *u) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for u in units(text)]
         for first, block in hashing.blocks(x for *_, x in held):
             words = hashing.Words(block)
@@ -87,18 +84,19 @@ def sign_paragraphs(docs: DataFrame) -> DataFrame:
             sig, low, high = signature_columns(values, offset)
             for j in range(len(block)):
                 doc_id, i, n, _ = held[first + j]
-                for name, value in zip(out, (doc_id, i, n, node_of(doc_id, i), int(offset[j + 1] - offset[j]), int(low[j]), int(high[j]), sig[j].tobytes())):
+                for name, value in zip(out, (doc_id, i, n, int(offset[j + 1] - offset[j]), int(low[j]), int(high[j]), sig[j].tobytes())):
                     out[name].append(value)
         return out
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     return per_batch(
-        rows, sign, "doc_id long, paragraph int, n_lines int, node string, n_shingles long, set_a long, set_b long, sig binary"
+        rows, sign, "doc_id long, paragraph int, n_lines int, n_shingles long, set_a long, set_b long, sig binary"
     )
 
 
-def node_of(doc_id: int, paragraph: int) -> str:
-    return f"{doc_id + (1 << 63):016x}{paragraph:08x}"
+def named(signed: DataFrame) -> DataFrame:
+    """A written table with a number, ``node``, for every row: aggregates of numbers need no sort."""
+    return written(signed.withColumn("node", F.monotonically_increasing_id()))
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
@@ -107,12 +105,12 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     doc_id, paragraph (its first line), n_lines, component_doc and component_paragraph (the first of the
     component), removed.
     """
-    signed = written(sign_paragraphs(docs))
+    signed = named(sign_paragraphs(docs))
 
     def fetch(nodes: DataFrame) -> DataFrame:
         """A document's paragraphs in question are picked while its text is read, once."""
         wanted = written(
-            nodes.join(signed.select("node", "doc_id", "paragraph", "n_lines").distinct(), "node")
+            nodes.join(signed.select("node", "doc_id", "paragraph", "n_lines"), "node")
             .groupBy("doc_id").agg(F.collect_set(F.struct("paragraph", "n_lines", "node", "root")).alias("wanted"))
         )
 
@@ -128,7 +126,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
             return {"root": [r["root"] for r in found], "node": [r["node"] for r in found], "shingles": shingle_bytes(texts, K)}
 
         texts = docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text")).join(small_side(wanted), "doc_id")
-        return per_batch(texts, pick, "root string, node string, shingles binary")
+        return per_batch(texts, pick, "root long, node long, shingles binary")
 
     return _members(signed, fetch, ["paragraph", "n_lines"], "component_paragraph")
 
@@ -136,12 +134,14 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
 def _members(signed: DataFrame, fetch, place: list[str], first_place: str) -> DataFrame:
     """Rows of all components that span documents, with the document and place of their first."""
     classes = link(signed, fetch, PERCENT, _BANDS).select(*SAME, "component")
-    members = written(signed.select("doc_id", *place, "node", *SAME).join(classes, SAME).select("doc_id", *place, "node", "component").distinct())
-    spans = members.groupBy("component").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("component", F.col("_a").alias("component_doc"))
-    return members.join(spans, "component").select(
-        "doc_id", *place, "component_doc",
-        F.conv(F.substring("component", 17, 8), 16, 10).cast("int").alias(first_place),
-        (F.col("node") != F.col("component")).alias("removed"),
+    members = written(signed.select("doc_id", *place, *SAME).join(classes, SAME).select("doc_id", *place, "component").distinct())
+    ends = members.groupBy("component").agg(F.min("doc_id").alias("component_doc"), F.max("doc_id").alias("_b")).where("component_doc <> _b")
+    # The first place of the first document: numbers only, so no group is sorted.
+    inside = members.join(ends.select("component", "component_doc"), "component")
+    first = inside.where("doc_id = component_doc").groupBy("component").agg(F.min(place[0]).alias(first_place))
+    return inside.join(first, "component").select(
+        "doc_id", *place, "component_doc", first_place,
+        ((F.col("doc_id") != F.col("component_doc")) | (F.col(place[0]) != F.col(first_place))).alias("removed"),
     )
 
 
@@ -222,7 +222,7 @@ def repeated_pieces(docs: DataFrame) -> DataFrame:
 
     doc_id, first_word and n_words, component_doc and component_word (of the first piece), removed.
     """
-    cut = _all_windows(docs)
+    cut = written(_all_windows(docs))
     # One number for all holders of a window, the same in each of them.
     shared = (
         cut.groupBy("window").agg(
@@ -237,41 +237,49 @@ def repeated_pieces(docs: DataFrame) -> DataFrame:
     )
 
     def sign(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {name: [] for name in ("doc_id", "first_word", "n_words", "node", "n_shingles", "set_a", "set_b", "sig")}
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        for doc_id, text, starts in zip(ids, texts, batch.column("starts").to_pylist()):
-            words = hashing.Words([text])
-            found = [r for r in runs([(w["first_word"], w["holders"]) for w in starts]) if sum(r) <= len(words.hash)]
-            values, offset = hashing.Words([_span(words, 0, *r) for r in found]).shingles(K)
+        out: dict[str, list] = {name: [] for name in ("doc_id", "first_word", "n_words", "n_shingles", "set_a", "set_b", "sig")}
+        ids, starts = batch.column("doc_id").to_pylist(), batch.column("starts").to_pylist()
+        held = []  # document, first word, words, text
+        for first, block in hashing.blocks(batch.column("text").to_pylist()):
+            words = hashing.Words(block)
+            sizes = np.diff(words.first).tolist()
+            for i, size in enumerate(sizes):
+                found = runs([(w["first_word"], w["holders"]) for w in starts[first + i]])
+                held += [(ids[first + i], *r, _span(words, i, *r)) for r in found if sum(r) <= size]
+        for first, block in hashing.blocks(x for *_, x in held):
+            values, offset = hashing.Words(block).shingles(K)
             values, offset = hashing.distinct(values, offset)
             sig, low, high = signature_columns(values, offset)
-            for j, (at, n) in enumerate(found):
-                for name, value in zip(out, (doc_id, at, n, node_of(doc_id, at), int(offset[j + 1] - offset[j]), int(low[j]), int(high[j]), sig[j].tobytes())):
+            for j in range(len(block)):
+                doc_id, at, n, _ = held[first + j]
+                for name, value in zip(out, (doc_id, at, n, int(offset[j + 1] - offset[j]), int(low[j]), int(high[j]), sig[j].tobytes())):
                     out[name].append(value)
         return out
 
-    signed = written(per_batch(
+    signed = named(per_batch(
         _texts(docs).join(small_side(covered), "doc_id"), sign,
-        "doc_id long, first_word int, n_words int, node string, n_shingles long, set_a long, set_b long, sig binary",
+        "doc_id long, first_word int, n_words int, n_shingles long, set_a long, set_b long, sig binary",
     ))
 
     def fetch(nodes: DataFrame) -> DataFrame:
         wanted = written(
-            nodes.join(signed.select("node", "doc_id", "first_word", "n_words").distinct(), "node")
+            nodes.join(signed.select("node", "doc_id", "first_word", "n_words"), "node")
             .groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "n_words", "node", "root")).alias("wanted"))
         )
 
         def pick(batch: pa.RecordBatch) -> dict:
             found, texts = [], []
-            for text, rows in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                words = hashing.Words([text])
-                for row in rows:
-                    if row["first_word"] + row["n_words"] <= len(words.hash):
-                        found.append(row)
-                        texts.append(_span(words, 0, row["first_word"], row["n_words"]))
+            wanted = batch.column("wanted").to_pylist()
+            for first, block in hashing.blocks(batch.column("text").to_pylist()):
+                words = hashing.Words(block)
+                for i, size in enumerate(np.diff(words.first).tolist()):
+                    for row in wanted[first + i]:
+                        if row["first_word"] + row["n_words"] <= size:
+                            found.append(row)
+                            texts.append(_span(words, i, row["first_word"], row["n_words"]))
             return {"root": [r["root"] for r in found], "node": [r["node"] for r in found], "shingles": shingle_bytes(texts, K)}
 
-        return per_batch(_texts(docs).join(small_side(wanted), "doc_id"), pick, "root string, node string, shingles binary")
+        return per_batch(_texts(docs).join(small_side(wanted), "doc_id"), pick, "root long, node long, shingles binary")
 
     return _members(signed, fetch, ["first_word", "n_words"], "component_word")
 
