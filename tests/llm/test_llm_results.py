@@ -439,3 +439,12 @@ def test_pipeline(spark):
     leaked = {d for d, _ in brute_leaks({r.doc_id: r.text for r in single.collect()}, bench)}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in single.collect()} - leaked
     assert corpus_pipeline.run(spark, SMALL).agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_regions_with_the_same_members_are_read_once(spark):
+    near = spark.createDataFrame(
+        [(1, 10), (1, 11), (2, 10), (2, 11), (3, 10), (3, 11), (3, 12), (4, 12), (4, 13)], "key long, node long"
+    )
+    left = sorted((r["key"], r["node"]) for r in neardup.distinct_regions(near).collect())
+    assert left == [(1, 10), (1, 11), (3, 10), (3, 11), (3, 12), (4, 12), (4, 13)]
+    assert neardup.distinct_regions(near.where("key > 9")).count() == 0

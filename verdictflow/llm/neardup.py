@@ -178,6 +178,7 @@ def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> tuple[DataFrame, D
             return found, crowd_nodes
         if crowd_nodes is None:
             crowd_nodes = written(rows.join(small_side(full.select("key")), "key").select("node").distinct())
+            held = classes_of(reps.select("node", "sig"), crowd_nodes)
         crowded = rows.join(full, "key").select("key", "node", "tree", "_n")
         if depth >= DEEPEST:
             parts = F.ceil(F.col("_n") / F.lit(REGION))
@@ -185,7 +186,24 @@ def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> tuple[DataFrame, D
             return found.unionByName(crowded.select(dealt.alias("key"), "node")), crowd_nodes
         depth = min(DEEPEST, depth + 2)
         # At least three rows a class meet here, and only for classes of crowded regions.
-        rows = written(_deeper(crowded.select("node", "tree").join(reps.select("node", "sig"), "node"), depth, orders))
+        rows = written(_deeper(crowded.select("node", "tree").join(held, "node"), depth, orders))
+
+
+def classes_of(reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The classes of a written table of nodes, written: signatures of all others stay where they are."""
+    return written(reps.join(small_side(nodes), "node"))
+
+
+def distinct_regions(near: DataFrame) -> DataFrame:
+    """``near`` without the regions whose members are, all of them, those of another region.
+
+    Two classes that are much alike share most of their bands and are alone in them. Members are named
+    by their number and two exclusive-ors of digests.
+    """
+    digests = {"_x": F.bit_xor(F.xxhash64("node")), "_y": F.bit_xor(F.xxhash64("node", F.lit(1)))}
+    regions_named = near.groupBy("key").agg(F.count("*").alias("_n"), *[d.alias(c) for c, d in digests.items()])
+    kept = regions_named.groupBy("_n", *digests).agg(F.min("key").alias("key")).select("key")
+    return near.join(kept, "key")
 
 
 def _minima(batch: pa.RecordBatch) -> np.ndarray:
@@ -351,7 +369,8 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: in
         .select(*SAME, "_rows", F.col("_r.node").alias("node"), F.col("_r.sig").alias("sig"))
     )
     near, crowded = regions(reps, orders)
-    near = written(near)
+    near = written(distinct_regions(written(near)))
+    grouped = classes_of(reps.select("node", "n_shingles", "sig"), written(near.select("node").distinct()))
 
     def candidates(group: pa.Table) -> dict | None:
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
@@ -364,7 +383,7 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: in
         return confirm([nodes[i] for i in held], [sets[i] for i in held], percent) if len(held) > 1 else None
 
     stars = f"a {kind}, b {kind}"
-    members = near.join(reps.select("node", "n_shingles", "sig"), "node")
+    members = near.join(grouped, "node")
     clusters = written(components(per_group(members, "key", ["node", "n_shingles"], candidates, stars)))
     too_large = written(
         clusters.join(reps.select("node", "n_shingles"), "node").groupBy("root")
