@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdictflow.llm import boilerplate, decontaminate, fingerprints, mixing, neardup, packing, paragraphs, quality, tokens, urls
+from verdictflow.llm import boilerplate, common, decontaminate, fingerprints, mixing, neardup, packing, paragraphs, quality, tokens, urls
 
 CLASHES = (
     "score predicted held_out size source_size target copies taken node root key keys sig set_a shard row block guest "
@@ -158,3 +158,17 @@ def test_rows_without_an_id_are_dealt_to_all_shards(spark):
     docs = spark.createDataFrame([(None, "same words in every row")] * 400, "doc_id long, text string").repartition(4)
     rows = packing.pack_documents(docs, shard_chars=500).collect()
     assert len({r.shard for r in rows}) > 10 and sum(len(r.doc_ids) for r in rows) == 400
+
+
+def test_broadcasts_are_bounded_in_bytes(spark, empty):
+    """Few rows with long arrays are no small side; neither rows nor an empty table change the answer."""
+    def hinted(df, limit):
+        return "ResolvedHint" in common.small_side(df, limit)._jdf.queryExecution().analyzed().toString()
+
+    ids = spark.range(1000).withColumnRenamed("id", "doc_id")
+    long_rows = ids.where("doc_id < 4").withColumn("wanted", F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda x: F.struct(x.alias("a"), x.alias("b"))))
+    assert hinted(ids, 1000 * 32) and not hinted(ids, 1000 * 32 - 1)
+    assert not hinted(long_rows, 4 * 5000 * 16) and hinted(long_rows, 4 * 5000 * 40)
+    assert hinted(empty.select("doc_id", "text"), 0)
+    for limit in (0, 1 << 30):
+        assert ids.join(common.small_side(long_rows, limit), "doc_id").count() == 4

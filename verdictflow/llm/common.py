@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 from verdictflow.session import checkpoint_root
 
@@ -44,12 +45,30 @@ def held_out(doc_id: Column) -> Column:
     return id_crc(doc_id) % 5 == 0
 
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table of a few numbers a row, with a broadcast hint if it has at most ``rows`` rows.
+def row_bytes(schema: StructType) -> Column:
+    """About what a row takes in a hash table: 8 bytes a number and a header, texts and arrays by their length."""
+    size, number = F.lit(24), 8
+    for field in schema.fields:
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, ArrayType):
+            inner = kind.elementType
+            width = number * (len(inner.fields) + 2) if isinstance(inner, StructType) else number
+            size = size + 16 + F.coalesce(F.size(column), F.lit(0)) * width
+        elif isinstance(kind, (StringType, BinaryType)):
+            size = size + 16 + F.coalesce(F.octet_length(column), F.lit(0))
+        else:
+            size = size + number
+    return size.cast("long")
 
-    Beyond that the join shuffles both sides; the result is the same.
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with a broadcast hint if its rows, arrays included, take at most ``limit`` bytes.
+
+    Arrays hold numbers or structs of numbers. Beyond the limit the join shuffles both sides; the
+    result is the same.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    total = df.agg(F.sum(row_bytes(df.schema)).alias("n")).head()["n"] or 0
+    return F.broadcast(df) if total <= limit else df
