@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import inputs as I
 from catalog.registry import query
+from verdictflow import vocab as V
 from verdictflow.functions import decisions as D
 from verdictflow.operators import metrics as M
 from verdictflow.plans import replay as RP, reports
@@ -181,6 +182,40 @@ def grid_search(spark, sf):
     return _rounded(_grid(spark, sf), *SHARES, "undecided_share")
 
 
+# Every threshold an axis: 3 x 3 x 3 x 3 x 3 x 3 cells, some values out of order.
+FINE = {
+    "contraEscape": (0.05, 0.4, 0.1), "neutralMin": (0.5, 0.8, 0.95), "repeatMin": (0.9, 0.4, 0.7),
+    "supportMin": (0.5, 0.7, 0.9), "contraMin": (0.85, 0.3, 0.5), "neutralConsensus": (0.05, 0.2, 0.4),
+}
+
+
+def _fine_sql() -> str:
+    cells, stride, number = [], 3 ** len(FINE), []
+    for axis, points in FINE.items():
+        stride //= 3
+        rows = ", ".join(f"({i}, CAST({v} AS DOUBLE))" for i, v in enumerate(points))
+        cells.append(f'(VALUES {rows}) "_{axis}"(i, v)')
+        number.append(f'"_{axis}".i * {stride}')
+    names = ", ".join(f'"_{axis}".v AS "{axis}"' for axis in FINE)
+    judged = I.cascade_sql("sc", **{V.SWEEPABLE[axis]: f'"{axis}"' for axis in FINE})
+    return f"""WITH {I.ROSTERS_SQL}, cells AS (
+  SELECT CAST({' + '.join(number)} AS INTEGER) AS cell, {names} FROM {', '.join(cells)}
+), sc AS (SELECT sr.*, cells.* FROM sr, cells), {judged}, n AS (
+  SELECT roster, cell, {_COUNTS} FROM c GROUP BY ALL
+)
+SELECT roster, cell, total, decided, to_g4, to_human, gold AS golden_contradictions, kept AS golden_preserved,
+  pred_n AS pred_neutral, hit_n AS hit_neutral FROM n"""
+
+
+@query("grid_every_axis", _fine_sql())
+def grid_every_axis(spark, sf):
+    """Counts of every cell of a grid over all thresholds, by prefix sums over boxes."""
+    return RP.grid_counts(features(spark, sf), FINE).select(
+        "roster", "cell", "total", "decided", "to_g4", "to_human", "golden_contradictions", "golden_preserved",
+        "pred_neutral", "hit_neutral",
+    )
+
+
 _BEST_SQL = f"""{GRID_SQL}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY roster ORDER BY coverage DESC, g4_share, cell) AS place
   FROM grid WHERE passed

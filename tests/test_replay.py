@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from dataclasses import replace
 
@@ -124,6 +125,54 @@ def test_grid_equals_brute_force(spark):
         assert got["preserved"] == sum(o[1] != "DECIDED" for o in golden)
 
 
+def every_axis(rng, points):
+    """All thresholds as axes: unsorted values, some given twice, some on the features, some beyond all of them."""
+    return {
+        name: tuple(rng.choice([-0.5, 0.0, 0.02, 0.05, 0.1, 0.3, 0.5, 0.75, 0.9, 0.95, 1.0, 1.5]) for _ in range(points))
+        for name in V.SWEEPABLE
+    }
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_axis_equals_replay_of_every_cell(spark, seed):
+    """Counts by prefix sums against the plain way, each pair judged in each cell, by key."""
+    _, _, features = labelled(spark, 250, seed)
+    features = features.withColumn("roster", F.when(F.col("pair_id").cast("int") % 3 == 0, "s").otherwise("r"))
+    axes = every_axis(random.Random(seed), 3)
+    axes["contraMin"] = axes["contraMin"][:1]
+    got = RP.grid_counts(features, axes)
+    cells = features.crossJoin(spark.range(243).select(F.col("id").cast("int").alias("cell")))
+    at = {**D.Thresholds().columns(), **{V.SWEEPABLE[a]: c for a, c in RP.cell_columns(axes).items()}}
+    judged = RP.replay(D.with_columns(cells, "_t_", at), D.prefixed("_t_", at), ["roster", "cell"])
+    want = M.outcome_counts(judged, ["roster", "cell"])
+    names = want.columns
+    assert sorted(got.select(*names).collect()) == sorted(want.collect())
+    assert got.count() == 2 * 243
+
+
+def test_boxes_tile_the_grid_and_do_not_grow_with_its_values(spark):
+    _, _, features = labelled(spark, 60)
+    few = every_axis(random.Random(5), 4)
+    for axes in (few, {name: tuple(i / 40 for i in range(40)) for name in few}):
+        axes = {name: sorted(points) for name, points in axes.items()}
+        size = F.lit(1).cast("double")
+        for name in axes:
+            size = size * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
+        boxes = RP.outcome_boxes(features, axes, D.Thresholds().columns(), ["roster"])
+        covered = boxes.agg(F.sum(size * F.col("pairs")).alias("n"), F.sum("pairs").alias("pieces")).head()
+        assert covered["n"] == 60 * math.prod(len(points) for points in axes.values())
+        # Flagged 3 x 3; unflagged 3 x 3, of which one box goes on: 1 that G2 settles and 3 x 3 at G3.
+        assert covered["pieces"] <= 60 * (9 + 8 + 1 + 9)
+
+
+def test_grid_refuses_empty_axes(spark):
+    _, _, features = labelled(spark, 5)
+    for axes in ({}, {"neutralMin": ()}, {"nope": (1.0,)}):
+        with pytest.raises(ValueError):
+            RP.grid_counts(features, axes)
+    assert RP.grid_search(features.where("false"), AXES).count() == 0
+
+
 def test_signatures_do_not_grow_with_pairs(spark):
     _, _, features = labelled(spark)
     values = {n: [c] for n, c in D.Thresholds().columns().items()}

@@ -3,10 +3,15 @@
 A grid search is pairs x cells by definition, but a cell only compares a pair's
 features with threshold values. All pairs whose features lie between the same
 neighbouring values behave alike in every cell. So pairs are first aggregated to
-*signatures* (which side of each value each feature is on); only signatures,
-whose number depends on the grid and not on the data, are multiplied by cells.
-One scan, one map-side combined shuffle, then work that no longer grows with
-the corpus.
+*signatures* (which side of each value each feature is on), whose number depends
+on the grid and not on the data.
+
+Signatures are not multiplied by cells either. A gate splits the cells of a
+signature where a feature crosses a threshold the gate reads, and only for pairs
+that reach the gate: 27 *boxes* of neighbouring cells at most, whatever the number
+of values (9 of flagged pairs, 8 that G1 settles, 10 behind it). A box adds its pairs at its first corner and takes them away
+behind its ends; prefix sums along one axis after the other turn these
+differences into the counts of every cell. The cost is cells x axes.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, replace
 from math import prod
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verdictflow import vocab as V
 from verdictflow.functions import decisions as D
@@ -169,6 +174,125 @@ def cell_columns(axes: Mapping[str, Sequence[float]]) -> dict[str, Column]:
     return columns
 
 
+def _reads(f: Mapping[str, Column], at: Mapping[str, Column]) -> list[tuple[str, str, Column]]:
+    """(gate, threshold, pairs for which the gate reads it), in the order of the cascade."""
+    flag = D.g1_signals(f, at)["contradiction_flag"]
+    to_g2 = (F.col("_g1_disposition") == V.FORWARD) & ~F.col("_g1_contradiction_flag")
+    to_g3 = (F.col("_g1_disposition") == V.FORWARD) & (
+        F.col("_g1_contradiction_flag") | (F.col("_g2_disposition") != V.DECIDED)
+    )
+    return [
+        ("g1", "contra_escape", F.lit(True)), ("g1", "neutral_min", ~flag), ("g1", "repeat_min", ~flag),
+        ("g2", "support_min", to_g2), ("g3", "contra_min", to_g3), ("g3", "neutral_consensus", to_g3),
+    ]
+
+
+def _split(df: DataFrame, axis: str, points: Sequence[float], wanted: Column) -> DataFrame:
+    """Rows cut along one axis where a feature crosses a value: [``_lo_axis``, ``_hi_axis``).
+
+    ``points`` ascend. Rows that are not ``wanted`` keep the whole axis in one piece.
+    """
+    given = F.array(*[F.lit(float(p)) for p in points])
+
+    def crossed(feature: Column, strict: bool) -> Column:
+        """How many values the feature passes; a missing one crosses nothing, nor does a row that stays whole."""
+        passed = F.size(F.filter(given, lambda p: p < feature if strict else p <= feature))
+        return F.when(wanted & feature.isNotNull(), passed).otherwise(F.lit(0))
+
+    steps = [
+        crossed(F.col(feature), strict)
+        for feature, compared in _COMPARED.items()
+        for threshold, strict in compared if threshold == V.SWEEPABLE[axis]
+    ]
+    whole = F.lit(len(points))
+    cuts = F.array_sort(F.array_distinct(F.array(F.lit(0), whole, *steps)))
+    ends = F.slice(cuts, 2, F.size(cuts) - 1)
+    pieces = F.arrays_zip(F.slice(cuts, 1, F.size(cuts) - 1).alias("lo"), ends.alias("hi"))
+    cut = df.withColumn("_piece", F.explode(pieces))
+    return cut.withColumns({f"_lo_{axis}": F.col("_piece.lo"), f"_hi_{axis}": F.col("_piece.hi")}).drop("_piece")
+
+
+def outcome_boxes(
+    features: DataFrame, axes: Mapping[str, Sequence[float]], thresholds: Mapping[str, Column], keys: Sequence[str]
+) -> DataFrame:
+    """Boxes of cells in which a signature has one outcome, with ``pairs``.
+
+    ``axes`` hold ascending values. The boxes of a signature tile the grid.
+    """
+    values = {name: [column] for name, column in thresholds.items()}
+    for axis, points in axes.items():
+        values[V.SWEEPABLE[axis]] = [F.lit(float(point)) for point in points]
+    staged = signatures(features, values, keys).withColumnRenamed("direction", "_direction")
+    f = {**D.feature_columns(), "direction": F.col("_direction")}
+    at = dict(thresholds)
+    axis_of = {V.SWEEPABLE[axis]: axis for axis in axes}
+    for axis, points in axes.items():
+        # Any cell of a box stands for all: its first.
+        at[V.SWEEPABLE[axis]] = F.get(F.array(*[F.lit(float(p)) for p in points]), F.col(f"_lo_{axis}"))
+    reads = _reads(f, at)
+    for gate in D.STEPS:
+        for _, threshold, wanted in [read for read in reads if read[0] == gate]:
+            if threshold in axis_of:
+                staged = _split(staged, axis_of[threshold], axes[axis_of[threshold]], wanted)
+        staged = D.with_decision(staged, gate, f, at)
+    outcome = D.cascade_outcome(*[D.decision_columns(gate) for gate in D.STEPS])
+    judged = staged.withColumns({name: outcome[name] for name in ("disposition", "verdict")})
+    sides = [f"_{end}_{axis}" for axis in axes for end in ("lo", "hi")]
+    return judged.groupBy(*keys, *LABELS, "disposition", "verdict", *sides).agg(F.sum("pairs").alias("pairs"))
+
+
+def grid_counts(
+    features: DataFrame, axes: Mapping[str, Sequence[float]], base: D.Thresholds | Mapping[str, Column] | None = None,
+    keys: Sequence[str] = ("roster",),
+) -> DataFrame:
+    """``outcome_counts`` of every cell: differences at the corners of boxes, then prefix sums.
+
+    Cells are numbered as ``cell_columns`` reads them, whatever the order of the given values.
+    """
+    _check_axes(axes)
+    if not axes or not all(axes.values()):
+        raise ValueError("every axis of a grid needs values")
+    order = {axis: sorted(range(len(points)), key=lambda i: points[i]) for axis, points in axes.items()}
+    ascending = {axis: [points[i] for i in order[axis]] for axis, points in axes.items()}
+    corners = outcome_boxes(features, ascending, _base_columns(base), keys).withColumns(
+        {"_sign": F.lit(1), "_at": F.lit(0).cast("long")}
+    )
+    cells = stride = prod(len(points) for points in axes.values())
+    strides = {}
+    for axis, points in axes.items():
+        stride //= len(points)
+        strides[axis] = stride
+        low, high = F.col(f"_lo_{axis}"), F.col(f"_hi_{axis}")
+        first = F.struct(low.alias("at"), F.lit(1).alias("sign"))
+        behind = F.struct(high.alias("at"), F.lit(-1).alias("sign"))
+        # Behind the last value there is no cell to take the pairs away from.
+        corners = corners.withColumn(
+            "_corner", F.explode(F.when(high < len(points), F.array(first, behind)).otherwise(F.array(first)))
+        ).withColumns({
+            "_at": F.col("_at") + F.col("_corner.at") * F.lit(stride), "_sign": F.col("_sign") * F.col("_corner.sign"),
+        }).drop("_corner", f"_lo_{axis}", f"_hi_{axis}")
+    steps = M.outcome_counts(corners, [*keys, "_at"], F.col("pairs") * F.col("_sign"))
+    counts = [name for name in steps.columns if name not in (*keys, "_at")]
+    # Every key has a box that starts in cell 0; there all cells are opened.
+    zero = F.lit(0).cast("long")
+    opened = steps.withColumn(
+        "_cell",
+        F.explode(F.when(F.col("_at") == 0, F.sequence(zero, F.lit(cells - 1).cast("long"))).otherwise(F.array("_at"))),
+    )
+    here = F.col("_cell") == F.col("_at")
+    cube = opened.groupBy(*keys, "_cell").agg(*[F.sum(F.when(here, F.col(name)).otherwise(zero)).alias(name) for name in counts])
+    for axis, points in axes.items():
+        place = F.floor(F.col("_cell") / F.lit(strides[axis])) % F.lit(len(points))
+        line = cube.withColumn("_place", place).withColumn("_line", F.col("_cell") - F.col("_place") * F.lit(strides[axis]))
+        along = Window.partitionBy(*keys, "_line").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+        cube = line.select(*keys, "_cell", *[F.sum(name).over(along).alias(name) for name in counts])
+    number = F.lit(0)
+    for axis, points in axes.items():
+        place = (F.floor(F.col("_cell") / F.lit(strides[axis])) % F.lit(len(points))).cast("int")
+        number = number + F.get(F.array(*map(F.lit, order[axis])), place) * F.lit(strides[axis])
+    return cube.select(*keys, number.cast("int").alias("cell"), *counts)
+
+
 def grid_search(
     features: DataFrame,
     axes: Mapping[str, Sequence[float]],
@@ -180,26 +304,12 @@ def grid_search(
 
     ``axes`` maps snapshot names to values; other thresholds come from ``base``.
     """
-    _check_axes(axes)
-    thresholds = _base_columns(base)
-    values = {name: [column] for name, column in thresholds.items()}
-    for axis, points in axes.items():
-        values[V.SWEEPABLE[axis]] = [F.lit(float(point)) for point in points]
-    cells = prod(len(points) for points in axes.values())
-    expanded = signatures(features, values, keys).withColumn(
-        "cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-    )
-    in_cell = cell_columns(axes)
-    for axis, column in in_cell.items():
-        thresholds[V.SWEEPABLE[axis]] = column
-    staged = D.with_columns(expanded, "_t_", thresholds)
-    judged = _judge(staged, D.prefixed("_t_", thresholds))
-    counts = M.outcome_counts(judged, [*keys, "cell"], F.col("pairs"))
+    counts = grid_counts(features, axes, base, keys)
     criteria = M.go_bar_columns(bar)
     return counts.select(
         *keys,
         "cell",
-        *[column.alias(axis) for axis, column in in_cell.items()],
+        *[column.alias(axis) for axis, column in cell_columns(axes).items()],
         "total",
         *[c.alias(n) for n, c in M.neutral_columns().items()],
         *[c.alias(n) for n, c in M.funnel_columns().items()],
