@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from catalog import inputs as I
 from catalog.registry import query
-from verdictflow.session import checkpoint_root
+from verdictflow.session import checkpoint_root, stored
 from verdictflow.functions import variants
-from verdictflow.operators import documents as DO
+from verdictflow.operators import documents as DO, hydrate as H
 from verdictflow.plans import corpus as C, reports
 from verdictflow.sources import corpus_io
 
@@ -52,11 +52,7 @@ def _kept(expression: str, spellings) -> str:
 
 def raw_documents(spark, sf):
     """(doc_id, doc): one JSON document per pair, whole texts included."""
-    texts = _texts(spark, sf)
-    pairs = I.scored_pairs(spark, sf)
-    joined = pairs.join(
-        texts.withColumnsRenamed({"claim_id": "a_id", "text": "a_text"}), "a_id", "left"
-    ).join(texts.withColumnsRenamed({"claim_id": "b_id", "text": "b_text"}), "b_id", "left")
+    joined = H.both_texts(I.scored_pairs(spark, sf), _texts(spark, sf), wanted=F.expr("a_doc % 4 <> 3"))
     members = ", ".join(f"'{name}', {_kept(sql, spell)}" for name, spell, sql, _ in _FIELDS)
     return joined.selectExpr("pair_id AS doc_id", f"to_json(named_struct({members})) AS doc")
 
@@ -182,7 +178,12 @@ SELECT printf('export%s%s%s%d', chr(9), item, chr(9), v) AS line FROM (
 UNION ALL SELECT printf('label%spairs[%s]%s%d', chr(9), ensemble_verdict, chr(9), count(*)) FROM done WHERE status = 'EXPORTED' GROUP BY ensemble_verdict""")
 def stats_text(spark, sf):
     """The statistics as lines of text."""
-    rows = marked(spark, sf)
+    # Both reports read one scan of the documents; of a text they ask only whether it is there.
+    found = marked(spark, sf).select(
+        "status", "hydrated", "golden", "with_context", "ensemble_verdict",
+        *[F.substring(name, 1, 1).alias(name) for name in ("claim_a_text", "claim_b_text")],
+    )
+    rows = stored(found)
     return reports.lines(reports.corpus_facts(C.corpus_stats(rows), C.verdict_histogram(rows)))
 
 

@@ -8,6 +8,7 @@ from verdictflow import schemas, vocab as V
 from verdictflow.functions import variants
 from verdictflow.functions.cols import staged_where
 from verdictflow.operators.documents import FieldMap
+from verdictflow.operators.hydrate import both_texts
 
 NOT_ENSEMBLE = "NOT_ENSEMBLE"
 UNUSABLE = "UNUSABLE"
@@ -28,23 +29,30 @@ def usable() -> Column:
 
 
 def _records(documents: DataFrame, field_map: FieldMap) -> DataFrame:
-    """Typed record columns. The paths are followed first, each field once; the
-    coercions then read the values found."""
-    found = documents.select("doc_id", *[
-        field_map.value(F.col("doc"), name).alias(f"_v_{name}") for name in field_map.paths
+    """Typed record columns. The paths are followed first, each once; the
+    coercions then read the values found and their kinds."""
+    steps = {path: f"_s_{number}" for number, path in enumerate(dict.fromkeys(p for own in field_map.paths.values() for p in own))}
+    walked = documents.select("doc_id", *[variants.step_to(F.col("doc"), path).alias(name) for path, name in steps.items()])
+    found = walked.select("doc_id", *[
+        F.coalesce(*[variants.present(F.col(steps[path])) for path in own]).alias(f"_v_{name}") for name, own in field_map.paths.items()
     ])
 
+    found = found.withColumns({f"_k_{name}": variants.kind(F.col(f"_v_{name}")) for name in field_map.paths})
+
     def value(name: str) -> Column:
         return F.col(f"_v_{name}")
 
+    def which(name: str) -> Column:
+        return F.col(f"_k_{name}")
+
     texts = (
         "claim_a_id", "claim_b_id", "claim_a_text", "claim_b_text", "context_a", "context_b",
         "source_snippet", "intake_id", "stage3_run_id", "method",
     )
     typed = found.select(
         F.col("doc_id").cast("string").alias("pair_id"),
-        *[variants.text_or_empty(value(name)).alias(name) for name in texts],
-        variants.scalar_text(value("verdict")).alias("_verdict"),
+        *[variants.text_or_empty(value(name), which(name)).alias(name) for name in texts],
+        variants.scalar_text(value("verdict"), which("verdict")).alias("_verdict"),
         variants.coerce_votes(value("votes")).alias("votes"),
         variants.truthy(value("golden")).alias("golden"),
         variants.truthy(value("with_context")).alias("with_context"),
@@ -83,15 +91,7 @@ def _fill(records: DataFrame, claims: DataFrame) -> DataFrame:
     texts = claims.where(
         (F.coalesce("claim_id", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != "")
     )
-    filled = records
-    for side in ("a", "b"):
-        filled = filled.join(
-            texts.select(
-                F.col("claim_id").alias(f"claim_{side}_id"), F.col("text").alias(f"_{side}")
-            ),
-            f"claim_{side}_id",
-            "left",
-        )
+    filled = both_texts(records, texts, "claim_a_id", "claim_b_id", into=("_a", "_b"))
     return filled.withColumns({
         "claim_a_text": F.coalesce("_a", "claim_a_text"),
         "claim_b_text": F.coalesce("_b", "claim_b_text"),

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 
 from verdictflow import schemas, vocab as V
 from verdictflow.functions import variants
-from verdictflow.functions.cols import struct_of
+from verdictflow.functions.cols import staged_where, struct_of
 
 DEFAULT_KIND = "replayCorpus"
 
@@ -45,32 +45,43 @@ def problem_of(document: Column) -> Column:
     )
 
 
-def from_wire(document: Column) -> list[Column]:
-    """Corpus columns of a parsed line. An absent member is empty; flags go by truth, so 1 is true."""
+def from_wire(value: dict[str, Column], which: dict[str, Column]) -> list[Column]:
+    """Corpus columns of the members of a line and their kinds. An absent member is empty; flags go by truth, so 1 is true."""
     columns = []
     for field in schemas.CORPUS:
-        value = variants.dig(document, WIRE_NAMES[field.name])
+        own = value[field.name]
         if isinstance(field.dataType, T.ArrayType):
-            items = F.transform(variants.as_items(value), variants.scalar_text)
+            items = F.transform(variants.as_items(own), lambda item: variants.scalar_text(item))
             column = F.coalesce(items, F.array().cast(field.dataType))
         elif isinstance(field.dataType, T.BooleanType):
-            column = variants.truthy(value)
+            column = variants.truthy(own)
         else:
-            column = variants.scalar_text(value)
+            column = variants.scalar_text(own, which[field.name])
         columns.append(column.alias(field.name))
     return columns
 
 
 def decode(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Text lines to corpus columns, with ``line`` and ``problem``; blank lines are no lines."""
-    parsed = lines.where(F.trim(column) != "").select(F.col(column).alias("line"), variants.parse(column).alias("_doc"))
-    return parsed.select("line", problem_of(F.col("_doc")).alias("problem"), *from_wire(F.col("_doc")))
+    """Text lines to corpus columns, with ``line`` and ``problem``; blank lines are no lines.
+
+    Every step is a column of its own, so a line is made, parsed and walked once.
+    """
+    kept = staged_where(lines.select(F.col(column).alias("line")), F.trim("line") != "")
+    parsed = kept.select("line", variants.parse("line").alias("_doc"))
+    found = parsed.select("line", problem_of(F.col("_doc")).alias("problem"), *[
+        variants.step_to(F.col("_doc"), WIRE_NAMES[name]).alias(f"_s_{name}") for name in schemas.CORPUS.fieldNames()
+    ])
+    found = found.select("line", "problem", *[variants.present(F.col(f"_s_{name}")).alias(f"_v_{name}") for name in schemas.CORPUS.fieldNames()])
+    found = found.withColumns({f"_k_{name}": variants.kind(F.col(f"_v_{name}")) for name in schemas.CORPUS.fieldNames()})
+    value, which = ({name: F.col(f"{of}{name}") for name in schemas.CORPUS.fieldNames()} for of in ("_v_", "_k_"))
+    return found.select("line", "problem", *from_wire(value, which))
 
 
 def refuse_problems(decoded: DataFrame) -> DataFrame:
     """The corpus columns; a line with a problem fails the job that meets it."""
     stop = F.raise_error(F.concat(F.lit("corpus line refused, "), "problem", F.lit(": "), F.substring("line", 1, 200)))
-    return decoded.where(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(stop.cast("boolean"))).drop("line", "problem")
+    good = F.when(F.col("problem").isNull(), F.lit(True)).otherwise(stop.cast("boolean"))
+    return staged_where(decoded, good).drop("line", "problem")
 
 
 def write_corpus(corpus: DataFrame, path: str, kind: str = DEFAULT_KIND) -> None:
