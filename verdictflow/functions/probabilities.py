@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from verdictflow.functions.cols import as_col
+from verdictflow.functions.cols import as_col, once
 
 
 def to_probabilities(logits: Column | str) -> Column:
     """Softmax over an array of logits; one single logit goes through a sigmoid.
 
-    The largest logit is subtracted first, so nothing overflows.
+    The largest logit is subtracted first, so nothing overflows. That logit and the sum are worked
+    out once for a row: read inside a lambda, they would be worked out for every element.
     """
     values = as_col(logits)
-    peak = F.array_max(values)
-    powers = F.transform(values, lambda x: F.exp(x - peak))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
+    powers = once(F.array_max(values), lambda peak: F.transform(values, lambda x: F.exp(x - peak)))
+
+    def shares(p: Column) -> Column:
+        total = F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
+        return once(total, lambda t: F.transform(p, lambda x: x / t))
+
     return F.when(
         F.size(values) == 1, F.transform(values, lambda x: 1.0 / (1.0 + F.exp(-x)))
-    ).otherwise(F.transform(powers, lambda x: x / total))
+    ).otherwise(once(powers, shares))
 
 
 def argmax(values: Column | str) -> Column:
