@@ -47,6 +47,8 @@ DEEPEST = 16
 REGION = 2_000  # classes of a region that are compared with each other
 CLUSTER = 4_000  # classes, and
 CLUSTER_SHINGLES = 6_000_000  # shingles of a cluster that is confirmed in one task
+MATRIX_SETS = 1_000  # sets, and
+MATRIX = 2_000_000  # cells of the largest matrix of sets and shingles; larger clusters are compared set by set
 
 _ORDERS = np.stack([np.random.default_rng(900 + t).permutation(HASHES) for t in range(TREES)])
 
@@ -135,13 +137,43 @@ def region_stars(nodes: list[int], sizes: np.ndarray, sig: np.ndarray, threshold
     return forest.stars()
 
 
+def common_sizes(sets: list[np.ndarray]) -> np.ndarray | None:
+    """Sizes of all intersections of some sets, as a product of matrices (None: too large for one)."""
+    sizes = [len(s) for s in sets]
+    if len(sets) > MATRIX_SETS or sum(sizes) > MATRIX:
+        return None
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Shingles of one set only are in no intersection.
+    shared = count > 1
+    if len(sets) * int(shared.sum()) > MATRIX:
+        return None
+    column = np.cumsum(shared) - 1
+    row, held = np.repeat(np.arange(len(sets)), sizes), shared[place]
+    holds = np.zeros((len(sets), int(shared.sum())), dtype=np.float32)
+    holds[row[held], column[place[held]]] = 1
+    return (holds @ holds.T).astype(np.int64)
+
+
 def confirm(nodes: list[int], sets: list[np.ndarray], percent: int) -> dict[str, list]:
     """Components of the exact links among some sets, as stars."""
     forest = Forest(nodes)
     offset = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    sizes = np.diff(offset)
+    both = common_sizes(sets)
+    if both is not None:
+        linked = 100 * both >= percent * (sizes[:, None] + sizes - both)
+        left = np.ones(len(nodes), dtype=bool)
+        for i in range(len(nodes)):
+            reached = np.array([i]) if left[i] else np.empty(0, dtype=np.int64)
+            while len(reached):
+                left[reached] = False
+                for j in reached.tolist():
+                    forest.join(i, j)
+                reached = np.flatnonzero(linked[reached].any(axis=0) & left)
+        return forest.stars()
     flat = np.concatenate(sets)
     sig = hashing.minhashes(flat, offset, HASHES)
-    sizes, least = np.diff(offset), agreement(percent / 100)
+    least = agreement(percent / 100)
     for i in range(1, len(nodes)):
         small, large = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
         alike = (sig[:i] == sig[i]).sum(axis=1)
@@ -171,15 +203,18 @@ def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> tuple[DataFrame, D
     found, depth, crowd_nodes = None, DEPTH, None
     while True:
         crowd = written(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"))
-        part = rows.join(small_side(crowd.where(F.col("_n") <= REGION).select("key")), "key").select("key", "node")
-        found = part if found is None else found.unionByName(part)
+        # All keys are read once more; whatever follows reads the rows of regions only.
+        met = written(rows.join(small_side(crowd.select("key")), "key").select("key", "node", "tree"))
         full = crowd.where(F.col("_n") > REGION)
         if full.isEmpty():
-            return found, crowd_nodes
+            part = met.select("key", "node")
+            return part if found is None else found.unionByName(part), crowd_nodes
+        part = met.join(small_side(full.select("key")), "key", "left_anti").select("key", "node")
+        found = part if found is None else found.unionByName(part)
+        crowded = met.join(small_side(full), "key").select("key", "node", "tree", "_n")
         if crowd_nodes is None:
-            crowd_nodes = written(rows.join(small_side(full.select("key")), "key").select("node").distinct())
+            crowd_nodes = written(crowded.select("node").distinct())
             held = classes_of(reps.select("node", "sig"), crowd_nodes)
-        crowded = rows.join(full, "key").select("key", "node", "tree", "_n")
         if depth >= DEEPEST:
             parts = F.ceil(F.col("_n") / F.lit(REGION))
             dealt = F.xxhash64("key", F.pmod(F.xxhash64("tree", "node"), parts))
@@ -369,7 +404,7 @@ def link(signed: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: in
         .select(*SAME, "_rows", F.col("_r.node").alias("node"), F.col("_r.sig").alias("sig"))
     )
     near, crowded = regions(reps, orders)
-    near = written(distinct_regions(written(near)))
+    near = written(distinct_regions(near if crowded is None else written(near)))
     grouped = classes_of(reps.select("node", "n_shingles", "sig"), written(near.select("node").distinct()))
 
     def candidates(group: pa.Table) -> dict | None:

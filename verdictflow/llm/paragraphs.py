@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import hashing
-from .common import small_side, table, written
+from .common import BROADCAST_BYTES, small_side, table, written
 from .neardup import DEPTH, HASHES, SAME, _signed, link, shingle_bytes
 from .streams import per_batch, small_batches
 
@@ -125,8 +125,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
                         texts.append(b"\n".join(own[i : i + n]))
             return {"root": [r["root"] for r in found], "node": [r["node"] for r in found], "shingles": shingle_bytes(texts, K)}
 
-        texts = docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text")).join(small_side(wanted), "doc_id")
-        return per_batch(texts, pick, "root long, node long, shingles binary")
+        return per_batch(texts_of(docs, wanted), pick, "root long, node long, shingles binary")
 
     return _members(signed, fetch, ["paragraph", "n_lines"], "component_paragraph")
 
@@ -197,6 +196,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, text, what is wanted) of the documents in a written table of one row each.
+
+    Where the table is too large to be broadcast, its ids alone may not be: texts that nobody wants stay where they are.
+    """
+    held = _texts(docs).join(small_side(wanted.select("doc_id"), limit), "doc_id", "left_semi")
+    return held.join(small_side(wanted, limit), "doc_id")
+
+
 def runs(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """(first word, number of words) of what windows, as (first word, holders), cover.
 
@@ -257,7 +265,7 @@ def repeated_pieces(docs: DataFrame) -> DataFrame:
         return out
 
     signed = named(per_batch(
-        _texts(docs).join(small_side(covered), "doc_id"), sign,
+        texts_of(docs, covered), sign,
         "doc_id long, first_word int, n_words int, n_shingles long, set_a long, set_b long, sig binary",
     ))
 
@@ -279,7 +287,7 @@ def repeated_pieces(docs: DataFrame) -> DataFrame:
                             texts.append(_span(words, i, row["first_word"], row["n_words"]))
             return {"root": [r["root"] for r in found], "node": [r["node"] for r in found], "shingles": shingle_bytes(texts, K)}
 
-        return per_batch(_texts(docs).join(small_side(wanted), "doc_id"), pick, "root long, node long, shingles binary")
+        return per_batch(texts_of(docs, wanted), pick, "root long, node long, shingles binary")
 
     return _members(signed, fetch, ["first_word", "n_words"], "component_word")
 
