@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from verdictflow.llm import hashing, neardup, paragraphs
+from verdictflow.llm import common, hashing, neardup, paragraphs
 from verdictflow.llm.common import written
 
 
@@ -105,3 +105,34 @@ def test_texts_that_nobody_wants_are_not_moved(spark):
         assert {(r.doc_id, bytes(r.text)) for r in got.collect()} == rows and {len(r.wanted) for r in got.collect()} == {50}
     analyzed = paragraphs.texts_of(docs, wanted, 120)._jdf.queryExecution().analyzed().toString()
     assert "LeftSemi" in analyzed and analyzed.count("ResolvedHint") == 1  # ids are broadcast, lists are not
+
+
+def test_rows_without_a_wanted_hash_are_dropped_before_the_shuffle(spark):
+    draw = np.random.default_rng(8)
+    hashes = draw.integers(-(1 << 63), (1 << 63) - 1, size=600).tolist()
+    rows = spark.createDataFrame([(h, i) for i, h in enumerate(hashes + hashes[:50])], "key long, n int")
+    keys = written(spark.createDataFrame([(h, i) for i, h in enumerate(hashes[:40] + [7])], "key long, other int"))
+    want = sorted((h, n, o) for o, h in enumerate(hashes[:40]) for n in (o, 600 + o))
+    for limit in (0, 1 << 20):
+        assert sorted(map(tuple, common.held_by(rows, keys, "key", limit).collect())) == want
+    passed = {r.key for r in common.likely_rows(rows, keys, "key", 1 << 12).collect()}
+    assert set(hashes[:40]) <= passed and len(passed) < 60
+    assert "MapInArrow" in _plan(common.held_by(rows, keys, "key", 0))
+
+
+def test_regions_and_pieces_are_the_same_where_nothing_can_be_broadcast(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{x}" for x in draw.integers(0, 10**6, size=n))
+    shared = [words(90) for _ in range(6)]
+    texts = [" ".join([words(20), shared[i % 6], words(20)]) for i in range(18)] + [words(200) for _ in range(6)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, shared[0]), (90, None)], "doc_id long, text string")
+    want = sorted(map(tuple, paragraphs.repeated_pieces(docs).collect()))
+    assert {w[0] for w in want} == set(range(18))
+    moved, texts_of = [], paragraphs.texts_of
+    monkeypatch.setattr(paragraphs, "texts_of", lambda d, wanted: moved.append(wanted) or texts_of(d, wanted, 0))
+    held_by = common.held_by
+    for module in (paragraphs, neardup):
+        monkeypatch.setattr(module, "held_by", lambda rows, keys, key: held_by(rows, keys, key, 0))
+    assert sorted(map(tuple, paragraphs.repeated_pieces(docs).collect())) == want
+    # Texts meet a row a piece, not a row a window; a passage of 90 words holds more than two windows.
+    assert max(len(r[1]) for r in moved[0].collect()) <= 2

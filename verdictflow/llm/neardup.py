@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from verdictflow.operators.ordered import numbered
 
 from . import hashing
-from .common import small_side, table, written
+from .common import held_by, small_side, table, written
 from .components import components
 from .streams import per_batch, per_group, small_batches
 
@@ -204,7 +204,7 @@ def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> tuple[DataFrame, D
     while True:
         crowd = written(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"))
         # All keys are read once more; whatever follows reads the rows of regions only.
-        met = written(rows.join(small_side(crowd.select("key")), "key").select("key", "node", "tree"))
+        met = written(held_by(rows, crowd.select("key"), "key").select("key", "node", "tree"))
         full = crowd.where(F.col("_n") > REGION)
         if full.isEmpty():
             part = met.select("key", "node")
@@ -226,7 +226,7 @@ def regions(reps: DataFrame, orders: np.ndarray = _ORDERS) -> tuple[DataFrame, D
 
 def classes_of(reps: DataFrame, nodes: DataFrame) -> DataFrame:
     """The classes of a written table of nodes, written: signatures of all others stay where they are."""
-    return written(reps.join(small_side(nodes), "node"))
+    return written(held_by(reps, nodes, "node"))
 
 
 def distinct_regions(near: DataFrame) -> DataFrame:
@@ -458,8 +458,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return {"root": batch.column("root"), "node": batch.column("node"), "shingles": shingle_bytes(batch.column("text").to_pylist(), k)}
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).join(small_side(nodes), "node")
-        return per_batch(texts, to_sets, "root long, node long, shingles binary")
+        texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text"))
+        return per_batch(held_by(texts, nodes, "node"), to_sets, "root long, node long, shingles binary")
 
     classes = link(signed, fetch, percent).select(*SAME, "component")
     out = signed.select(F.col("node").alias("doc_id"), *SAME).join(classes, SAME, "left")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import hashing
-from .common import BROADCAST_BYTES, small_side, table, written
+from .common import BROADCAST_BYTES, held_by, likely_rows, small_side, table, table_bytes, written
 from .neardup import DEPTH, HASHES, SAME, _signed, link, shingle_bytes
 from .streams import per_batch, small_batches
 
@@ -199,9 +199,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 def texts_of(docs: DataFrame, wanted: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, text, what is wanted) of the documents in a written table of one row each.
 
-    Where the table is too large to be broadcast, its ids alone may not be: texts that nobody wants stay where they are.
+    Where the table is too large to be broadcast, its ids alone may not be, and a bitmap of them never is: texts
+    that nobody wants stay where they are.
     """
-    held = _texts(docs).join(small_side(wanted.select("doc_id"), limit), "doc_id", "left_semi")
+    texts, ids = _texts(docs), wanted.select("doc_id")
+    held = texts.join(F.broadcast(ids), "doc_id", "left_semi") if table_bytes(ids) <= limit else likely_rows(texts, ids, "doc_id")
     return held.join(small_side(wanted, limit), "doc_id")
 
 
@@ -232,7 +234,7 @@ def repeated_pieces(docs: DataFrame) -> DataFrame:
     """
     cut = written(_all_windows(docs))
     # One number for all holders of a window, the same in each of them.
-    shared = (
+    shared = written(
         cut.groupBy("window").agg(
             F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.count("*").alias("_n"),
             F.sum(F.xxhash64("doc_id").bitwiseAND(0xFFFFFFFF)).alias("_s"),
@@ -240,19 +242,24 @@ def repeated_pieces(docs: DataFrame) -> DataFrame:
         .where("_a <> _b").select("window", F.hash("_a", "_b", "_n", "_s").alias("holders"))
     )
     # Of a document at most its own windows are collected.
-    covered = written(
-        cut.join(shared.hint("merge"), "window").groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "holders")).alias("starts"))
-    )
+    starts = held_by(cut, shared, "window").groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "holders")).alias("starts"))
+
+    def cover(batch: pa.RecordBatch) -> dict:
+        found = [runs([(w["first_word"], w["holders"]) for w in own]) for own in batch.column("starts").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "pieces": [[{"first_word": a, "n_words": n} for a, n in own] for own in found]}
+
+    # Texts meet what is covered, which is several windows a piece.
+    covered = written(per_batch(starts, cover, "doc_id long, pieces array<struct<first_word: int, n_words: int>>"))
 
     def sign(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {name: [] for name in ("doc_id", "first_word", "n_words", "n_shingles", "set_a", "set_b", "sig")}
-        ids, starts = batch.column("doc_id").to_pylist(), batch.column("starts").to_pylist()
+        ids, pieces = batch.column("doc_id").to_pylist(), batch.column("pieces").to_pylist()
         held = []  # document, first word, words, text
         for first, block in hashing.blocks(batch.column("text").to_pylist()):
             words = hashing.Words(block)
             sizes = np.diff(words.first).tolist()
             for i, size in enumerate(sizes):
-                found = runs([(w["first_word"], w["holders"]) for w in starts[first + i]])
+                found = [(p["first_word"], p["n_words"]) for p in pieces[first + i]]
                 held += [(ids[first + i], *r, _span(words, i, *r)) for r in found if sum(r) <= size]
         for first, block in hashing.blocks(x for *_, x in held):
             values, offset = hashing.Words(block).shingles(K)
